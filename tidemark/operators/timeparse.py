@@ -6,9 +6,14 @@ formats decides, or marks the text as ambiguous.
 
 from __future__ import annotations
 
+import re
 import zoneinfo
+from collections.abc import Iterator
+from datetime import UTC, date, datetime, timedelta
+from functools import lru_cache
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Offsets in minutes of the zone abbreviations that are understood.
@@ -19,115 +24,111 @@ ABBREVIATIONS = {
     "HKT": 480, "SGT": 480, "JST": 540, "KST": 540, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660,
     "NZST": 720, "NZDT": 780,
 }
-# The English names of months and days.
+# The English names of the months.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-DAYS = "Mon|Tue|Wed|Thu|Fri|Sat|Sun"
-
-_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*([AaPp][Mm])?"
-_ZONE = r"\s*(Z|[A-Za-z]{3,5}|[+-]\d{2}(?::?\d{2})?(?:\[[^\]]*\])?|[A-Za-z]+/[A-Za-z_/+-]+|)"
-# group 1 is the date, 2 to 6 hour, minute, second, fraction, AM or PM, and 7 the zone
-TEXT = rf"^(?:(?:{DAYS})[a-z]*,?\s+)?(\d[\d/-]*\d|\d{{1,2}} [A-Za-z]{{3,9}} \d{{4}}|[A-Za-z]{{3,9}} \d{{1,2}}, \d{{4}})[T ]\s*{_TIME}{_ZONE}$"
-COMPACT = rf"^(\d{{8}})T(\d{{2}})(\d{{2}})(\d{{2}})(?:[.,](\d+))?(){_ZONE}$"
-LOCAL_ORDERS = {"dmy": (3, 2, 1), "mdy": (3, 1, 2), "ymd": (1, 2, 3), "ydm": (1, 3, 2)}
-SCHEMA = "source string, format string, weight double"
-
-
-def _int(c: Column) -> Column:
-    return c.try_cast("int")
-
-
-def _part(s: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(s, pattern, i)
-
-
-def _day_micros(y: Column, m: Column, d: Column) -> Column:
-    """Midnight of a valid date, else NULL."""
-    return F.unix_micros(F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")))
 
-
-def _zones() -> list[str]:
-    return sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("SystemV", "posix", "right")))
-
-
-def readings(text: Column, zone: Column, low_us: int, high_us: int) -> Column:
-    """All valid readings of a text: array of struct(format, micros), each instant once, in [low_us, high_us)."""
-    s = F.regexp_replace(text, r"""^[\s "'`]+|[\s "'`]+$""", "")
-    compact = s.rlike(COMPACT)
-    group = lambda i: F.when(compact, _part(s, COMPACT, i)).otherwise(_part(s, TEXT, i))
-    date, frac, half, mark = group(1), group(5), F.lower(group(6)), group(7)
-    hour, minute = _int(group(2)), _int(group(3))
-    second = F.coalesce(_int(group(4)), F.lit(0))
-    hour = (
-        F.when(half == "", F.when(hour <= 23, hour))
-        .when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    )
-    clock = F.when(
-        (minute <= 59) & (second <= 59),
-        ((hour * 60 + minute) * 60 + second).cast("bigint") * 1_000_000
-        + F.coalesce(F.rpad(F.substring(frac, 1, 6), 6, "0").try_cast("bigint"), F.lit(0)),
-    )
-    # the day under each format
-    slash = r"^(\d{1,4})/(\d{1,2})/(\d{1,4})$"
-    f = [None, *[_part(date, slash, i) for i in (1, 2, 3)]]
-    days: dict[str, Column] = {}
-    for name, (y, m, d) in LOCAL_ORDERS.items():
-        ok = (F.length(f[y]) == 4) & F.length(f[m]).between(1, 2) & F.length(f[d]).between(1, 2)
-        days[name] = F.when(ok, _day_micros(_int(f[y]), _int(f[m]), _int(f[d])))
-    dash, ordinal = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{4})-?(\d{3})$"
-    days["iso"] = F.when(
-        date.rlike(dash), _day_micros(*[_int(_part(date, dash, i)) for i in (1, 2, 3)])
-    ).when(date.rlike(r"^\d{8}$"), _day_micros(_int(F.substring(date, 1, 4)), _int(F.substring(date, 5, 2)), _int(F.substring(date, 7, 2))))
-    y, n = _int(_part(date, ordinal, 1)), _int(_part(date, ordinal, 2))
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    days["ordinal"] = F.when(
-        date.rlike(ordinal) & (n >= 1) & (n <= F.when(leap, 366).otherwise(365)),
-        _day_micros(y, F.lit(1), F.lit(1)) + (n - 1).cast("bigint") * 86_400_000_000,
-    )
-    words, months = r"^(?:(\d{1,2}) )?([A-Za-z]{3})[a-z]*(?: (\d{1,2}),)? (\d{4})$", F.array(*[F.lit(x) for x in MONTHS])
-    number = F.array_position(months, F.lower(_part(date, words, 2))).cast("int")
-    day = F.concat(_part(date, words, 1), _part(date, words, 3))
-    days["words"] = F.when(
-        date.rlike(words) & (number >= 1), _day_micros(_int(_part(date, words, 4)), number, _int(day))
-    )
-    # the zone: an offset, or a named one whose rules apply
-    sign = r"^([+-])(\d{2}):?(\d{2})?"
-    o_h, o_m = _int(_part(mark, sign, 2)), F.coalesce(_int(_part(mark, sign, 3)), F.lit(0))
-    table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    offset = F.when(
-        mark.rlike(sign), F.when((o_h <= 18) & (o_m <= 59), (o_h * 60 + o_m) * F.when(_part(mark, sign, 1) == "-", -1).otherwise(1))
-    ).otherwise(F.try_element_at(table, F.upper(mark)))
-    named = F.when(mark == "", zone).when(mark.contains("/") & ~mark.rlike(sign), mark)
-    named = F.when(named.isin(*_zones(), "UTC"), named)
-
-    def instant(day_us: Column) -> Column:
-        local = day_us + clock
-        ts = F.timestamp_micros(local)
-        z = F.coalesce(named, F.lit("UTC"))
-        utc = F.to_utc_timestamp(ts, z)  # a repeated hour: the first pass
-        there = F.when(F.from_utc_timestamp(utc, z) == ts, F.unix_micros(utc))  # a skipped hour is no time
-        return F.when(offset.isNotNull(), local - offset.cast("bigint") * 60_000_000).when(named.isNotNull(), there)
-
-    # numbers: seconds, milliseconds, microseconds, nanoseconds, or hexadecimal seconds
-    plain, hexa = r"^(\d{1,19})(?:\.(\d+))?$", r"^0[xX]([0-9a-fA-F]{1,12})$"
-    whole = _part(s, plain, 1).try_cast("bigint")
-    part = F.coalesce(F.rpad(F.substring(_part(s, plain, 2), 1, 6), 6, "0").try_cast("bigint"), F.lit(0))
-    single = _part(s, plain, 2) == ""
-    small = whole < (1 << 43)
-    found = {
-        "epoch_s": F.when(small, whole * 1_000_000 + part),
-        "epoch_ms": F.when(whole < (1 << 53), whole * 1_000 + _div(part, 1_000)),
-        "epoch_us": whole,
-        "epoch_ns": F.when(single, _div(whole, 1_000)),
-        "hex_s": F.conv(F.when(s.rlike(hexa), _part(s, hexa, 1)), 16, 10).try_cast("bigint") * 1_000_000,
-    }
-    found |= {name: instant(d) for name, d in days.items()}
-    each = [F.struct(F.lit(k).alias("format"), v.cast("bigint").alias("micros")) for k, v in found.items()]
-    return F.filter(F.array(*each), lambda x: x["micros"].isNotNull() & (x["micros"] >= low_us) & (x["micros"] < high_us))
-
-
-def _div(c: Column, by: int) -> Column:
-    """Whole division of bigints, without the way over doubles."""
-    return F.call_function("div", c, F.lit(by).cast("bigint"))
+SCHEMA = "source string, format string, weight double"
+# Field order of the all-numeric dates with slashes.
+ORDERS = ("dmy", "mdy", "ymd", "ydm")
+
+_CLOCK = r"(?P<h>\d{1,2}):(?P<mi>\d\d)(?::(?P<s>\d\d)(?:[.,](?P<f>\d+))?)?\s*(?P<half>[AaPp][Mm](?![A-Za-z]))?"
+_ZONE = r"\s*(?P<z>[Zz]|[A-Za-z]{3,5}|[+-]\d\d(?::?\d\d)?(?:\[[^\]]*\])?|[A-Za-z]+/[A-Za-z_/+-]+|)"
+_DATE = (
+    r"(?:(?P<n1>\d{1,4})/(?P<n2>\d{1,2})/(?P<n3>\d{1,4})|(?P<y>\d{4})-(?P<m>\d{1,2})-(?P<d>\d{1,2})|(?P<oy>\d{4})-(?P<o>\d{3})"
+    r"|(?P<wd>\d{1,2}) (?P<wm>[A-Za-z]{3,9}) (?P<wy>\d{4})|(?P<um>[A-Za-z]{3,9}) (?P<ud>\d{1,2}), (?P<uy>\d{4}))"
+)
+TEXT = re.compile(rf"(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+)?{_DATE}(?:T|\s+){_CLOCK}{_ZONE}", re.A)
+COMPACT = re.compile(rf"(?P<y>\d{{4}})(?P<m>\d\d)(?P<d>\d\d)T(?P<h>\d\d)(?P<mi>\d\d)(?P<s>\d\d)(?:[.,](?P<f>\d+))?{_ZONE}", re.A)
+NUMBER = re.compile(r"(\d{1,19})(?:\.(\d+))?", re.A)
+HEXADECIMAL = re.compile(r"0[xX]([0-9a-fA-F]{1,12})")
+OFFSET = re.compile(r"([+-])(\d\d):?(\d\d)?", re.A)
+_EPOCH = date(1970, 1, 1).toordinal()
+_zone = lru_cache(maxsize=1024)(zoneinfo.ZoneInfo)
+
+
+def _sixth(digits: str | None) -> int:
+    return int(digits[:6].ljust(6, "0")) if digits else 0
+
+
+def _days(g: dict[str, str | None]) -> Iterator[tuple[str, date]]:
+    """The valid days of a matched date, each with its format."""
+    if g.get("n1"):
+        fields = (g["n1"], g["n2"], g["n3"])
+        tries = [(o, *[fields[o.index(x)] for x in "ymd"]) for o in ORDERS if len(fields[o.index("y")]) == 4]
+    elif g.get("y"):
+        tries = [("iso", g["y"], g["m"], g["d"])]
+    elif g.get("oy"):
+        first, n = date(int(g["oy"]) or 1, 1, 1), int(g["o"])
+        if n and (day := first + timedelta(n - 1)).year == first.year:
+            yield "ordinal", day
+        return
+    else:
+        name, y, d = (g["wm"], g["wy"], g["wd"]) if g.get("wm") else (g["um"], g["uy"], g["ud"])
+        if (m := name[:3].lower()) not in MONTHS:
+            return
+        tries = [("words", y, MONTHS.index(m) + 1, d)]
+    for name, y, m, d in tries:
+        try:
+            yield name, date(int(y), int(m), int(d))
+        except ValueError:
+            continue
+
+
+def _utc(local: int, mark: str, home: str | None) -> int | None:
+    """UTC of local microseconds, by the text's zone, or else by the source's own."""
+    if m := OFFSET.match(mark):
+        minutes = int(m[2]) * 60 + int(m[3] or 0)
+        return local + (minutes if m[1] == "-" else -minutes) * 60_000_000
+    if mark and "/" not in mark:
+        minutes = ABBREVIATIONS.get(mark.upper())
+        return None if minutes is None else local - minutes * 60_000_000
+    if not (name := mark or home):
+        return None
+    try:
+        zone = _zone(name)
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
+        return None
+    at = datetime(1970, 1, 1) + timedelta(microseconds=local)
+    shift = at.replace(tzinfo=zone).utcoffset()  # fold 0: the first pass of a repeated hour
+    there = at - shift
+    if there.replace(tzinfo=UTC).astimezone(zone).replace(tzinfo=None) != at:
+        return None  # a skipped hour is no time
+    return local - shift // timedelta(microseconds=1)
+
+
+def readings_of(text: str | None, home: str | None, low: int, high: int) -> list[tuple[str, int]]:
+    """All valid readings (format, UTC microseconds) of one text, in [low, high)."""
+    s = (text or "").strip("\"'` \t\r\n\v\f\u00a0")
+    found: list[tuple[str, int]] = []
+    if m := NUMBER.fullmatch(s):
+        n, part = int(m[1]), _sixth(m[2])
+        found = [("epoch_s", n * 1_000_000 + part), ("epoch_ms", n * 1_000 + part // 1_000), ("epoch_us", n), ("epoch_ns", n // 1_000)]
+    elif m := HEXADECIMAL.fullmatch(s):
+        found = [("hex_s", int(m[1], 16) * 1_000_000)]
+    elif m := TEXT.fullmatch(s) or COMPACT.fullmatch(s):
+        g = m.groupdict()
+        h, mi, sec, half = int(g["h"]), int(g["mi"]), int(g["s"] or 0), (g.get("half") or "").lower()
+        if half:
+            h = h % 12 + 12 * (half == "pm") if 1 <= h <= 12 else 99
+        if h <= 23 and mi <= 59 and sec <= 59:
+            clock = ((h * 60 + mi) * 60 + sec) * 1_000_000 + _sixth(g["f"])
+            for name, day in _days(g):
+                us = _utc((day.toordinal() - _EPOCH) * 86_400_000_000 + clock, g["z"], home)
+                if us is not None:
+                    found.append((name, us))
+    return [(name, us) for name, us in found if low <= us < high]
+
+
+def _reader(low: int, high: int):
+    @F.pandas_udf("array<struct<format:string,micros:bigint>>")
+    def read(text: pd.Series, home: pd.Series) -> pd.Series:
+        out = [
+            [{"format": f, "micros": us} for f, us in readings_of(t, z, low, high)]
+            for t, z in zip(text.where(text.notna(), None), home.where(home.notna(), None), strict=True)
+        ]
+        return pd.Series(out, dtype=object)
+
+    return read
 
 
 def _fit(rounds: int, prior: float, tolerance: float):
@@ -192,7 +193,7 @@ def normalise_timestamps(
     )
     keep = [c for c in records.columns if c not in ("utc_micros", "time_format", "time_certainty", "time_status")]
     r = records.select(*keep).join(info, F.col(source).eqNullSafe(F.col("_source")), "left")
-    r = r.withColumn("_r", readings(F.col(text), F.col("_info.z"), *span))
+    r = r.withColumn("_r", _reader(*span)(F.col(text).cast("string"), F.col("_info.z")))
     formats = F.array_sort(F.transform("_r", lambda x: x["format"]))
     stats = (
         r.where(F.size("_r") > 0)
