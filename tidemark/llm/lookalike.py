@@ -123,27 +123,39 @@ def representatives(counts: Mapping[str, int] | None = None) -> dict[str, str]:
 
 
 class Rewriter:
-    """Rewrites text to the consistent form: leftmost longest matches of one automaton, until nothing matches."""
+    """Rewrites text to the consistent form: leftmost longest matches of one automaton, until nothing matches.
+
+    The automaton only runs over the spans in which a character that can end a match occurs.
+    """
 
     def __init__(self, to: Mapping[str, str]) -> None:
         self.automaton = ahocorasick.Automaton()
         for s, r in to.items():
             self.automaton.add_word(s, (len(s), r))
         self.automaton.make_automaton()
+        self.longest = max(map(len, to), default=1)
+        self.ends = np.zeros(sys.maxunicode + 1, bool)
+        self.ends[[ord(s[-1]) for s in to]] = True
 
     def __call__(self, text: str) -> str:
-        if text.isascii():
-            return text
-        while True:
+        while not text.isascii():
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            hits = np.flatnonzero(self.ends[points])
+            if not hits.size:
+                break
+            cut = np.flatnonzero(np.diff(hits) > 64)
+            starts, stops = hits[np.concatenate(([0], cut + 1))], hits[np.concatenate((cut, [-1]))]
             out, at = [], 0
-            for end, (n, r) in self.automaton.iter_long(text):
-                out.append(text[at : end + 1 - n])
-                out.append(r)
-                at = end + 1
+            for start, stop in zip(starts.tolist(), stops.tolist(), strict=True):
+                for end, (n, r) in self.automaton.iter_long(text, max(0, start + 1 - self.longest), stop + 1):
+                    out.append(text[at : end + 1 - n])
+                    out.append(r)
+                    at = end + 1
             if not out:
-                return text
+                break
             out.append(text[at:])
             text = "".join(out)
+        return text
 
 
 def _numbers(texts: Iterable[str], block: int = 1 << 22) -> Iterator[np.ndarray]:
