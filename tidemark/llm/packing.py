@@ -131,7 +131,10 @@ def fill_containers(
             {"container_id": container, "doc_id": pdf["id"], "first_token": pdf["first"], "n_tokens": pdf["n"], "container_tokens": total}
         )
 
-    packed = items.select("grp", "id", "first", "n").groupBy("grp").applyInPandas(pack, SCHEMA)
+    # few bytes but much work: as many tasks as cores, which adaptive execution leaves apart
+    spark = docs.sparkSession
+    tasks = min(groups, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    packed = items.select("grp", "id", "first", "n").repartition(tasks, "grp").groupBy("grp").applyInPandas(pack, SCHEMA)
     return packed.withColumnRenamed("doc_id", id_col)
 
 
