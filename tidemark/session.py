@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per Spark context, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    home = Path(__file__).parent
+    to = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(str(to))
+    sc._tidemark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset and Spark is local."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
