@@ -143,20 +143,20 @@ def pair_tables(
     base = scratch_path(spark, "nearest")
     size = bytes_per_trigger or 64 * spark.sparkContext.defaultParallelism << 20
 
-    def side(path: str, i: str, t: str, where: Column | None) -> tuple[DataFrame, str]:
+    def side(name: str, path: str, i: str, t: str, where: Column | None) -> tuple[DataFrame, str]:
         schema = spark.read.parquet(path).schema
         # a pattern that only the path matches, as a stream takes no single file by its plain path
         s = spark.readStream.schema(schema).option("maxBytesPerTrigger", size).parquet(f"{path[:-1]}[{path[-1]}]")
         if where is not None:
             s = s.where(where)
         s = s.select(F.col(entity).cast("string").alias("entity"), F.col(i).cast("bigint").alias("id"), F.col(t).cast("timestamp").alias("at"))
-        end = f"{base}/end-{i}"
+        end = f"{base}/end-{name}"
         none = spark.createDataFrame([], s.schema)
         none.write.parquet(end)
         return s.unionByName(spark.readStream.schema(s.schema).parquet(end)), end
 
-    left, left_end = side(left_path, left_id, left_time, None)
-    right, right_end = side(right_path, right_id, right_time, right_filter)
+    left, left_end = side("left", left_path, left_id, left_time, None)
+    right, right_end = side("right", right_path, right_id, right_time, right_filter)
     joined = nearest_time_join(
         left, right, "entity", "id", "at", "id", "at", tolerance_seconds, behind, direction, slice_seconds
     ).where("left_id >= -9000000000000000000")
