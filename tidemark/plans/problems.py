@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.dedup import surplus_deliveries
 from tidemark.operators.grid import regular_grid
 from tidemark.operators.pointintime import as_known
-from tidemark.operators.timeparse import normalise_timestamps
+from tidemark.operators.timeparse import ABBREVIATIONS, normalise_timestamps
 from tidemark.sources.tables import table, usable
 
 SERIES = ["source", "symbol", "acq_window"]
@@ -104,6 +104,28 @@ j AS (SELECT e.*, s.state_id, s.fee_protocol_packed AS packed,
 k AS (SELECT *, CASE paid WHEN 0 THEN packed & 15 WHEN 1 THEN packed >> 4 & 15 ELSE 0 END AS den FROM j WHERE rn = 1),
 x AS (SELECT *, CASE WHEN den = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - 1.0::DOUBLE / den::DOUBLE END AS right_fraction FROM k)"""
 
+_FORMATS = "'%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y%m%dT%H%M%S', '%Y-%jT%H:%M:%S', '%d %b %Y %H:%M:%S', '%b %d, %Y %I:%M:%S %p'"
+_OFFSETS = ", ".join(f"('{k}', {v})" for k, v in ABBREVIATIONS.items())
+_TIMES = rf"""o(abb, minutes) AS (VALUES {_OFFSETS}),
+s AS (SELECT record_id, venue, zone_name, date_order, regexp_replace(regexp_replace(timestamp_raw, '^[\s"'']+|[\s"'']+$', '', 'g'), '^[A-Z][a-z][a-z], ', '') AS s
+  FROM venue_trades LEFT JOIN venues USING (venue)),
+z AS (SELECT *, regexp_extract(s, '(Z|[+-]\d\d(:?\d\d)?(\[[^\]]*\])?| [A-Z]{{3,4}}| [A-Z][a-z]+/[A-Za-z_]+)$', 1) AS z FROM s),
+b AS (SELECT *, left(s, length(s) - length(z)) AS b FROM z),
+f AS (SELECT *, regexp_extract(b, '[.,](\d+)$', 1) AS f, regexp_replace(b, '[.,]\d+$', '') AS d FROM b),
+n AS (SELECT *, COALESCE(try_strptime(d, [{_FORMATS}]),
+    CASE date_order WHEN 'dmy' THEN try_strptime(d, ['%d/%m/%Y %H:%M:%S', '%d/%m/%Y %I:%M:%S %p']) WHEN 'mdy' THEN try_strptime(d, ['%m/%d/%Y %H:%M:%S', '%m/%d/%Y %I:%M:%S %p'])
+      ELSE try_strptime(d, ['%Y/%m/%d %H:%M:%S', '%Y/%m/%d %I:%M:%S %p']) END) + INTERVAL 1 MICROSECOND * CAST(rpad(left(f, 6), 6, '0') AS INTEGER) AS local FROM f),
+l AS (SELECT *, CASE WHEN z = '' THEN zone_name WHEN contains(z, '/') AND z[1] = ' ' THEN trim(z) END AS named FROM n),
+c AS (SELECT *, timezone(named, local) AS c FROM l),
+y AS (SELECT record_id, venue, CASE
+  WHEN regexp_full_match(s, '\d{{10}}(\.\d+)?') THEN CAST(split_part(s, '.', 1) AS BIGINT) * 1000000 + CAST(rpad(left(split_part(s, '.', 2), 6), 6, '0') AS BIGINT)
+  WHEN regexp_full_match(s, '\d{{13}}') THEN CAST(s AS BIGINT) * 1000 WHEN regexp_full_match(s, '\d{{16}}') THEN CAST(s AS BIGINT)
+  WHEN regexp_full_match(s, '\d{{19}}') THEN CAST(s AS BIGINT) // 1000 WHEN regexp_full_match(s, '0x[0-9a-f]{{8}}') THEN CAST(s AS BIGINT) * 1000000
+  WHEN regexp_matches(z, '^[+-]') THEN epoch_us(local) - CASE WHEN z[1] = '-' THEN -1 ELSE 1 END * 60000000::BIGINT
+    * (CAST(z[2:3] AS BIGINT) * 60 + CAST(COALESCE(NULLIF(regexp_extract(z, '^...:?(\d\d)', 1), ''), '0') AS BIGINT))
+  WHEN named IS NOT NULL THEN epoch_us(CASE WHEN timezone(named, c - INTERVAL 1 HOUR) = local THEN c - INTERVAL 1 HOUR ELSE c END)
+  ELSE epoch_us(local) - minutes * 60000000::BIGINT END AS us FROM c LEFT JOIN o ON o.abb = trim(z))"""
+
 ORACLES = {
     "p2_found": f"""WITH {_READINGS},
 b AS (SELECT source, symbol, acq_window, min(slot) AS a, max(slot) AS z FROM r GROUP BY ALL),
@@ -132,4 +154,6 @@ SELECT delivery_id, state_id FROM x WHERE state_id IS NOT NULL
   AND (COALESCE(stamped <> packed, FALSE) OR COALESCE(abs(fraction - right_fraction) > 1e-9, FALSE))""",
     "p4_states": f"""WITH {_STATE}
 SELECT delivery_id, state_id, CASE WHEN state_id IS NOT NULL THEN round(right_fraction, 9) END AS lp_fraction FROM x""",
+    "p5_found": f"""WITH {_TIMES} SELECT record_id, us AS utc_micros FROM y WHERE us IS NOT NULL""",
+    "p5_formats": f"""WITH {_TIMES} SELECT venue, CASE WHEN us IS NULL THEN 'unreadable' ELSE 'ok' END AS time_status, count(*) AS n FROM y GROUP BY 1, 2""",
 }
