@@ -68,21 +68,21 @@ def band_path(tape: DataFrame, key: str, order: Sequence[str], target: str, pric
 
 
 def replay(
-    tape: DataFrame, key: str, order: Sequence[str], day: str, pool_price: str, ref_price: str, capital: float, low: float, high: float, fee_usd: str,
+    tape: DataFrame, key: str, order: Sequence[str], day: str, pool_price: str, ref_price: str, capital: float | str, low: float, high: float, fee_usd: str,
     band: float, cost_bps: float,
 ) -> DataFrame:
     """Per row the increments of a concentrated position in a range around its first price, hedged with a band.
 
     Columns besides ``key``, ``order`` and ``day``: ``lp_inc``, ``fee_inc``, ``hedge_inc``, ``cost_inc``, ``net_inc``
-    and ``held``. The range is [low, high] times the first pool price; the liquidity is that of ``capital`` at the
-    first reference price. A row's fee counts where its price is strictly in the range. The increments of a key add up to
+    and ``held``. The range is [low, high] times the first pool price; the liquidity is that of ``capital`` (a number, or a
+    column that is constant per key) at the first reference price. A row's fee counts where its price is strictly in the range. The increments of a key add up to
     its final value less the capital's initial value.
     """
     first = Window.partitionBy(key).orderBy(*order)
     t = tape.where(F.col(pool_price) > 0).where(F.col(ref_price) > 0)
-    start = t.groupBy(key).agg(F.min(F.struct(*order, F.col(pool_price).alias("p"), F.col(ref_price).alias("r"))).alias("s"))
-    start = start.select(F.col(key).alias("_k"), (F.col("s.p") * low).alias("_lo"), (F.col("s.p") * high).alias("_hi"), F.col("s.r").alias("_r0"))
-    start = start.withColumn("_l", liquidity_for_value(F.lit(capital), F.col("_r0"), F.col("_lo"), F.col("_hi")))
+    start = t.groupBy(key).agg(F.min(F.struct(*order, F.col(pool_price).alias("p"), F.col(ref_price).alias("r"), (F.col(capital) if isinstance(capital, str) else F.lit(capital)).alias("c"))).alias("s"))
+    start = start.select(F.col(key).alias("_k"), (F.col("s.p") * low).alias("_lo"), (F.col("s.p") * high).alias("_hi"), F.col("s.r").alias("_r0"), F.col("s.c").alias("_c"))
+    start = start.withColumn("_l", liquidity_for_value(F.col("_c"), F.col("_r0"), F.col("_lo"), F.col("_hi")))
     j = t.join(start, F.col(key).eqNullSafe(F.col("_k")), "inner")
     a0, a1 = position_amounts(F.col("_l"), F.col(ref_price), F.col("_lo"), F.col("_hi"))
     j = j.select(

@@ -97,3 +97,31 @@ def yield_over(rates: DataFrame, keys: Sequence[str], us: str, rate: str, start_
     to = F.coalesce(F.lead("from_us").over(Window.partitionBy(*keys).orderBy("from_us")), F.lit(end_us))
     r = r.withColumn("g", F.log1p("x.r") * ((to - F.col("from_us")) / year))
     return r.groupBy(*keys).agg(F.expm1(F.sum("g")).alias("total"), (F.min("seen") <= start_us).alias("covered"))
+
+
+def time_weighted_mean(df: DataFrame, keys: Sequence[str], us: str, value: str, tie: str, chunk_us: int = 3_600_000_000) -> DataFrame:
+    """(keys, mean, seconds): mean of the usable values, each weighed by the time to the next; the last one weighs nothing.
+
+    At one time the value with the largest ``tie`` counts. A series without any such time has the plain mean of its
+    values. Sums within chunks of time are bridged by the chunks' ends, so a series is never in one task.
+    """
+    d = df.where(usable(value) & F.col(us).isNotNull()).groupBy(*keys, F.col(us).alias("t")).agg(F.max_by(value, tie).alias("v"))
+    d = d.withColumn("chunk", F.col("t") - F.pmod(F.col("t"), F.lit(chunk_us)))
+    d = d.withColumn("gap", F.lead("t").over(Window.partitionBy(*keys, "chunk").orderBy("t")) - F.col("t"))
+    c = d.groupBy(*keys, "chunk").agg(
+        F.sum(F.col("v") * F.col("gap")).alias("s"), F.sum("gap").alias("g"), F.min("t").alias("a"), F.max(F.struct("t", "v")).alias("z"),
+        F.sum("v").alias("all"), F.count("*").alias("n"),
+    )
+    over = F.lead("a").over(Window.partitionBy(*keys).orderBy("chunk")) - F.col("z.t")
+    c = c.withColumn("over", F.coalesce(over, F.lit(0)))
+    t = c.groupBy(*keys).agg(
+        F.sum(F.coalesce("s", F.lit(0.0)) + F.col("z.v") * F.col("over")).alias("s"), F.sum(F.coalesce("g", F.lit(0)) + F.col("over")).alias("g"),
+        (F.sum("all") / F.sum("n")).alias("plain"),
+    )
+    return t.select(*keys, F.when(F.col("g") > 0, F.col("s") / F.nullif("g", F.lit(0))).otherwise(F.col("plain")).alias("mean"), (F.col("g") / 1e6).alias("seconds"))
+
+
+def ratio_of_mean(daily: DataFrame, keys: Sequence[str], value: str, periods: float = 365.0) -> DataFrame:
+    """(keys, n, ratio): yearly mean over standard deviation of zero-filled periods; NULL for fewer than two or without spread."""
+    sd = F.stddev_samp(value)
+    return daily.groupBy(*keys).agg(F.count(value).alias("n"), F.when(sd > 0, F.avg(value) / sd * (periods**0.5)).alias("ratio"))

@@ -265,13 +265,55 @@ def sign_null(spark: SparkSession, d: str) -> DataFrame:
     return inference.shuffled_sign_null(s, "sign", "move", 200)
 
 
+def gap_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
+    m = series.time_weighted_mean(_metrics(spark, d), ["source", "symbol"], "at", "mid", "ref_id")
+    return m.withColumns({"mean": F.round("mean", 6), "seconds": F.round("seconds", 6)})
+
+
+def cash_increments(spark: SparkSession, d: str) -> DataFrame:
+    t = _targets(spark, d).select("symbol", "us").distinct()
+    i = t.select("symbol", F.lag("us").over(Window.partitionBy("symbol").orderBy("us")).alias("start_us"), F.col("us").alias("end_us"))
+    m = _metrics(spark, d).where(F.col("source") == METRIC).select("symbol", "at", "ref_id", "mid")
+    k = asof.latest_before(i.where("start_us is not null"), m, "symbol", "start_us", "at", ["ref_id", "mid"])
+    rate = F.when(F.col("ref_mid").isNotNull(), F.least(F.col("ref_mid") * 1e-3, F.lit(0.5)))
+    grown = F.expm1(F.log1p(rate) * ((F.col("end_us") - F.col("start_us")) / (365 * 86400 * 1e6)))
+    return k.select("symbol", "end_us", F.round(grown, 12).alias("increment"))
+
+
+def markout_summary(spark: SparkSession, d: str) -> DataFrame:
+    m = markouts(spark, d).groupBy("horizon_seconds")
+    return m.agg(F.count("markout_bps").alias("n"), F.round(F.avg("markout_bps"), 6).alias("mean_bps"), F.round(F.percentile("markout_bps", F.lit(0.5)), 6).alias("median_bps"))
+
+
+def mean_to_spread(spark: SparkSession, d: str) -> DataFrame:
+    daily = series.daily_sums(_order_days(spark, d), ["o_orderpriority"], "us", "v", fill=True)
+    return series.ratio_of_mean(daily, ["o_orderpriority"], "total").withColumn("ratio", F.round("ratio", 6))
+
+
+def block_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The first block at or after and the last at or before each full hour."""
+    hour = 3_600_000_000
+    b = table(spark, d, "pool_events").select("block_number", micros("timestamp").alias("us")).where("us is not null")
+    b = b.groupBy("block_number").agg(F.min("us").alias("us"))
+    h = b.withColumn("hour_us", F.col("us") - F.pmod("us", F.lit(hour)))
+    return h.groupBy("hour_us").agg(F.min_by("block_number", F.struct("us", "block_number")).alias("first_block"), F.max_by("block_number", F.struct("us", "block_number")).alias("last_block"))
+
+
+def capacity_sweep(spark: SparkSession, d: str) -> DataFrame:
+    p = _prices(spark, d).where("price is not null").withColumn("capital", F.explode(F.array(*[F.lit(float(x)) for x in (1e3, 1e4, 1e5)])))
+    t = p.select(F.concat_ws("|", "pool", F.col("capital").cast("string")).alias("run"), "block_number", "log_index", F.lit(0).alias("day"), "price", F.col("price").alias("ref"), "capital", F.lit(0.0).alias("fee"))
+    r = fold.replay(t, "run", ["block_number", "log_index"], "day", "price", "ref", "capital", 0.8, 1.25, "fee", 50.0, 2.0)
+    r = r.withColumn("capital", F.split_part("run", F.lit("|"), F.lit(2)).cast("double"))
+    return r.groupBy("capital").agg(F.sum("net_inc").alias("net"), F.count(F.when(F.col("cost_inc") != 0, 1)).alias("trades"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         asof_backward, asof_latest, markouts, priority_fallback, coverage_grid, venue_overlap, worst_symbols, anti_missing, sensitivity,
         target_counts, dedupe_first, fee_state, interval_sums, last_5min, daily_sum, daily_sum_zero_fill, realized_variance, regime_tails,
         max_gap, rate_integral, position_arithmetic, swap_decode, block_times, reference_union, band_path, replay_daily, fifo_lots,
-        lot_overlap, block_length, bootstrap, power, sign_null,
+        gap_weighted_mean, cash_increments, markout_summary, mean_to_spread, block_bounds, capacity_sweep, lot_overlap, block_length, bootstrap, power, sign_null,
     )
 }
 
@@ -399,4 +441,20 @@ r AS (SELECT lag, c / (SELECT c FROM k WHERE lag = 0) AS rho FROM k WHERE lag >
 b AS (SELECT (lag - 1) // 2 AS pair, sum(rho) AS s FROM r GROUP BY 1 HAVING count(*) = 2), o AS (SELECT s, min((s > 0)::INT) OVER (ORDER BY pair) AS good FROM b),
 t AS (SELECT greatest(1, 1 + 2 * COALESCE(sum(s), 0)) AS tau FROM o WHERE good = 1)
 SELECT round(tau, 6) AS tau, least(greatest(ceil(tau), 1), 1000)::INTEGER AS blocks FROM t""",
+    "gap_weighted_mean": f"""WITH {_M}, u AS (SELECT source, symbol, tm, arg_max(mid, ref_id) AS v FROM m GROUP BY ALL),
+g AS (SELECT *, lead(tm) OVER (PARTITION BY source, symbol ORDER BY tm) - tm AS gap FROM u)
+SELECT source, symbol, round(CASE WHEN sum(gap) > 0 THEN sum(v * gap) / sum(gap) ELSE avg(v) END, 6) AS mean, round(COALESCE(sum(gap), 0) / 1e6, 6) AS seconds
+FROM g GROUP BY source, symbol""",
+    "cash_increments": f"""WITH {_T}, {_M}, u AS (SELECT DISTINCT symbol, us FROM t),
+i AS (SELECT symbol, lag(us) OVER (PARTITION BY symbol ORDER BY us) AS start_us, us AS end_us FROM u),
+r AS (SELECT symbol, tm, least(arg_max(mid, ref_id) * 1e-3, 0.5) AS rate FROM m WHERE source = '{METRIC}' GROUP BY ALL),
+j AS (SELECT i.*, r.rate FROM (SELECT * FROM i WHERE start_us IS NOT NULL) i ASOF LEFT JOIN r ON i.symbol = r.symbol AND i.start_us >= r.tm)
+SELECT symbol, end_us, round(exp(ln(1 + rate) * ((end_us - start_us) / (365 * 86400 * 1e6))) - 1, 12) AS increment FROM j""",
+    "mean_to_spread": f"""WITH {_DAYS}, g AS (SELECT o_orderpriority, unnest(generate_series(min(day), max(day))) AS day FROM d GROUP BY 1),
+f AS (SELECT o_orderpriority, COALESCE(total, 0) AS v FROM g LEFT JOIN d USING (o_orderpriority, day))
+SELECT o_orderpriority, count(*) AS n, round(avg(v) / stddev_samp(v) * sqrt(365), 6) AS ratio FROM f GROUP BY 1""",
+    "block_bounds": """WITH b AS (SELECT block_number, min(epoch_us(timestamp)) AS us FROM pool_events WHERE timestamp IS NOT NULL GROUP BY 1)
+SELECT us - us % 3600000000 AS hour_us, arg_min(block_number, ROW(us, block_number)) AS first_block, arg_max(block_number, ROW(us, block_number)) AS last_block FROM b GROUP BY 1""",
 }
+ORACLES["markout_summary"] = f"""WITH k AS ({ORACLES["markouts"]}) SELECT horizon_seconds, count(markout_bps) AS n, round(avg(markout_bps), 6) AS mean_bps,
+  round(quantile_cont(markout_bps, 0.5), 6) AS median_bps FROM k GROUP BY 1"""
