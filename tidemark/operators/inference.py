@@ -95,34 +95,40 @@ def power(df: DataFrame, order: str, value: str, n: int, effect: float, outer: i
     return draws.agg(F.count("*").alias("reps"), F.avg(F.col("passed").cast("double")).alias("power"))
 
 
-def shuffled_sign_null(df: DataFrame, sign: str, value: str, reps: int = 1000, seed: int = 7) -> DataFrame:
+def shuffled_sign_null(df: DataFrame, sign: str, value: str, reps: int = 1000, seed: int = 7, rows_per_block: int = 100_000) -> DataFrame:
     """(rep, mean): the mean of sign times value when the signs are permuted over all rows.
 
-    How many positive signs each block of rows gets in a repetition is drawn exactly (hypergeometric, block after
-    block), the rows within a block then permute: together a uniform permutation of the whole table, in one pass.
+    Equal values are counted first. How many positive signs each block of values gets in a repetition is drawn exactly
+    (hypergeometric, block after block), then how many each value of the block gets: together a uniform permutation of
+    the whole table's signs, in one pass and without a large group. Rows with other signs or without value don't count. The
+    draws take up to 10^9 rows; more are refused.
     """
     d = df.where(F.col(sign).isin(1, -1) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    d = d.select(F.col(sign).cast("int").alias("s"), F.col(value).cast("double").alias("v"))
-    d = d.withColumn("block", F.pmod(F.xxhash64("v", "s"), F.lit(64)).cast("int"))
-    sizes = {r["block"]: (r["n"], r["up"]) for r in d.groupBy("block").agg(F.count("*").alias("n"), F.sum((F.col("s") > 0).cast("bigint")).alias("up")).collect()}
-    total, ups = sum(n for n, _ in sizes.values()), sum(u for _, u in sizes.values())
+    d = d.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"), F.sum((F.col(sign) > 0).cast("bigint")).alias("up"))
+    whole = d.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("up").alias("up")).first()
+    if (whole["n"] or 0) >= 1_000_000_000:
+        raise ValueError("more than 10^9 rows: aggregate the values first")
+    blocks = max(8, -(-whole["k"] // rows_per_block))
+    d = d.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    sizes = {r["block"]: r["n"] for r in d.groupBy("block").agg(F.sum("n").alias("n")).collect()}
+    left, rng = whole["n"] or 0, np.random.default_rng(seed)
+    total, good = left, np.full(reps, whole["up"] or 0, np.int64)
     given: dict[int, np.ndarray] = {}
-    left, good, rng = total, np.full(reps, ups, np.int64), np.random.default_rng(seed)
     for b in sorted(sizes):
-        n = sizes[b][0]
-        given[b] = rng.hypergeometric(good, left - good, n) if left else np.zeros(reps, np.int64)
-        good, left = good - given[b], left - n
+        given[b] = rng.hypergeometric(good, left - good, sizes[b])
+        good, left = good - given[b], left - sizes[b]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v, out = np.sort(pdf["v"].to_numpy()), np.empty(reps)
-        everything = v.sum()
+        pdf = pdf.sort_values("v")
+        v, n, out = pdf["v"].to_numpy(), pdf["n"].to_numpy(np.int64), np.empty(reps)
+        everything = float(v @ n)
         for rep in range(reps):
             r = np.random.default_rng([seed, rep, key[0]])
-            out[rep] = 2 * v[r.permutation(len(v))[: given[key[0]][rep]]].sum() - everything
+            out[rep] = 2 * float(v @ r.multivariate_hypergeometric(n, given[key[0]][rep], method="marginals")) - everything
         return pd.DataFrame({"rep": np.arange(reps), "part": out})
 
-    parts = d.groupBy("block").applyInPandas(run, "rep bigint, part double")
-    return parts.groupBy("rep").agg((F.sum("part") / total if total else F.sum("part")).alias("mean"))
+    parts = d.select("block", "v", "n").groupBy("block").applyInPandas(run, "rep bigint, part double")
+    return parts.groupBy("rep").agg((F.sum("part") / F.lit(max(total, 1))).alias("mean"))
 
 
 def markouts(aligned: DataFrame, reference: DataFrame, key: str, row_id: str, us: str, ref_us: str, ref_id: str, mid: str, at_mid: str, sign: str, horizons: Sequence[int], tolerance_us: int) -> DataFrame:

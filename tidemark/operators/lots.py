@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,16 @@ def fifo_lots(tape: DataFrame, keys: Sequence[str], order: Sequence[str], amount
     return out if max_blocks is None else out.where(F.col("lifetime") <= max_blocks)
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """(``_row``, ``_n``): each different row once, with how often it occurs; so results need no generated row numbers."""
+    return df.groupBy(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")).agg(F.count("*").alias("_n"))
+
+
+def _restored(df: DataFrame, columns: Sequence[str], *values: Column) -> DataFrame:
+    df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in columns], *values)
+
+
 def sums_over_intervals(intervals: DataFrame, events: DataFrame, key: str, start: str, end: str, at: str, value: str, width: int) -> DataFrame:
     """``intervals`` with ``total`` and ``n_events``: the events of the key in (start, end]; 0 where there is none.
 
@@ -55,14 +65,15 @@ def sums_over_intervals(intervals: DataFrame, events: DataFrame, key: str, start
     all chunks before, so cost is one row per end and event however long the intervals are. NULL ends give NULL.
     """
     chunk = lambda c: ((c - F.pmod(c, F.lit(width))) / F.lit(width)).cast("bigint")
-    i = intervals.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in intervals.columns])).withColumn("_id", F.monotonically_increasing_id())
-    ends = i.select(F.col(key).alias("k"), F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(-1).alias("s")), F.struct(F.col(end).alias("t"), F.lit(1).alias("s")))).alias("x"), "_id", "_row")
-    ends = ends.select("k", F.col("x.t").alias("t"), F.col("x.s").alias("s"), "_id", F.when(F.col("x.s") == 1, F.col("_row")).alias("_row"), F.lit(None).cast("double").alias("v"))
+    i = _counted(intervals)
+    own = lambda c: F.col("_row").getField(c)
+    ends = i.select(own(key).alias("k"), F.explode(F.array(F.struct(own(start).alias("t"), F.lit(-1).alias("s")), F.struct(own(end).alias("t"), F.lit(1).alias("s")))).alias("x"), "_row", "_n")
+    ends = ends.select("k", F.col("x.t").alias("t"), F.col("x.s").alias("s"), "_row", "_n", F.lit(None).cast("double").alias("v"))
     ev = events.where(F.col(at).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("t"), F.coalesce(F.col(value), F.lit(0.0)).cast("double").alias("v"))
-    e = ev.select("k", "t", F.lit(0).alias("s"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast(i.schema["_row"].dataType).alias("_row"), "v")
+    e = ev.select("k", "t", F.lit(0).alias("s"), F.lit(None).cast(i.schema["_row"].dataType).alias("_row"), F.lit(None).cast("bigint").alias("_n"), "v")
     rows = ends.unionByName(e).withColumn("c", chunk(F.col("t")))
     w = Window.partitionBy("k", "c").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("run", F.coalesce(F.sum("v").over(w), F.lit(0.0))).withColumn("cnt", F.count("v").over(w)).where("_id is not null")
+    rows = rows.withColumn("run", F.coalesce(F.sum("v").over(w), F.lit(0.0))).withColumn("cnt", F.count("v").over(w)).where("_n is not null")
     per = ev.withColumn("c", chunk(F.col("t"))).groupBy("k", "c").agg(F.sum("v").alias("cv"), F.count("*").alias("cn"))
     marks = rows.select("k", "c").distinct().withColumn("wanted", F.lit(True)).withColumn("cv", F.lit(0.0)).withColumn("cn", F.lit(0).cast("bigint"))
     past = Window.partitionBy("k").orderBy("c").rangeBetween(Window.unboundedPreceding, -1)
@@ -70,13 +81,13 @@ def sums_over_intervals(intervals: DataFrame, events: DataFrame, key: str, start
         "k", "c", "wanted", F.coalesce(F.sum("cv").over(past), F.lit(0.0)).alias("bv"), F.coalesce(F.sum("cn").over(past), F.lit(0)).alias("bn")
     ).where("wanted")
     full = rows.join(base, ["k", "c"], "left")
-    g = full.groupBy("_id").agg(
-        F.max("_row").alias("_row"),
+    g = full.groupBy("_row", "_n").agg(
         F.sum(F.col("s") * (F.col("run") + F.col("bv"))).alias("total"),
         F.sum(F.col("s") * (F.col("cnt") + F.col("bn"))).alias("n_events"),
     )
-    ok = F.col("_row").getField(start).isNotNull() & F.col("_row").getField(end).isNotNull()
-    return g.select(*[F.col("_row").getField(c).alias(c) for c in intervals.columns], F.when(ok, F.col("total")).alias("total"), F.when(ok, F.col("n_events")).cast("bigint").alias("n_events"))
+    ok = own(start).isNotNull() & own(end).isNotNull()
+    # a key without events has no sums before
+    return _restored(g, intervals.columns, F.when(ok, F.coalesce("total", F.lit(0.0))).alias("total"), F.when(ok, F.coalesce("n_events", F.lit(0))).cast("bigint").alias("n_events"))
 
 
 def active_amounts(points: DataFrame, lots: DataFrame, key: str, block: str, tick: str, max_blocks: int) -> DataFrame:
@@ -88,9 +99,10 @@ def active_amounts(points: DataFrame, lots: DataFrame, key: str, block: str, tic
     spread = lots.where(F.col("out_block") - F.col("in_block") <= max_blocks).select(
         F.col(key).alias("_k"), F.explode(F.sequence("in_block", "out_block")).alias("_b"), "tick_lower", "tick_upper", F.col("amount").cast("double").alias("_amount")
     )
-    p = points.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in points.columns])).withColumn("_id", F.monotonically_increasing_id())
-    p = p.select("_id", "_row", F.col(key).alias("_k"), F.col(block).alias("_b"), F.col(tick).alias("_t"))
+    p = _counted(points)
+    own = lambda c: F.col("_row").getField(c)
+    p = p.select("_row", "_n", own(key).alias("_k"), own(block).alias("_b"), own(tick).alias("_t"))
     wanted = (F.col("p._k") == F.col("s._k")) & (F.col("p._b") == F.col("s._b")) & (F.col("s.tick_lower") <= F.col("p._t")) & (F.col("p._t") < F.col("s.tick_upper"))
     j = p.alias("p").join(spread.alias("s"), wanted, "left")
-    g = j.groupBy("p._id").agg(F.first("p._row").alias("_row"), F.coalesce(F.sum("s._amount"), F.lit(0.0)).alias("active"))
-    return g.select(*[F.col("_row").getField(c).alias(c) for c in points.columns], "active")
+    g = j.groupBy("p._row", "p._n").agg(F.coalesce(F.sum("s._amount"), F.lit(0.0)).alias("active"))
+    return _restored(g, points.columns, F.col("active"))
