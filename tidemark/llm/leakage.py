@@ -138,7 +138,7 @@ def seed_hits(
     return (
         train.join(test, ["seed", "hash"])
         .groupBy("doc", "item", "doc_pos", "item_pos")
-        .agg(F.countDistinct("seed").cast("int").alias("n_seeds"))
+        .agg(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("seed")))).alias("n_seeds"))
     )
 
 
