@@ -21,7 +21,9 @@ def test_bins_hold_every_item_once():
     x = [rng.randrange(1, 100) for _ in range(500)]
     bins = list(minimum_bin_slack(x, 100))
     assert sorted(i for b in bins for i in b) == list(range(500)) and all(sum(x[i] for i in b) <= 100 for b in bins)
-    assert len(bins) <= -(-sum(x) // 100) + 1
+    # no packing needs fewer bins than the volume, nor than the items of which no two fit together
+    # and the heuristic comes within a hundredth of that
+    assert len(bins) <= 1.01 * max(-(-sum(x) // 100), sum(n > 50 for n in x))
 
 
 def test_every_token_comes_out_once(spark):
