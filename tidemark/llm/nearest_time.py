@@ -166,12 +166,13 @@ def pair_tables(
             end = end.select("entity", "id", F.timestamp_seconds("s").alias("at")).coalesce(1)
             for to in (left_end, right_end):
                 end.write.mode("append").parquet(to)
-        q = (
-            joined.writeStream.format("parquet")
-            .option("path", f"{base}/out")
-            .option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
+        writer = joined.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        # a stateful stream has one state store a shuffle partition, which adaptive execution can't merge
+        was = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(was), 2 * spark.sparkContext.defaultParallelism)))
+        try:
+            q = writer.trigger(availableNow=True).start()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", was)
         q.awaitTermination()
     return spark.read.schema(joined.schema).parquet(f"{base}/out")
