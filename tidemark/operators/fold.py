@@ -6,11 +6,34 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.amm import liquidity_for_value, position_amounts
+from tidemark.operators.ordered import CHUNK, attach, ordered_chunks, with_previous
+from tidemark.session import written
+
+
+def bounds(target: np.ndarray, price: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions below the first or above the second are off by more than ``band`` in value; without a price there are none."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(price > 0, band / price, np.inf)
+    return target - far, target + far
+
+
+def _first_outside(low: np.ndarray, high: np.ndarray, held: float, i: int) -> int:
+    """The first row from ``i`` on whose bounds exclude ``held``, or the number of rows."""
+    step = 64
+    while i < len(low):
+        off = (held < low[i : i + step]) | (held > high[i : i + step])
+        k = int(off.argmax())
+        if off[k]:
+            return i + k
+        i, step = i + len(off), min(step * 2, 65_536)
+    return len(low)
 
 
 def follow(target: np.ndarray, price: np.ndarray, band: np.ndarray, held: float | None) -> np.ndarray:
@@ -18,53 +41,119 @@ def follow(target: np.ndarray, price: np.ndarray, band: np.ndarray, held: float
 
     The first row ever (``held`` is None) takes the target. Rows between two changes are skipped in blocks.
     """
-    out, i, n = np.empty(len(target)), 0, len(target)
-    if n and held is None:
-        held, out[0], i = target[0], target[0], 1
+    out, n = np.empty(len(target)), len(target)
+    low, high = bounds(target, price, band)
+    i = 0 if held is None else _first_outside(low, high, held, 0)
+    out[:i] = held
     while i < n:
-        to = min(i + 512, n)
-        off = np.abs(target[i:to] - held) * price[i:to] > band[i:to]
-        k = int(off.argmax()) if off.any() else to - i
-        out[i : i + k] = held
-        i += k
-        if i < to:
-            held = out[i] = target[i]
-            i += 1
+        j = _first_outside(low, high, target[i], i + 1)
+        out[i:j] = target[i]
+        i = j
     return out
 
 
-def band_path(tape: DataFrame, key: str, order: Sequence[str], target: str, price: str, band: str, tasks: int | None = None) -> DataFrame:
+def steps(target: np.ndarray, price: np.ndarray, band: np.ndarray) -> dict[str, object]:
+    """What the rows make of any position held before them, as a step function.
+
+    A position is given up at the first row whose bounds exclude it, so at a new highest lower or lowest upper bound;
+    what is held at the end follows from that row alone. No position outlasts the row at which the highest lower bound
+    passes the lowest upper one, so only new extremes up to there count.
+    """
+    n = len(target)
+    low, high = bounds(target, price, band)
+    top, bottom = np.maximum.accumulate(low), np.minimum.accumulate(high)
+    crossed = top > bottom
+    stop = int(crossed.argmax()) + 1 if crossed.any() else n
+    up = np.flatnonzero(np.r_[True, top[1:stop] > top[: stop - 1]])
+    down = np.flatnonzero(np.r_[True, bottom[1:stop] < bottom[: stop - 1]])
+    ends: dict[int, float] = {}
+
+    def end(i: int) -> float:
+        path = []
+        while i not in ends:
+            path.append(i)
+            j = _first_outside(low, high, target[i], i + 1)
+            if j == n:
+                ends[i] = float(target[i])
+            else:
+                i = j
+        for k in path:
+            ends[k] = ends[i]
+        return ends[i]
+
+    return {
+        "first": end(0),
+        "up_at": up.tolist(), "up": top[up].tolist(), "up_end": [end(int(i)) for i in up],
+        "down_at": down.tolist(), "down": bottom[down].tolist(), "down_end": [end(int(i)) for i in down],
+    }
+
+
+def after(s: dict[str, object], held: float | None) -> float:
+    """The position after the rows of a step function, for the one held before."""
+    if held is None:
+        return s["first"]
+    u = int(np.searchsorted(np.asarray(s["up"], float), held, "right"))
+    d = int(np.searchsorted(-np.asarray(s["down"], float), -held, "right"))
+    up_at = s["up_at"][u] if u < len(s["up_at"]) else None
+    down_at = s["down_at"][d] if d < len(s["down_at"]) else None
+    if up_at is None and down_at is None:
+        return held
+    return s["up_end"][u] if down_at is None or (up_at is not None and up_at <= down_at) else s["down_end"][d]
+
+
+_STEPS = "first double, up_at array<bigint>, up array<double>, up_end array<double>, down_at array<bigint>, down array<double>, down_end array<double>"
+
+
+def _sorted(rows: pa.Table, order: Sequence[str]) -> pa.Table:
+    return rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+
+
+def _numbers(rows: pa.Table, names: Sequence[str]) -> list[np.ndarray]:
+    return [rows[c].cast(pa.float64()).to_numpy() for c in names]
+
+
+def _chunked_path(tape: DataFrame, key: str, order: Sequence[str], target: str, price: str, band: str) -> DataFrame:
+    names, order = (target, price, band), list(order)
+    rows = tape
+    for c in names:
+        rows = rows.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    rows = ordered_chunks(rows, [key], order, "fold")
+    kind = rows.select(F.col(key).alias("k")).schema["k"].dataType.simpleString()
+
+    def summarise(k: tuple, t: pa.Table) -> pa.Table:
+        s = steps(*_numbers(_sorted(t, order), names))
+        return pa.table({"k": pa.array([k[0].as_py()], k[0].type), CHUNK: pa.array([k[1].as_py()], pa.int32()), **{c: [v] for c, v in s.items()}})
+
+    def enter(k: tuple, t: pa.Table) -> pa.Table:
+        held, found = None, []
+        for s in _sorted(t, [CHUNK]).to_pylist():
+            found.append(held)
+            held = after(s, held)
+        t = _sorted(t, [CHUNK])
+        return pa.table({"k": t["k"], CHUNK: t[CHUNK], "_held": pa.array(found, pa.float64())})
+
+    def walk(k: tuple, t: pa.Table) -> pa.Table:
+        t = _sorted(t, order)
+        h = follow(*_numbers(t, names), t["_held"][0].as_py())
+        return t.drop_columns(["_held"]).append_column("held", pa.array(h, pa.float64()))
+
+    few = rows.select(F.col(key).alias("k"), CHUNK, *dict.fromkeys([*order, *names]))
+    s = few.groupBy("k", CHUNK).applyInArrow(summarise, f"k {kind}, {CHUNK} int, {_STEPS}")
+    entering = s.groupBy("k").applyInArrow(enter, f"k {kind}, {CHUNK} int, _held double")
+    joined = attach(rows, entering.withColumnRenamed("k", key), [key])
+    return joined.groupBy(key, CHUNK).applyInArrow(walk, rows.withColumn("held", F.lit(0.0)).schema)
+
+
+def band_path(tape: DataFrame, key: str, order: Sequence[str], target: str, price: str, band: str) -> DataFrame:
     """``tape`` with ``held``: per key and in order, the position that follows ``target`` with a band of no action.
 
-    The recursion is sequential, so one key is one sorted stream; it passes a task batch by batch with only the last
-    position kept, so a long tape needs time but not memory. Rows with NULL or NaN target, price or band are left
-    out; rows with NULL key form a key of their own.
+    The recursion is sequential, but what a chunk of a key's rows makes of any entering position is a step function
+    with few steps. So each chunk is summarised, a key's summaries (one row per chunk) are chained, and each chunk is
+    walked through from the position with which it is entered: a key may hold any share of all rows. Rows with NULL or
+    NaN target, price or band are left out; a price that isn't positive moves nothing, unless the row is the first;
+    rows with NULL key form a key of their own. ``order`` must be without ties within a key.
     """
-    fit = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (target, price, band)]
-    rows = tape.where(fit[0] & fit[1] & fit[2])
-    rows = rows.repartition(tasks, key) if tasks else rows.repartition(key)
-    out = tape.withColumn("held", F.lit(0.0)).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = object(), None
-        for b in batches:
-            k = b[key].to_numpy(object)
-            new = np.empty(len(b), bool)
-            if len(b):
-                new[0] = k[0] != at and not (k[0] is None and at is None)
-                new[1:] = [x != y for x, y in zip(k[1:], k[:-1], strict=True)]
-            cuts = [*np.flatnonzero(new).tolist(), len(b)]
-            if not cuts or cuts[0] != 0:
-                cuts = [0, *cuts]
-            t, p, w = (b[c].to_numpy(float) for c in (target, price, band))
-            h = np.empty(len(b))
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi > lo:
-                    h[lo:hi] = follow(t[lo:hi], p[lo:hi], w[lo:hi], None if new[lo] else held)
-                    held, at = h[hi - 1], k[hi - 1]
-            yield b.assign(held=h)
-
-    return rows.sortWithinPartitions(key, *order).mapInPandas(run, out)
+    return _chunked_path(tape, key, order, target, price, band).drop(CHUNK)
 
 
 def replay(
@@ -78,7 +167,6 @@ def replay(
     column that is constant per key) at the first reference price. A row's fee counts where its price is strictly in the range. The increments of a key add up to
     its final value less the capital's initial value.
     """
-    first = Window.partitionBy(key).orderBy(*order)
     t = tape.where(F.col(pool_price) > 0).where(F.col(ref_price) > 0)
     start = t.groupBy(key).agg(F.min(F.struct(*order, F.col(pool_price).alias("p"), F.col(ref_price).alias("r"), (F.col(capital) if isinstance(capital, str) else F.lit(capital)).alias("c"))).alias("s"))
     start = start.select(F.col(key).alias("_k"), (F.col("s.p") * low).alias("_lo"), (F.col("s.p") * high).alias("_hi"), F.col("s.r").alias("_r0"), F.col("s.c").alias("_c"))
@@ -89,8 +177,9 @@ def replay(
         key, *order, day, F.col(ref_price).alias("ref"), a0.alias("a0"), (a0 * F.col(ref_price) + a1).alias("lp"), F.lit(band).alias("band"),
         F.when((F.col(pool_price) > F.col("_lo")) & (F.col(pool_price) < F.col("_hi")), F.coalesce(F.col(fee_usd), F.lit(0.0))).otherwise(0.0).alias("fee_inc"),
     )
-    h = band_path(j, key, order, "a0", "ref", "band")
-    prev = lambda c: F.lag(c).over(first)
+    h = written(_chunked_path(j, key, order, "a0", "ref", "band"), "path")
+    h = with_previous(h, [key], order, ["lp", "held", "ref"])
+    prev = lambda c: F.col("_prev").getField(c)
     zero = F.lit(0.0)
     h = h.withColumns(
         {

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import CHUNK, attach, chunk_line, ordered_chunks
+
 
 def fifo_lots(tape: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, block: str, max_blocks: int | None = None) -> DataFrame:
     """Matches what each key takes out against what it put in, first in first out.
@@ -17,31 +19,45 @@ def fifo_lots(tape: DataFrame, keys: Sequence[str], order: Sequence[str], amount
 
     Running sums give each entry and each exit an interval of the key's cumulative volume; a piece is where both
     overlap. Entry and exit intervals are each disjoint, so cutting the volume line at all their ends and carrying the
-    latest entry and exit forward finds all pieces without a join. One key's rows are sorted in one task's stream (the
-    matching is sequential by nature) and spill to disk.
+    latest entry and exit forward finds all pieces without a join. Sums, smallest sums and carried rows run within
+    chunks of the order and of the volume line and go on from the chunks before, so a key may hold any share of all rows.
     """
     keys, dec = list(keys), "decimal(38,0)"
-    w = Window.partitionBy(*keys).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.lit(0).cast(dec)
     a = F.col(amount).try_cast(dec)
-    t = tape.select(*keys, *order, F.col(block).alias("_block"), a.alias("_a")).where("_a is not null and _a != 0")
-    t = t.withColumn("_s", F.sum("_a").over(run).cast(dec))
-    t = t.withColumn("_void", F.greatest(-F.min("_s").over(run), F.lit(0).cast(dec)))
-    t = t.withColumn("_in", F.sum(F.when(F.col("_a") > 0, F.col("_a")).otherwise(0)).over(run).cast(dec))
-    t = t.withColumn("_out", (F.col("_in") - F.col("_s") - F.col("_void")).cast(dec))
-    before = F.coalesce(F.lag("_out").over(w), F.lit(0).cast(dec))
-    t = t.withColumn("_out_from", before)
-    entry = t.where("_a > 0").select(*keys, (F.col("_in") - F.col("_a")).cast(dec).alias("at"), F.struct(F.col("_in").alias("to"), "_block").alias("entry"), F.lit(None).cast(f"struct<to:{dec},_block:bigint>").alias("exit"))
-    left = t.where("_a < 0 and _out > _out_from").select(*keys, F.col("_out_from").cast(dec).alias("at"), F.lit(None).cast(f"struct<to:{dec},_block:bigint>").alias("entry"), F.struct(F.col("_out").alias("to"), "_block").alias("exit"))
-    both = entry.withColumn("entry", F.col("entry").cast(f"struct<to:{dec},_block:bigint>")).unionByName(left.withColumn("exit", F.col("exit").cast(f"struct<to:{dec},_block:bigint>")))
-    line = Window.partitionBy(*keys).orderBy("at")
-    cut = both.groupBy(*keys, "at").agg(F.max("entry").alias("entry"), F.max("exit").alias("exit"))
+    t = tape.select(*keys, *order, F.col(block).cast("bigint").alias("_block"), a.alias("_a")).where("_a is not null and _a != 0")
+    t = ordered_chunks(t, keys, order, "lots")
+    run = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    put = F.when(F.col("_a") > 0, F.col("_a")).otherwise(zero)
+    t = t.withColumn("_s", F.sum("_a").over(run).cast(dec)).withColumn("_in", F.sum(put).over(run).cast(dec))
+    past = chunk_line(keys).rowsBetween(Window.unboundedPreceding, -1)
+    c = t.groupBy(*keys, CHUNK).agg(F.sum("_a").cast(dec).alias("s"), F.sum(put).cast(dec).alias("i"), F.min("_s").alias("m"))
+    c = c.withColumn("_s0", F.coalesce(F.sum("s").over(past).cast(dec), zero)).withColumn("_i0", F.coalesce(F.sum("i").over(past).cast(dec), zero))
+    c = c.withColumn("_m0", F.least(F.min((F.col("_s0") + F.col("m")).cast(dec)).over(past), zero)).drop("s", "i", "m")
+    lowest = F.least((F.col("_s0") + F.min("_s").over(run)).cast(dec), F.col("_m0"))
+    t = attach(t, c, keys).withColumn("_void", (-lowest).cast(dec))
+    t = t.withColumn("_in", (F.col("_in") + F.col("_i0")).cast(dec))
+    t = t.withColumn("_out", (F.col("_in") - F.col("_s") - F.col("_s0") - F.col("_void")).cast(dec))
+    at_start = (F.col("_i0") - F.col("_s0") + F.col("_m0")).cast(dec)
+    t = t.withColumn("_out_from", F.coalesce(F.lag("_out").over(Window.partitionBy(*keys, CHUNK).orderBy(*order)), at_start))
+    kind = f"struct<to:{dec},block:bigint>"
+    none = F.lit(None).cast(kind)
+    entry = t.where("_a > 0").select(*keys, (F.col("_in") - F.col("_a")).cast(dec).alias("at"), F.struct(F.col("_in").alias("to"), F.col("_block").alias("block")).cast(kind).alias("entry"), none.alias("exit"))
+    left = t.where("_a < 0 and _out > _out_from").select(*keys, F.col("_out_from").cast(dec).alias("at"), none.alias("entry"), F.struct(F.col("_out").alias("to"), F.col("_block").alias("block")).cast(kind).alias("exit"))
+    cut = entry.unionByName(left).groupBy(*keys, "at").agg(F.max("entry").alias("entry"), F.max("exit").alias("exit"))
+    cut = ordered_chunks(cut, keys, ["at"], "volume")
+    ends = cut.groupBy(*keys, CHUNK).agg(F.max("entry").alias("e"), F.max("exit").alias("x"), F.min("at").alias("a"))
+    # both rise along the line, so the latest is the largest
+    ends = ends.select(*keys, CHUNK, F.max("e").over(past).alias("_e0"), F.max("x").over(past).alias("_x0"), F.lead("a").over(chunk_line(keys)).alias("_a1"))
+    line = Window.partitionBy(*keys, CHUNK).orderBy("at")
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = cut.withColumn("e", F.last("entry", True).over(upto)).withColumn("x", F.last("exit", True).over(upto)).withColumn("nxt", F.lead("at").over(line))
-    end = F.least(F.col("e.to"), F.col("x.to"), F.coalesce("nxt", F.least("e.to", "x.to")))
+    cut = attach(cut, ends, keys)
+    cut = cut.withColumn("e", F.coalesce(F.last("entry", True).over(upto), "_e0")).withColumn("x", F.coalesce(F.last("exit", True).over(upto), "_x0"))
+    cut = cut.withColumn("nxt", F.coalesce(F.lead("at").over(line), "_a1"))
+    end = F.least(F.col("e.to"), F.col("x.to"), F.col("nxt"))
     cut = cut.withColumn("piece", (end - F.col("at")).cast(dec)).where("e is not null and x is not null and piece > 0")
     # pieces cut only by another piece's end belong to one lot
-    out = cut.groupBy(*keys, F.col("e._block").alias("in_block"), F.col("x._block").alias("out_block"), F.col("e.to").alias("_e"), F.col("x.to").alias("_x")).agg(
+    out = cut.groupBy(*keys, F.col("e.block").alias("in_block"), F.col("x.block").alias("out_block"), F.col("e.to").alias("_e"), F.col("x.to").alias("_x")).agg(
         F.sum("piece").cast(dec).alias("amount")
     )
     out = out.withColumn("lifetime", F.col("out_block") - F.col("in_block")).drop("_e", "_x")
