@@ -57,10 +57,10 @@ def liquidity_for_value(value: Column, price: Column, lower: Column, upper: Colu
 
 
 def gamma(liquidity: Column, price: Column, lower: Column, upper: Column) -> Column:
-    """Second derivative of the position's value by central difference."""
+    """Second derivative of the position's value by central difference; the value is linear in the liquidity."""
     h = F.greatest(price * 1e-4, F.lit(1e-6))
-    v = lambda p: position_value(liquidity, p, lower, upper)
-    return (v(price + h) - 2 * v(price) + v(price - h)) / (h * h)
+    v = lambda p: position_value(F.lit(1.0), p, lower, upper)
+    return F.when(liquidity >= 0, liquidity * ((v(price + h) - 2 * v(price) + v(price - h)) / (h * h)))
 
 
 def pack_nibbles(low: Column, high: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import amm
-from tidemark.operators import asof, fold, inference, lots, series
+from tidemark.operators import asof, fold, inference, lots, ordered, series
 from tidemark.operators.pointintime import as_known
 from tidemark.sources.archives import normalise_reference
 from tidemark.sources.tables import micros, table, usable
@@ -34,11 +34,20 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
     return r.select("source", "symbol", "ref_id", "mid", micros("timestamp").alias("at"))
 
 
-def _tape(spark: SparkSession, d: str) -> DataFrame:
-    """The pool messages, the first delivery of each."""
-    w = Window.partitionBy("block_number", "log_index").orderBy("delivery_id")
-    e = table(spark, d, "pool_events")
-    return e.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+MESSAGE = ("block_number", "log_index")
+
+
+def _tape(spark: SparkSession, d: str, *columns: str, last: bool = False) -> DataFrame:
+    """``columns`` of the pool messages, the first (or last) delivery of each."""
+    wanted = dict.fromkeys(["delivery_id", *MESSAGE, "event", *columns])
+    return ordered.keep_one(table(spark, d, "pool_events").select(*wanted), MESSAGE, "delivery_id", last)
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    """(symbol, start_us, end_us) between successive target times of a symbol."""
+    t = ordered.time_chunks(_targets(spark, d).select("symbol", "us").where("us is not null").distinct(), "us", 3_600_000_000)
+    t = ordered.with_previous(t, ["symbol"], ["us"], ["us"])
+    return t.where("_prev is not null").select("symbol", F.col("_prev.us").alias("start_us"), F.col("us").alias("end_us"))
 
 
 def _aligned(spark: SparkSession, d: str, source: str | None = None) -> DataFrame:
@@ -100,8 +109,12 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     return _tape(spark, d).select("delivery_id", "event")
 
 
+def dedupe_last(spark: SparkSession, d: str) -> DataFrame:
+    return _tape(spark, d, last=True).select("delivery_id", "event")
+
+
 def fee_state(spark: SparkSession, d: str) -> DataFrame:
-    t = _tape(spark, d)
+    t = _tape(spark, d, "pool", "fee_protocol0_new", "fee_protocol1_new")
     packed = amm.pack_nibbles(F.col("fee_protocol0_new"), F.col("fee_protocol1_new"))
     c = t.where("event = 'SetFeeProtocol'").select("pool", "block_number", "log_index", packed.alias("packed")).where("packed is not null")
     e = t.where("event = 'Swap'").select("pool", "block_number", "log_index")
@@ -110,10 +123,8 @@ def fee_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_sums(spark: SparkSession, d: str) -> DataFrame:
-    t = _targets(spark, d).select("symbol", "us").distinct()
-    i = t.select("symbol", F.lag("us").over(Window.partitionBy("symbol").orderBy("us")).alias("start_us"), F.col("us").alias("end_us"))
     e = _trades(spark, d).select("symbol", "at", F.floor(F.col("mid") * 100).cast("double").alias("v"))
-    return lots.sums_over_intervals(i.where("start_us is not null"), e, "symbol", "start_us", "end_us", "at", "v", 3_600_000_000)
+    return lots.sums_over_intervals(_steps(spark, d), e, "symbol", "start_us", "end_us", "at", "v", 3_600_000_000)
 
 
 def last_5min(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +165,7 @@ def rate_integral(spark: SparkSession, d: str) -> DataFrame:
 
 def _prices(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pools").select("pool", "token0_decimals", "token1_decimals")
-    t = _tape(spark, d).where("event = 'Swap'").withColumn("sqrt", amm.number("sqrt_price_x96"))
+    t = _tape(spark, d, "pool", "tick", "sqrt_price_x96", "timestamp", "amount0", "amount1").where("event = 'Swap'").withColumn("sqrt", amm.number("sqrt_price_x96"))
     return t.join(p, "pool").withColumn("price", amm.price_of_sqrt(F.col("sqrt"), F.col("token0_decimals"), F.col("token1_decimals")))
 
 
@@ -224,7 +235,7 @@ OWNED, RANGES = ["pool", "owner"], ["pool", "tick_lower", "tick_upper"]
 
 
 def _lots(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
-    t = _tape(spark, d).where("event in ('Mint', 'Burn') and owner is not null and tick_lower is not null and tick_upper is not null")
+    t = _tape(spark, d, "pool", "owner", "tick_lower", "tick_upper", "liquidity_delta").where("event in ('Mint', 'Burn') and owner is not null and tick_lower is not null and tick_upper is not null")
     size = F.ltrim(amm.wide_text("liquidity_delta"), F.lit("-"))
     t = t.withColumn("owner", F.lower("owner")).withColumn("signed", F.concat(F.when(F.col("event") == "Burn", "-").otherwise(""), size))
     return lots.fifo_lots(t, keys, ["block_number", "log_index"], "signed", "block_number")
@@ -234,10 +245,63 @@ def fifo_lots(spark: SparkSession, d: str) -> DataFrame:
     return _lots(spark, d, OWNED).withColumn("amount", F.col("amount").cast("string"))
 
 
+def _overlap(spark: SparkSession, d: str) -> DataFrame:
+    p = _tape(spark, d, "pool", "tick", "liquidity").where("event = 'Swap' and tick is not null").select("pool", *MESSAGE, "tick", "liquidity")
+    return lots.active_amounts(p, _lots(spark, d, RANGES), "pool", "block_number", "tick", 200)
+
+
 def lot_overlap(spark: SparkSession, d: str) -> DataFrame:
-    p = _tape(spark, d).where("event = 'Swap' and tick is not null").select("pool", "block_number", "log_index", "tick")
-    a = lots.active_amounts(p, _lots(spark, d, RANGES), "pool", "block_number", "tick", 200)
-    return a.select("block_number", "log_index", F.round(F.col("active") / 1e15, 4).alias("active"))
+    return _overlap(spark, d).select("block_number", "log_index", F.round(F.col("active") / 1e15, 4).alias("active"))
+
+
+def overlap_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the liquidity that a pool's swaps meet is short-lived: counts, mean share and share weighed by liquidity."""
+    whole = amm.number("liquidity")
+    share = amm.clipped_share(F.col("active"), whole)
+    a = _overlap(spark, d).where(whole.isNotNull()).select("pool", "active", whole.alias("whole"), share.alias("share"))
+    return a.groupBy("pool").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("active") > 0, 1)).alias("n_met"), F.round(F.avg("share"), 9).alias("mean_share"),
+        F.round(F.sum(F.col("share") * F.col("whole")) / F.nullif(F.sum("whole"), F.lit(0.0)), 9).alias("weighted_share"),
+    )
+
+
+def percent_change(spark: SparkSession, d: str) -> DataFrame:
+    """The relative change of each reading of a metric to the one before, in the order of time and arrival."""
+    m = ordered.time_chunks(_metrics(spark, d).where("at is not null"), "at", 3_600_000_000)
+    m = ordered.with_previous(m, ["source", "symbol"], ["at", "ref_id"], ["mid"])
+    return m.select("ref_id", F.round(F.col("mid") / F.nullif(F.col("_prev.mid"), F.lit(0.0)) - 1, 9).alias("change"))
+
+
+def batch_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per delivered batch, how many swaps find an observation of their symbol in time; the ten worst first."""
+    e = table(spark, d, "pool_events").where("event = 'Swap'").select("batch_no", "delivery_id", "symbol", micros("timestamp").alias("us"))
+    a = asof.asof_join(e, _trades(spark, d), ["symbol"], "us", "at", "ref_id", ["ref_id"], TOLERANCE)
+    g = a.groupBy("batch_no").agg(F.count("*").alias("n"), F.count("ref_ref_id").alias("matched"))
+    return g.withColumn("missing", F.round(1 - F.col("matched") / F.col("n"), 9)).orderBy(F.desc("missing"), "batch_no").limit(10)
+
+
+def fee_arithmetic(spark: SparkSession, d: str) -> DataFrame:
+    """The packed fee state taken apart and put together again, and the share of a swap's second amount in both."""
+    clean = lambda c: F.when(usable(c), F.abs(c))
+    low, high = amm.unpack_nibbles(F.col("fee_protocol_packed"))
+    e = table(spark, d, "pool_events").where("event = 'Swap'")
+    both = clean("amount0") + clean("amount1")
+    return e.select("delivery_id", low.alias("low"), high.alias("high"), amm.pack_nibbles(low, high).alias("packed"), F.round(amm.clipped_share(clean("amount1"), both), 9).alias("share"))
+
+
+def rate_arithmetic(spark: SparkSession, d: str) -> DataFrame:
+    """Yearly yields of rates in fixed point, and what a return over 30 days is in a year."""
+    rate = F.least(F.col("mid") * 1e-3, F.lit(0.5))
+    m = _metrics(spark, d)
+    return m.select("ref_id", F.round(amm.compounded(rate * 1e27), 8).alias("yearly"), F.round(amm.annualised(rate - 0.25, F.lit(30.0)), 9).alias("annual"))
+
+
+def curvature(spark: SparkSession, d: str) -> DataFrame:
+    """A position's second derivative times the squared price at each swap."""
+    p = _prices(spark, d).where("price is not null and tick is not null")
+    price = F.col("price")
+    bend = amm.gamma(F.lit(1.0), price, price * 0.9, price * (1.2 + F.pmod("tick", F.lit(7)) * 0.01))
+    return p.select("delivery_id", F.round(bend * price * price / F.sqrt(price), 6).alias("bend"))
 
 
 def _days(spark: SparkSession, d: str) -> DataFrame:
@@ -271,10 +335,8 @@ def gap_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cash_increments(spark: SparkSession, d: str) -> DataFrame:
-    t = _targets(spark, d).select("symbol", "us").distinct()
-    i = t.select("symbol", F.lag("us").over(Window.partitionBy("symbol").orderBy("us")).alias("start_us"), F.col("us").alias("end_us"))
     m = _metrics(spark, d).where(F.col("source") == METRIC).select("symbol", "at", "ref_id", "mid")
-    k = asof.latest_before(i.where("start_us is not null"), m, "symbol", "start_us", "at", ["ref_id", "mid"])
+    k = asof.latest_before(_steps(spark, d), m, "symbol", "start_us", "at", ["ref_id", "mid"])
     rate = F.when(F.col("ref_mid").isNotNull(), F.least(F.col("ref_mid") * 1e-3, F.lit(0.5)))
     grown = F.expm1(F.log1p(rate) * ((F.col("end_us") - F.col("start_us")) / (365 * 86400 * 1e6)))
     return k.select("symbol", "end_us", F.round(grown, 12).alias("increment"))
@@ -299,21 +361,27 @@ def block_bounds(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("hour_us").agg(F.min_by("block_number", F.struct("us", "block_number")).alias("first_block"), F.max_by("block_number", F.struct("us", "block_number")).alias("last_block"))
 
 
-def capacity_sweep(spark: SparkSession, d: str) -> DataFrame:
-    p = _prices(spark, d).where("price is not null").withColumn("capital", F.explode(F.array(*[F.lit(float(x)) for x in (1e3, 1e4, 1e5)])))
+def capital_replay(spark: SparkSession, d: str, capitals: tuple[float, ...]) -> DataFrame:
+    """(capital, net, trades): the position of every pool replayed with each capital, all in one job."""
+    p = _prices(spark, d).where("price is not null").withColumn("capital", F.explode(F.array(*[F.lit(float(x)) for x in capitals])))
     t = p.select(F.concat_ws("|", "pool", F.col("capital").cast("string")).alias("run"), "block_number", "log_index", F.lit(0).alias("day"), "price", F.col("price").alias("ref"), "capital", F.lit(0.0).alias("fee"))
     r = fold.replay(t, "run", ["block_number", "log_index"], "day", "price", "ref", "capital", 0.8, 1.25, "fee", 50.0, 2.0)
     r = r.withColumn("capital", F.split_part("run", F.lit("|"), F.lit(2)).cast("double"))
     return r.groupBy("capital").agg(F.sum("net_inc").alias("net"), F.count(F.when(F.col("cost_inc") != 0, 1)).alias("trades"))
 
 
+def capacity_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return capital_replay(spark, d, (1e3, 1e4, 1e5))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         asof_backward, asof_latest, markouts, priority_fallback, coverage_grid, venue_overlap, worst_symbols, anti_missing, sensitivity,
-        target_counts, dedupe_first, fee_state, interval_sums, last_5min, daily_sum, daily_sum_zero_fill, realized_variance, regime_tails,
+        target_counts, dedupe_first, dedupe_last, fee_state, interval_sums, last_5min, daily_sum, daily_sum_zero_fill, realized_variance, regime_tails,
         max_gap, rate_integral, position_arithmetic, swap_decode, block_times, reference_union, band_path, replay_daily, fifo_lots,
-        gap_weighted_mean, cash_increments, markout_summary, mean_to_spread, block_bounds, capacity_sweep, lot_overlap, block_length, bootstrap, power, sign_null,
+        gap_weighted_mean, cash_increments, markout_summary, mean_to_spread, block_bounds, capacity_sweep, lot_overlap, overlap_summary,
+        percent_change, batch_coverage, fee_arithmetic, rate_arithmetic, curvature, block_length, bootstrap, power, sign_null,
     )
 }
 
@@ -386,6 +454,15 @@ j AS (SELECT ts.shift_us, CASE WHEN ts.us - rs.tm <= {TOLERANCE} THEN ts.us - rs
 SELECT shift_us, count(*) AS n, count(age) AS matched, quantile_cont(age::DOUBLE, 0.5) AS median_age_us FROM j GROUP BY 1""",
     "target_counts": f"WITH {_T} SELECT symbol, us, count(*) AS n, CAST(COALESCE(sum(swap_count), 0) AS BIGINT) AS swaps FROM t GROUP BY symbol, us",
     "dedupe_first": f"WITH {_TAPE} SELECT delivery_id, event FROM tape",
+    "dedupe_last": f"WITH {_TAPE.replace('ORDER BY delivery_id', 'ORDER BY delivery_id DESC')} SELECT delivery_id, event FROM tape",
+    "percent_change": f"WITH {_M} SELECT ref_id, round(mid / lag(mid) OVER (PARTITION BY source, symbol ORDER BY tm, ref_id) - 1, 9) AS change FROM m",
+    "batch_coverage": f"""WITH t AS (SELECT batch_no, symbol, epoch_us(timestamp) AS us FROM pool_events WHERE event = 'Swap'), {_ref()}, {_align()}
+SELECT batch_no, count(*) AS n, count(ref_id) AS matched, round(1 - count(ref_id) / count(*), 9) AS missing FROM a GROUP BY batch_no ORDER BY missing DESC, batch_no LIMIT 10""",
+    "fee_arithmetic": """WITH c AS (SELECT delivery_id, fee_protocol_packed AS p, CASE WHEN NOT isnan(amount0) THEN abs(amount0) END AS a0, CASE WHEN NOT isnan(amount1) THEN abs(amount1) END AS a1
+  FROM pool_events WHERE event = 'Swap')
+SELECT delivery_id, p & 15 AS low, p >> 4 & 15 AS high, (p & 15) | ((p >> 4 & 15) << 4) AS packed, round(CASE WHEN a0 + a1 > 0 THEN a1 / (a0 + a1) ELSE 0 END, 9) AS share FROM c""",
+    "rate_arithmetic": f"""WITH {_M}, r AS (SELECT ref_id, least(mid * 1e-3, 0.5::DOUBLE) AS r, r / 31536000 AS x FROM m)
+SELECT ref_id, round(exp(31536000 * (x - x * x / 2 + x * x * x / 3)) - 1, 8) AS yearly, round(pow(0.75::DOUBLE + r, 365 / 30.0::DOUBLE) - 1, 9) AS annual FROM r""",
     "fee_state": f"""WITH {_TAPE}, s AS (SELECT event, block_number, log_index, last_value(CASE WHEN event = 'SetFeeProtocol' THEN fee_protocol0_new | (fee_protocol1_new << 4) END IGNORE NULLS)
   OVER (PARTITION BY pool ORDER BY block_number, log_index) AS packed FROM tape)
 SELECT block_number, log_index, COALESCE(packed, 0)::INTEGER AS packed FROM s WHERE event = 'Swap'""",
@@ -434,6 +511,15 @@ SELECT pool, block_number, log_index, round(held, 9) AS held FROM r""",
     "lot_overlap": f"""WITH {_pieces(RANGES)}, p AS (SELECT pool, block_number, log_index, tick FROM tape WHERE event = 'Swap' AND tick IS NOT NULL)
 SELECT p.block_number, p.log_index, round(COALESCE(sum(l.amount::DOUBLE), 0) / 1e15, 4) AS active FROM p LEFT JOIN l ON l.pool = p.pool AND p.block_number BETWEEN in_block AND out_block
   AND tick_lower <= tick AND tick < tick_upper AND lifetime <= 200 GROUP BY p.block_number, p.log_index""",
+    "overlap_summary": f"""WITH {_pieces(RANGES)}, p AS (SELECT pool, block_number, log_index, tick, TRY_CAST(liquidity AS DOUBLE) AS whole FROM tape WHERE event = 'Swap' AND tick IS NOT NULL),
+o AS (SELECT p.pool, p.block_number, p.log_index, whole, COALESCE(sum(l.amount::DOUBLE), 0) AS active FROM p LEFT JOIN l ON l.pool = p.pool AND p.block_number BETWEEN in_block AND out_block
+  AND tick_lower <= tick AND tick < tick_upper AND lifetime <= 200 WHERE whole IS NOT NULL GROUP BY ALL),
+h AS (SELECT *, CASE WHEN whole > 0 THEN least(active / whole, 1) ELSE 0 END AS share FROM o)
+SELECT pool, count(*) AS n, count(*) FILTER (active > 0) AS n_met, round(avg(share), 9) AS mean_share, round(sum(share * whole) / nullif(sum(whole), 0), 9) AS weighted_share FROM h GROUP BY pool""",
+    "curvature": f"""WITH {_PRICE}, c AS (SELECT delivery_id, price, sqrt(price * 0.9::DOUBLE) AS sa, sqrt(price * (1.2::DOUBLE + ((tick % 7 + 7) % 7) * 0.01::DOUBLE)) AS sb,
+  greatest(price * 1e-4, 1e-6) AS h FROM x WHERE tick IS NOT NULL),
+v AS (SELECT *, list_transform([price + h, price, price - h], lambda p: (sb - sqrt(p)) / (sqrt(p) * sb) * p + (sqrt(p) - sa)) AS v FROM c)
+SELECT delivery_id, round((v[1] - 2 * v[2] + v[3]) / (h * h) * price * price / sqrt(price), 6) AS bend FROM v""",
     "block_length": f"""WITH {_DAYS}, a AS (SELECT day, sum(total) AS total FROM d GROUP BY 1), g AS (SELECT unnest(generate_series(min(day), max(day))) AS day FROM a),
 s AS (SELECT day, COALESCE(total, 0) AS v FROM g LEFT JOIN a USING (day)), c AS (SELECT day, v - avg(v) OVER () AS x FROM s),
 l AS (SELECT unnest(generate_series(0, 20)) AS lag), k AS (SELECT lag, avg(p.x * q.x) AS c FROM l, c p JOIN c q ON q.day = p.day + lag GROUP BY lag),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -33,16 +34,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per Spark context, so that they need no installation of it."""
+    """Sends this package to the Python workers, once per Spark context, so that they need no installation of it.
+
+    It goes through the shared folder, never a folder of one machine.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_tidemark_shipped", False):
         return
-    home = Path(__file__).parent
-    to = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
-    with zipfile.ZipFile(to, "w") as z:
+    home, packed = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(home.rglob("*.py")):
             z.write(p, p.relative_to(home.parent))
-    sc.addPyFile(str(to))
+    at = f"{scratch_path(spark, 'package')}/tidemark.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(at)
     sc._tidemark_shipped = True
 
 
