@@ -73,3 +73,17 @@ def test_replays_by_capital_grow_with_it(spark):
     assert sorted(got) == [1e3, 1e4, 1e5] and got[1e3].trades <= got[1e4].trades <= got[1e5].trades
     alone = tapes.capital_replay(spark, "/root/testdata/sf0.001", (1e4,)).first()
     assert alone.net == pytest.approx(got[1e4].net, abs=1e-6) and alone.trades == got[1e4].trades
+
+
+def test_running_sums_and_numbers(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(-300, 300), rng.choice([None, *range(9)])) for k in ("hot", "cold", None) for _ in range(200 if k == "hot" else 3)]
+    df = spark.createDataFrame(rows, "k string, t bigint, v bigint").repartition(5)
+    for width in (7, 10_000):
+        got = ordered.running_sums(ordered.time_chunks(df, "t", width), ["k"], ["t"], "v", "s").collect()
+        assert len(got) == len(rows)
+        assert all(r.s == sum(v or 0 for k, t, v in rows if k == r.k and t <= r.t) for r in got)
+    n = ordered.numbered(df.distinct(), ["k", "t", "v"], "i").collect()
+    by_order = sorted(n, key=lambda r: (r.k is not None, r.k or "", r.t, r.v is not None, r.v or 0))
+    assert [r.i for r in by_order] == list(range(len(set(rows))))
+    assert ordered.numbered(df.limit(0), ["t"], "i").count() == 0

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
+from tidemark.operators.ordered import numbered
 
 MOST = 1_000_000
 
@@ -55,8 +56,7 @@ def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
 
 def autocorrelation(df: DataFrame, order: str, value: str, max_lag: int) -> DataFrame:
     """(lag, rho) of an aggregated series, with unbiased denominators, by self-joins on the position less the lag."""
-    w = Window.orderBy(order)  # one row per period of one series
-    s = df.where(F.col(value).isNotNull()).select((F.row_number().over(w) - 1).alias("i"), F.col(value).cast("double").alias("v"))
+    s = numbered(df.where(F.col(value).isNotNull()).select(order, F.col(value).cast("double").alias("v")), [order], "i").select("i", "v")
     mean = s.agg(F.avg("v").alias("m"), F.count("*").alias("n"))
     s = s.crossJoin(F.broadcast(mean)).select("i", (F.col("v") - F.col("m")).alias("d"), "n")
     a = s.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("j", F.col("i") + F.col("lag"))

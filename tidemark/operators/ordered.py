@@ -65,3 +65,26 @@ def keep_one(df: DataFrame, keys: Sequence[str], by: str, last: bool = False) ->
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     kept = df.where(F.col(by).isNotNull()).groupBy(*keys).agg((F.max_by if last else F.min_by)(row, by).alias("_row"))
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``df``, which has a ``_chunk`` that rises with ``order``, with ``name``: the sum of ``value`` over the key's rows so far.
+
+    NULL values add nothing; a key starts at 0. Rows with equal ``order`` all count for each of them. Sums run within a
+    chunk and go on from the sums of the chunks before.
+    """
+    v = F.coalesce(F.col(value), F.lit(0))
+    past = chunk_line(keys).rowsBetween(Window.unboundedPreceding, -1)
+    c = df.groupBy(*keys, CHUNK).agg(F.sum(v).alias("_sum")).select(*keys, CHUNK, F.coalesce(F.sum("_sum").over(past), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*keys, CHUNK).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return attach(df, c, keys).withColumn(name, F.col("_base") + F.sum(v).over(within)).drop("_base")
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... in ``order`` over the whole table, numbered chunk by chunk, never in one task."""
+    d = ordered_chunks(df, [], order, "numbered")
+    c = d.groupBy(CHUNK).agg(F.count("*").alias("_n"))
+    past = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+    c = c.select(CHUNK, F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order))
+    return attach(d, c, []).withColumn(name, F.col("_base") + within - 1).drop("_base", CHUNK)

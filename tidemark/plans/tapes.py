@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import amm
 from tidemark.operators import asof, fold, inference, lots, ordered, series
+from tidemark.operators.dedup import hash_number
 from tidemark.operators.pointintime import as_known
-from tidemark.sources.archives import normalise_reference
+from tidemark.session import scratch_path
+from tidemark.sources.archives import epoch_time, normalise_reference, read_gzip_csv, read_parts, write_table
 from tidemark.sources.tables import micros, table, usable
 
 PRIMARY, FALLBACK, METRIC, OTHER_METRIC = "kestrel_spot_trade", "oriole_spot_trade", "oriole_5m_close", "kestrel_5m_close"
@@ -209,6 +211,50 @@ def reference_union(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("source").agg(F.count("*").alias("n"), F.count("mid").alias("n_mid"), F.max(micros("timestamp")).alias("last_us"))
 
 
+def running_total(spark: SparkSession, d: str) -> DataFrame:
+    """What has been counted for a symbol up to each of its target times."""
+    t = target_counts(spark, d).where("us is not null")
+    t = ordered.running_sums(ordered.time_chunks(t, "us", 3_600_000_000), ["symbol"], ["us"], "swaps", "so_far")
+    return t.select("symbol", "us", "so_far")
+
+
+def epoch_units(spark: SparkSession, d: str) -> DataFrame:
+    """Epoch numbers among the raw times of the archives, their unit told by size."""
+    t = table(spark, d, "venue_trades").where(F.trim("timestamp_raw").rlike("^([0-9]{13}|[0-9]{16})$"))
+    return t.select("record_id", micros(epoch_time(F.trim("timestamp_raw"))).alias("us"))
+
+
+def hash_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pool_events").select("delivery_id", hash_number("tx_hash").alias("hash"))
+
+
+def fee_income(spark: SparkSession, d: str) -> DataFrame:
+    """Per pool the value that swaps paid in, in units of the second token, and the pool's fee on it."""
+    tier = table(spark, d, "pools").select("pool", "fee_tier_pips")
+    paid = lambda c: usable(c) & (F.col(c) > 0)
+    value = F.when(paid("amount0"), F.col("amount0") * F.col("price")).when(paid("amount1"), F.col("amount1"))
+    p = _prices(spark, d).where("price is not null").withColumn("value", value).where("value is not null")
+    g = p.groupBy("pool").agg(F.count("*").alias("n"), F.sum("value").alias("paid")).join(tier, "pool")
+    return g.select("pool", "n", F.round("paid", 2).alias("paid"), F.round(F.col("paid") * F.col("fee_tier_pips") / 1e6, 3).alias("fee"))
+
+
+def parts_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Pool messages written in partitions by kind, wide integers as text, and read back from the parts."""
+    at = scratch_path(spark, "parts")
+    write_table(table(spark, d, "pool_events").select("event", "delivery_id", "liquidity", "amount1_raw"), at, ["liquidity", "amount1_raw"], ["event"])
+    size = lambda c: F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(c)
+    return read_parts(spark, at).groupBy("event").agg(F.count("*").alias("n"), F.max("delivery_id").alias("last_id"), size("liquidity"), size("amount1_raw"))
+
+
+def gzip_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Observations written as gzipped text with a header and read back with types."""
+    at = scratch_path(spark, "gzip")
+    r = table(spark, d, "reference").select("symbol", "ref_id", "mid", micros("timestamp").alias("us"))
+    r.where(usable("mid")).write.option("header", True).option("compression", "gzip").csv(at)
+    back = read_gzip_csv(spark, at, "symbol string, ref_id bigint, mid double, us bigint", ["symbol", "us"])
+    return back.groupBy("symbol").agg(F.count("*").alias("n"), F.max("us").alias("last_us"), F.max_by("mid", F.struct("us", "ref_id")).alias("last_mid"))
+
+
 BAND = 0.02
 
 
@@ -381,7 +427,8 @@ QUERIES = {
         target_counts, dedupe_first, dedupe_last, fee_state, interval_sums, last_5min, daily_sum, daily_sum_zero_fill, realized_variance, regime_tails,
         max_gap, rate_integral, position_arithmetic, swap_decode, block_times, reference_union, band_path, replay_daily, fifo_lots,
         gap_weighted_mean, cash_increments, markout_summary, mean_to_spread, block_bounds, capacity_sweep, lot_overlap, overlap_summary,
-        percent_change, batch_coverage, fee_arithmetic, rate_arithmetic, curvature, block_length, bootstrap, power, sign_null,
+        percent_change, batch_coverage, fee_arithmetic, rate_arithmetic, curvature,
+        running_total, epoch_units, hash_spelling, fee_income, parts_round_trip, gzip_round_trip, block_length, bootstrap, power, sign_null,
     )
 }
 
@@ -516,6 +563,21 @@ o AS (SELECT p.pool, p.block_number, p.log_index, whole, COALESCE(sum(l.amount::
   AND tick_lower <= tick AND tick < tick_upper AND lifetime <= 200 WHERE whole IS NOT NULL GROUP BY ALL),
 h AS (SELECT *, CASE WHEN whole > 0 THEN least(active / whole, 1) ELSE 0 END AS share FROM o)
 SELECT pool, count(*) AS n, count(*) FILTER (active > 0) AS n_met, round(avg(share), 9) AS mean_share, round(sum(share * whole) / nullif(sum(whole), 0), 9) AS weighted_share FROM h GROUP BY pool""",
+    "running_total": f"""WITH {_T}, c AS (SELECT symbol, us, CAST(COALESCE(sum(swap_count), 0) AS BIGINT) AS swaps FROM t WHERE us IS NOT NULL GROUP BY symbol, us)
+SELECT symbol, us, CAST(sum(swaps) OVER (PARTITION BY symbol ORDER BY us) AS BIGINT) AS so_far FROM c""",
+    "epoch_units": """SELECT record_id, CASE WHEN length(trim(timestamp_raw)) = 13 THEN 1000 ELSE 1 END * CAST(timestamp_raw AS BIGINT) AS us FROM venue_trades
+WHERE regexp_full_match(trim(timestamp_raw), '[0-9]{13}|[0-9]{16}')""",
+    "hash_spelling": r"""WITH h AS (SELECT delivery_id, ltrim(regexp_extract(lower(tx_hash), '^\s*(?:0x)?([0-9a-f]+)\s*$', 1), '0') AS x,
+  regexp_full_match(lower(tx_hash), '\s*(?:0x)?[0-9a-f]+\s*') AS ok FROM pool_events)
+SELECT delivery_id, CASE WHEN ok AND length(x) <= 64 THEN lpad(x, 64, '0') END AS hash FROM h""",
+    "fee_income": f"""WITH {_PRICE}, v AS (SELECT pool, CASE WHEN amount0 > 0 AND NOT isnan(amount0) THEN amount0 * price WHEN amount1 > 0 AND NOT isnan(amount1) THEN amount1 END AS v FROM x)
+SELECT pool, count(*) AS n, round(sum(v), 2) AS paid, round(sum(v) * max(fee_tier_pips) / 1e6, 3) AS fee FROM v JOIN pools USING (pool) WHERE v IS NOT NULL GROUP BY pool""",
+    "parts_round_trip": """WITH w AS (SELECT event, delivery_id, trim(liquidity) AS a, trim(amount1_raw) AS b FROM pool_events),
+c AS (SELECT event, delivery_id, CASE WHEN regexp_full_match(a, '[+-]?[0-9]+') THEN CAST(a AS HUGEINT)::VARCHAR END AS a,
+  CASE WHEN regexp_full_match(b, '[+-]?[0-9]+') THEN CAST(b AS HUGEINT)::VARCHAR END AS b FROM w)
+SELECT event, count(*) AS n, max(delivery_id) AS last_id, CAST(COALESCE(sum(length(a)), 0) AS BIGINT) AS liquidity, CAST(COALESCE(sum(length(b)), 0) AS BIGINT) AS amount1_raw FROM c GROUP BY event""",
+    "gzip_round_trip": """SELECT symbol, count(*) AS n, max(epoch_us(timestamp)) AS last_us, arg_max(mid, ROW(epoch_us(timestamp), ref_id)) AS last_mid
+FROM reference WHERE mid IS NOT NULL AND NOT isnan(mid) GROUP BY symbol""",
     "curvature": f"""WITH {_PRICE}, c AS (SELECT delivery_id, price, sqrt(price * 0.9::DOUBLE) AS sa, sqrt(price * (1.2::DOUBLE + ((tick % 7 + 7) % 7) * 0.01::DOUBLE)) AS sb,
   greatest(price * 1e-4, 1e-6) AS h FROM x WHERE tick IS NOT NULL),
 v AS (SELECT *, list_transform([price + h, price, price - h], lambda p: (sb - sqrt(p)) / (sqrt(p) * sb) * p + (sqrt(p) - sa)) AS v FROM c)
