@@ -41,10 +41,12 @@ def fifo_lots(tape: DataFrame, keys: Sequence[str], order: Sequence[str], amount
     at_start = (F.col("_i0") - F.col("_s0") + F.col("_m0")).cast(dec)
     t = t.withColumn("_out_from", F.coalesce(F.lag("_out").over(Window.partitionBy(*keys, CHUNK).orderBy(*order)), at_start))
     kind = f"struct<to:{dec},block:bigint>"
-    none = F.lit(None).cast(kind)
-    entry = t.where("_a > 0").select(*keys, (F.col("_in") - F.col("_a")).cast(dec).alias("at"), F.struct(F.col("_in").alias("to"), F.col("_block").alias("block")).cast(kind).alias("entry"), none.alias("exit"))
-    left = t.where("_a < 0 and _out > _out_from").select(*keys, F.col("_out_from").cast(dec).alias("at"), none.alias("entry"), F.struct(F.col("_out").alias("to"), F.col("_block").alias("block")).cast(kind).alias("exit"))
-    cut = entry.unionByName(left).groupBy(*keys, "at").agg(F.max("entry").alias("entry"), F.max("exit").alias("exit"))
+    came = F.col("_a") > 0
+    piece = lambda c: F.struct(F.col(c).alias("to"), F.col("_block").alias("block")).cast(kind)
+    t = t.where(came | (F.col("_out") > F.col("_out_from"))).select(
+        *keys, F.when(came, F.col("_in") - F.col("_a")).otherwise(F.col("_out_from")).cast(dec).alias("at"), F.when(came, piece("_in")).alias("entry"), F.when(~came, piece("_out")).alias("exit")
+    )
+    cut = t.groupBy(*keys, "at").agg(F.max("entry").alias("entry"), F.max("exit").alias("exit"))
     cut = ordered_chunks(cut, keys, ["at"], "volume")
     ends = cut.groupBy(*keys, CHUNK).agg(F.max("entry").alias("e"), F.max("exit").alias("x"), F.min("at").alias("a"))
     # both rise along the line, so the latest is the largest
