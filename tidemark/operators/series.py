@@ -83,20 +83,22 @@ def largest_gaps(df: DataFrame, keys: Sequence[str], us: str, chunk_us: int = 3_
     )
 
 
-def yield_over(rates: DataFrame, keys: Sequence[str], us: str, rate: str, start_us: int, end_us: int) -> DataFrame:
+def yield_over(rates: DataFrame, keys: Sequence[str], us: str, rate: str, start_us: int | Column, end_us: int | Column) -> DataFrame:
     """(keys, total, covered): return of a piecewise constant yearly rate over [start, end], compounded.
 
     The rate at the start is the last one at or before it; without such a row ``covered`` is false and the time before
     the first row earns nothing. ``rates`` is the series of rate changes, not a tape; of changes at one time the largest counts.
+    The ends are numbers, or columns of ``rates`` that are constant per key.
     """
     year = 365 * 86400 * 1e6
-    r = rates.where(F.col(us).isNotNull() & usable(rate) & (F.col(us) < end_us))
-    r = r.groupBy(*keys, F.greatest(F.col(us), F.lit(start_us)).alias("from_us")).agg(
-        F.max(F.struct(F.col(us).alias("u"), F.col(rate).alias("r"))).alias("x"), F.min(us).alias("seen")
+    ends = [(F.lit(x) if isinstance(x, int) else x).cast("bigint") for x in (start_us, end_us)]
+    r = rates.where(F.col(us).isNotNull() & usable(rate)).withColumns({"_start": ends[0], "_end": ends[1]}).where(F.col(us) < F.col("_end"))
+    r = r.groupBy(*keys, F.greatest(F.col(us), F.col("_start")).alias("from_us")).agg(
+        F.max(F.struct(F.col(us).alias("u"), F.col(rate).alias("r"))).alias("x"), F.min(us).alias("seen"), F.max("_start").alias("_start"), F.max("_end").alias("_end")
     )
-    to = F.coalesce(F.lead("from_us").over(Window.partitionBy(*keys).orderBy("from_us")), F.lit(end_us))
+    to = F.coalesce(F.lead("from_us").over(Window.partitionBy(*keys).orderBy("from_us")), F.col("_end"))
     r = r.withColumn("g", F.log1p("x.r") * ((to - F.col("from_us")) / year))
-    return r.groupBy(*keys).agg(F.expm1(F.sum("g")).alias("total"), (F.min("seen") <= start_us).alias("covered"))
+    return r.groupBy(*keys).agg(F.expm1(F.sum("g")).alias("total"), (F.min("seen") <= F.max("_start")).alias("covered"))
 
 
 def time_weighted_mean(df: DataFrame, keys: Sequence[str], us: str, value: str, tie: str, chunk_us: int = 3_600_000_000) -> DataFrame:

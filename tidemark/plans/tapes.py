@@ -159,12 +159,28 @@ def max_gap(spark: SparkSession, d: str) -> DataFrame:
     return series.largest_gaps(_metrics(spark, d), ["source", "symbol"], "at")
 
 
+HOUR_US = 3_600_000_000
+
+
+def _hourly_rates(spark: SparkSession, d: str) -> DataFrame:
+    hourly = series.last_per_period(_metrics(spark, d), ["source", "symbol"], "at", "mid", "ref_id", HOUR_US)
+    return hourly.withColumn("rate", F.least(F.col("value") * 1e-3, F.lit(0.5)))
+
+
 def rate_integral(spark: SparkSession, d: str) -> DataFrame:
-    hourly = series.last_per_period(_metrics(spark, d), ["source", "symbol"], "at", "mid", "ref_id", 3_600_000_000)
-    r = hourly.withColumn("rate", F.least(F.col("value") * 1e-3, F.lit(0.5)))
+    """The return over the four hours of HOURS only; ``rate_integral_whole`` goes over all readings."""
+    r = _hourly_rates(spark, d)
     return series.yield_over(r, ["source", "symbol"], "slot_us", "rate", *HOURS).withColumn("total", F.round("total", 12))
 
 
+def rate_integral_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The return from the first hour of the table that has a reading to the end of the last one."""
+    r = _hourly_rates(spark, d)
+    span = r.agg(F.min("slot_us").alias("first_us"), (F.max("slot_us") + HOUR_US).alias("until_us"))
+    r = r.crossJoin(F.broadcast(span))  # one row by construction
+    return series.yield_over(r, ["source", "symbol"], "slot_us", "rate", F.col("first_us"), F.col("until_us")).withColumn("total", F.round("total", 12))
+
+
 def _prices(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pools").select("pool", "token0_decimals", "token1_decimals")
     t = _tape(spark, d, "pool", "tick", "sqrt_price_x96", "timestamp", "amount0", "amount1").where("event = 'Swap'").withColumn("sqrt", amm.number("sqrt_price_x96"))
@@ -425,7 +441,7 @@ QUERIES = {
     for f in (
         asof_backward, asof_latest, markouts, priority_fallback, coverage_grid, venue_overlap, worst_symbols, anti_missing, sensitivity,
         target_counts, dedupe_first, dedupe_last, fee_state, interval_sums, last_5min, daily_sum, daily_sum_zero_fill, realized_variance, regime_tails,
-        max_gap, rate_integral, position_arithmetic, swap_decode, block_times, reference_union, band_path, replay_daily, fifo_lots,
+        max_gap, rate_integral, rate_integral_whole, position_arithmetic, swap_decode, block_times, reference_union, band_path, replay_daily, fifo_lots,
         gap_weighted_mean, cash_increments, markout_summary, mean_to_spread, block_bounds, capacity_sweep, lot_overlap, overlap_summary,
         percent_change, batch_coverage, fee_arithmetic, rate_arithmetic, curvature,
         running_total, epoch_units, hash_spelling, fee_income, parts_round_trip, gzip_round_trip, block_length, bootstrap, power, sign_null,
@@ -533,6 +549,10 @@ SELECT source, symbol, count(*) AS n, min(tm) AS first_us, max(tm) AS last_us, C
 f AS (SELECT source, symbol, greatest(slot, {HOURS[0]}) AS a, arg_max(rate, slot) AS rate, min(slot) AS seen FROM h WHERE slot < {HOURS[1]} GROUP BY ALL),
 g AS (SELECT *, COALESCE(lead(a) OVER (PARTITION BY source, symbol ORDER BY a), {HOURS[1]}) AS z FROM f)
 SELECT source, symbol, round(exp(sum(ln(1 + rate) * ((z - a) / (365 * 86400 * 1e6)))) - 1, 12) AS total, min(seen) <= {HOURS[0]} AS covered FROM g GROUP BY source, symbol""",
+    "rate_integral_whole": f"""WITH {_M}, h AS (SELECT source, symbol, tm - tm % 3600000000 AS slot, least(arg_max(mid, ROW(tm, ref_id)) * 1e-3, 0.5) AS rate FROM m GROUP BY ALL),
+b AS (SELECT min(slot) AS a, max(slot) + 3600000000 AS z FROM h),
+g AS (SELECT source, symbol, slot, rate, COALESCE(lead(slot) OVER (PARTITION BY source, symbol ORDER BY slot), b.z) AS z, b.a FROM h, b)
+SELECT source, symbol, round(exp(sum(ln(1 + rate) * ((z - slot) / (365 * 86400 * 1e6)))) - 1, 12) AS total, min(slot) <= min(a) AS covered FROM g GROUP BY source, symbol""",
     "position_arithmetic": f"""WITH {_PRICE}, y AS (SELECT delivery_id, price, pow(1.0001::DOUBLE, tick) * pow(10.0::DOUBLE, d0 - d1) AS tm,
   sqrt(price) AS sp, sqrt(price * 0.9) AS sa, sqrt(price * 1.25) AS sb FROM x WHERE tick IS NOT NULL),
 z AS (SELECT *, (sb - sp) / (sp * sb) AS u0, sp - sa AS u1 FROM y)
