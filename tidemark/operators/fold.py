@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.functions.amm import liquidity_for_value, position_amounts
 from tidemark.operators.ordered import CHUNK, attach, ordered_chunks, with_previous
 from tidemark.session import written
+from tidemark.sources.tables import usable
 
 
 def bounds(target: np.ndarray, price: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,38 +159,54 @@ def band_path(tape: DataFrame, key: str, order: Sequence[str], target: str, pric
 
 def replay(
     tape: DataFrame, key: str, order: Sequence[str], day: str, pool_price: str, ref_price: str, capital: float | str, low: float, high: float, fee_usd: str,
-    band: float, cost_bps: float,
+    band: float, cost_bps: float, active: str | None = None, funding: str | None = None,
 ) -> DataFrame:
     """Per row the increments of a concentrated position in a range around its first price, hedged with a band.
 
-    Columns besides ``key``, ``order`` and ``day``: ``lp_inc``, ``fee_inc``, ``hedge_inc``, ``cost_inc``, ``net_inc``
-    and ``held``. The range is [low, high] times the first pool price; the liquidity is that of ``capital`` (a number, or a
-    column that is constant per key) at the first reference price. A row's fee counts where its price is strictly in the range. The increments of a key add up to
-    its final value less the capital's initial value.
+    Columns besides ``key``, ``order`` and ``day``: ``lp_inc``, ``fee_inc``, ``hedge_inc``, ``funding_inc``,
+    ``cost_inc``, ``net_inc``, ``held`` and ``trades``. The range is [low, high] times the first pool price; the liquidity
+    is that of ``capital`` (a number, or a column that is constant per key) at the first reference price. Amounts follow
+    the pool price and are valued at the reference price. A row's fee counts where its price is strictly in the range and
+    that of the row before was too. With ``active``, the liquidity that others have in the row (in the units of
+    ``amm.position_amounts``), the position earns its share of the fee, and nothing where it is NULL or NaN. ``funding``
+    is the sum of price times rate of the payments since the row before; what is held short earns it. The hedge is opened
+    at a key's first row and closed at its last one, both at a cost.
     """
     t = tape.where(F.col(pool_price) > 0).where(F.col(ref_price) > 0)
-    start = t.groupBy(key).agg(F.min(F.struct(*order, F.col(pool_price).alias("p"), F.col(ref_price).alias("r"), (F.col(capital) if isinstance(capital, str) else F.lit(capital)).alias("c"))).alias("s"))
-    start = start.select(F.col(key).alias("_k"), (F.col("s.p") * low).alias("_lo"), (F.col("s.p") * high).alias("_hi"), F.col("s.r").alias("_r0"), F.col("s.c").alias("_c"))
+    first = F.struct(*order, F.col(pool_price).alias("p"), F.col(ref_price).alias("r"), (F.col(capital) if isinstance(capital, str) else F.lit(capital)).alias("c"))
+    start = t.groupBy(key).agg(F.min(first).alias("s"), F.max(F.struct(*order)).alias("_z"))
+    start = start.select(F.col(key).alias("_k"), (F.col("s.p") * low).alias("_lo"), (F.col("s.p") * high).alias("_hi"), F.col("s.r").alias("_r0"), F.col("s.c").alias("_c"), "_z")
     start = start.withColumn("_l", liquidity_for_value(F.col("_c"), F.col("_r0"), F.col("_lo"), F.col("_hi")))
     j = t.join(start, F.col(key).eqNullSafe(F.col("_k")), "inner")
-    a0, a1 = position_amounts(F.col("_l"), F.col(ref_price), F.col("_lo"), F.col("_hi"))
+    zero = F.lit(0.0)
+    a0, a1 = position_amounts(F.col("_l"), F.col(pool_price), F.col("_lo"), F.col("_hi"))
+    fee = F.coalesce(F.col(fee_usd), zero)
+    if active:
+        others = F.greatest(F.col(active).cast("double"), zero)
+        fee = F.coalesce(F.when(usable(F.col(active).cast("double")), fee * F.try_divide(F.col("_l"), others + F.col("_l"))), zero)
     j = j.select(
-        key, *order, day, F.col(ref_price).alias("ref"), a0.alias("a0"), (a0 * F.col(ref_price) + a1).alias("lp"), F.lit(band).alias("band"),
-        F.when((F.col(pool_price) > F.col("_lo")) & (F.col(pool_price) < F.col("_hi")), F.coalesce(F.col(fee_usd), F.lit(0.0))).otherwise(0.0).alias("fee_inc"),
+        key, *order, day, F.col(ref_price).alias("ref"), a0.alias("a0"), (a0 * F.col(ref_price) + a1).alias("lp"), F.lit(band).alias("band"), fee.alias("fee"),
+        ((F.col(pool_price) > F.col("_lo")) & (F.col(pool_price) < F.col("_hi"))).alias("inside"), F.struct(*order).eqNullSafe(F.col("_z")).alias("closes"),
+        (F.coalesce(F.col(funding).cast("double"), zero) if funding else zero).alias("paid"),
     )
     h = written(_chunked_path(j, key, order, "a0", "ref", "band"), "path")
-    h = with_previous(h, [key], order, ["lp", "held", "ref"])
+    h = with_previous(h, [key], order, ["lp", "held", "ref", "inside"])
     prev = lambda c: F.col("_prev").getField(c)
-    zero = F.lit(0.0)
+    before = F.coalesce(prev("held"), zero)
+    closing = F.when(F.col("closes"), F.abs("held")).otherwise(zero)
     h = h.withColumns(
         {
             "lp_inc": F.coalesce(F.col("lp") - prev("lp"), zero),
+            "fee_inc": F.when(F.col("inside") & F.coalesce(prev("inside"), F.lit(True)), F.col("fee")).otherwise(zero),
             "hedge_inc": F.coalesce(-prev("held") * (F.col("ref") - prev("ref")), zero),
-            "cost_inc": -F.abs(F.col("held") - F.coalesce(prev("held"), zero)) * F.col("ref") * (cost_bps / 1e4),
+            "funding_inc": before * F.col("paid"),
+            "cost_inc": -(F.abs(F.col("held") - before) + closing) * F.col("ref") * (cost_bps / 1e4),
+            "trades": (F.col("held") != before).cast("int") + (closing > 0).cast("int"),
         }
     )
-    net = F.col("lp_inc") + F.col("fee_inc") + F.col("hedge_inc") + F.col("cost_inc")
-    return h.select(key, *order, day, "lp_inc", "fee_inc", "hedge_inc", "cost_inc", net.alias("net_inc"), "held")
+    parts = ["lp_inc", "fee_inc", "hedge_inc", "funding_inc", "cost_inc"]
+    net = sum((F.col(c) for c in parts[1:]), F.col(parts[0]))
+    return h.select(key, *order, day, *parts, net.alias("net_inc"), "held", "trades")
 
 
 def band_stream(tape: DataFrame, key: str, order: str, target: str, price: str, band: str) -> DataFrame:

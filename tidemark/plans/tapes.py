@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import amm
 from tidemark.operators import asof, fold, inference, lots, ordered, series
 from tidemark.operators.dedup import hash_number
 from tidemark.operators.pointintime import as_known
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, written
 from tidemark.sources.archives import epoch_time, normalise_reference, read_gzip_csv, read_parts, write_table
 from tidemark.sources.tables import micros, table, usable
 
@@ -284,13 +284,60 @@ def band_path(spark: SparkSession, d: str) -> DataFrame:
     return t.select("pool", "block_number", "log_index", F.round("held", 9).alias("held"))
 
 
+def _lp_fraction(t: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Swaps of the tape ``t`` with ``fraction``: what the protocol's share at their position leaves of the fee to liquidity.
+
+    Shares change by messages of the tape and by recorded states, the last record of a position being the right one.
+    Where no state is known, the swap's own ``lp_fee_fraction`` counts, else 1.
+    """
+    at = ["pool", *MESSAGE]
+    e = t.where("event = 'SetFeeProtocol'").select(*at, F.lit(-1).cast("bigint").alias("rank"), amm.pack_nibbles(F.col("fee_protocol0_new"), F.col("fee_protocol1_new")).alias("packed"))
+    s = table(spark, d, "fee_states").select(F.lower(F.trim("pool")).alias("pool"), *MESSAGE, F.coalesce("recorded_block", F.lit(0)).alias("rank"), F.col("fee_protocol_packed").alias("packed"), "state_id")
+    c = e.withColumn("state_id", F.lit(-1).cast("bigint")).unionByName(s).where("packed is not null")
+    c = c.groupBy(*at).agg(F.max_by("packed", F.struct("rank", "state_id")).alias("packed"))
+    k = as_known(t.where("event = 'Swap'"), c, "pool", MESSAGE, MESSAGE, "block_number", ["packed"])
+    low, high = amm.unpack_nibbles(F.col("known_packed"))
+    part = F.when(_paid("amount0"), low).when(_paid("amount1"), high).otherwise(0)
+    known = F.when(F.col("known_packed").isNotNull(), F.when(part == 0, 1.0).otherwise(1 - F.lit(1.0) / F.nullif(part, F.lit(0))))
+    return k.withColumn("fraction", F.coalesce(known, F.when(usable("lp_fee_fraction"), F.col("lp_fee_fraction")), F.lit(1.0)))
+
+
+def _paid(c: str) -> Column:
+    return usable(c) & (F.col(c) > 0)
+
+
+def _replay_tape(spark: SparkSession, d: str) -> DataFrame:
+    """Swaps with a reference price: pool, position, us, price, ref, fee, active liquidity and funding since the swap before.
+
+    ``fee`` is what the swap pays to all liquidity: its input value, times the pool's tier, times the fraction left by the
+    protocol. As in the reference, swaps without an observation within the tolerance are left out. The tables have no
+    funding payments: hourly ones of the rate that ``cash_increments`` takes from the metric stand for them.
+    """
+    wanted = ("pool", "sqrt_price_x96", "timestamp", "amount0", "amount1", "liquidity", "lp_fee_fraction", "fee_protocol0_new", "fee_protocol1_new")
+    t = _lp_fraction(_tape(spark, d, *wanted).withColumn("pool", F.lower(F.trim("pool"))), spark, d)
+    t = t.join(table(spark, d, "pools").withColumn("pool", F.lower(F.trim("pool"))), "pool")
+    known = table(spark, d, "pool_events").groupBy("block_number").agg(F.min(micros("timestamp")).alias("block_us"))
+    t = t.join(known, "block_number", "left").withColumn("us", F.coalesce(micros("timestamp"), "block_us"))
+    t = asof.asof_join(t, _trades(spark, d), ["symbol"], "us", "at", "ref_id", ["mid"], TOLERANCE).where("ref_mid > 0")
+    price = amm.price_of_sqrt(amm.number("sqrt_price_x96"), F.col("token0_decimals"), F.col("token1_decimals"))
+    value = F.when(_paid("amount0"), F.col("amount0") * F.col("ref_mid")).when(_paid("amount1"), F.col("amount1")).otherwise(0.0)
+    unit = F.pow(F.lit(10.0), (F.col("token0_decimals") + F.col("token1_decimals")) / 2)
+    t = t.select(
+        "pool", "symbol", *MESSAGE, "us", F.coalesce(price, "ref_mid").alias("price"), F.col("ref_mid").alias("ref"),
+        (value * F.col("fee_tier_pips") / 1e6 * F.col("fraction")).alias("fee"), (amm.number("liquidity") / unit).alias("active"),
+    )
+    t = ordered.with_previous(ordered.time_chunks(t, "block_number", 4096), ["pool"], MESSAGE, ["us"]).drop(ordered.CHUNK)
+    t = t.withColumn("since", F.least("_prev.us", "us")).withColumn("since", F.when(F.col("_prev").isNotNull(), F.col("since"))).drop("_prev")
+    f = _hourly_rates(spark, d).where(F.col("source") == METRIC)
+    f = f.select("symbol", (F.col("slot_us") + HOUR_US).alias("at"), (F.col("value") * F.col("rate") / (365 * 24)).alias("v"))
+    t = lots.sums_over_intervals(t, f, "symbol", "since", "us", "at", "v", HOUR_US)
+    return written(t.withColumnRenamed("total", "funding").drop("n_events", "since", "symbol"), "replay")
+
+
 def replay_daily(spark: SparkSession, d: str) -> DataFrame:
-    p = _prices(spark, d).where("price is not null")
-    day = F.floor(micros("timestamp") / F.lit(series.DAY_US)).cast("bigint")
-    fee = F.when(F.col("amount1") > 0, F.col("amount1") * 0.0005)
-    t = p.select("pool", "block_number", "log_index", day.alias("day"), "price", F.col("price").alias("ref"), F.when(~F.isnan(fee), fee).alias("fee"))
-    r = fold.replay(t, "pool", ["block_number", "log_index"], "day", "price", "ref", 10_000.0, 0.8, 1.25, "fee", 50.0, 2.0)
-    return r.groupBy("pool", "day").agg(*[F.sum(c).alias(c) for c in ("lp_inc", "fee_inc", "hedge_inc", "cost_inc", "net_inc")])
+    t = _replay_tape(spark, d).withColumn("day", series.day_of("us"))
+    r = fold.replay(t, "pool", MESSAGE, "day", "price", "ref", 10_000.0, 0.8, 1.25, "fee", 50.0, 2.0, "active", "funding")
+    return r.groupBy("pool", "day").agg(*[F.sum(c).alias(c) for c in ("lp_inc", "fee_inc", "hedge_inc", "funding_inc", "cost_inc", "net_inc")])
 
 
 OWNED, RANGES = ["pool", "owner"], ["pool", "tick_lower", "tick_upper"]
@@ -425,11 +472,11 @@ def block_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 def capital_replay(spark: SparkSession, d: str, capitals: tuple[float, ...]) -> DataFrame:
     """(capital, net, trades): the position of every pool replayed with each capital, all in one job."""
-    p = _prices(spark, d).where("price is not null").withColumn("capital", F.explode(F.array(*[F.lit(float(x)) for x in capitals])))
-    t = p.select(F.concat_ws("|", "pool", F.col("capital").cast("string")).alias("run"), "block_number", "log_index", F.lit(0).alias("day"), "price", F.col("price").alias("ref"), "capital", F.lit(0.0).alias("fee"))
-    r = fold.replay(t, "run", ["block_number", "log_index"], "day", "price", "ref", "capital", 0.8, 1.25, "fee", 50.0, 2.0)
+    t = _replay_tape(spark, d).withColumn("capital", F.explode(F.array(*[F.lit(float(x)) for x in capitals])))
+    t = t.withColumns({"run": F.concat_ws("|", "pool", F.col("capital").cast("string")), "day": F.lit(0)})
+    r = fold.replay(t, "run", MESSAGE, "day", "price", "ref", "capital", 0.8, 1.25, "fee", 50.0, 2.0, "active", "funding")
     r = r.withColumn("capital", F.split_part("run", F.lit("|"), F.lit(2)).cast("double"))
-    return r.groupBy("capital").agg(F.sum("net_inc").alias("net"), F.count(F.when(F.col("cost_inc") != 0, 1)).alias("trades"))
+    return r.groupBy("capital").agg(F.sum("net_inc").alias("net"), F.sum("trades").alias("trades"))
 
 
 def capacity_sweep(spark: SparkSession, d: str) -> DataFrame:
