@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 
-from tidemark.operators import fold, series
+from tidemark.operators import fold, inference, series
 from tidemark.plans import tapes
 
 
@@ -88,3 +88,24 @@ def test_swaps_of_both_sides_earn_tier_times_fraction_times_share(spark, tmp_pat
     assert abs(r[0].funding_inc - held * 200 * 0.2 / 8760) < 1e-9
     sweep = {x.capital: x for x in tapes.capital_replay(spark, str(tmp_path), (1e4, 1e5)).collect()}
     assert abs(sweep[1e4].net - r[0].net_inc) < 1e-9 and sweep[1e5].trades == 2
+
+
+def summed(x, end):
+    """tau by the loop of the reference."""
+    d = np.asarray(x) - np.mean(x)
+    rho = [float(np.mean(d[: len(d) - k] * d[k:])) / float(np.mean(d * d)) for k in range(end + 1)]
+    total, k = 0.0, 1
+    while k <= end:
+        part = sum(rho[k : k + 2])
+        if part <= 0:
+            break
+        total, k = total + part, k + 2
+    return max(1.0, 1 + 2 * total), k
+
+
+def test_block_length_follows_positive_pairs_beyond_the_first_lags(spark):
+    x = list(np.sin(np.arange(300) / 40))
+    want, stop = summed(x, 299)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, v double")
+    assert abs(inference.mean_block_length(df, "i", "v", 4).first().tau - want) < 1e-9
+    assert stop > 5

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
 from tidemark.operators.ordered import numbered
+from tidemark.sources.tables import usable
 
 MOST = 1_000_000
 
@@ -54,11 +55,14 @@ def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     return draws.agg(F.percentile(value, F.lit(a)).alias("low"), F.percentile(value, F.lit(1 - a)).alias("high"))
 
 
-def autocorrelation(df: DataFrame, order: str, value: str, max_lag: int) -> DataFrame:
-    """(lag, rho) of an aggregated series, with unbiased denominators, by self-joins on the position less the lag."""
+def _deviations(df: DataFrame, order: str, value: str) -> DataFrame:
+    """(i, d, n): positions, deviations from the mean and the number of points."""
     s = numbered(df.where(F.col(value).isNotNull()).select(order, F.col(value).cast("double").alias("v")), [order], "i").select("i", "v")
     mean = s.agg(F.avg("v").alias("m"), F.count("*").alias("n"))
-    s = s.crossJoin(F.broadcast(mean)).select("i", (F.col("v") - F.col("m")).alias("d"), "n")
+    return s.crossJoin(F.broadcast(mean)).select("i", (F.col("v") - F.col("m")).alias("d"), "n")
+
+
+def _correlations(s: DataFrame, max_lag: int) -> DataFrame:
     a = s.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("j", F.col("i") + F.col("lag"))
     p = a.join(s.select(F.col("i").alias("j"), F.col("d").alias("e")), "j")
     g = p.groupBy("lag").agg((F.sum(F.col("d") * F.col("e")) / F.count("*")).alias("c"))
@@ -66,11 +70,28 @@ def autocorrelation(df: DataFrame, order: str, value: str, max_lag: int) -> Data
     return g.crossJoin(F.broadcast(zero)).select("lag", (F.col("c") / F.nullif("c0", F.lit(0.0))).alias("rho"))
 
 
+def autocorrelation(df: DataFrame, order: str, value: str, max_lag: int) -> DataFrame:
+    """(lag, rho) of an aggregated series, with unbiased denominators, by self-joins on the position less the lag."""
+    return _correlations(_deviations(df, order, value), max_lag)
+
+
 def mean_block_length(df: DataFrame, order: str, value: str, max_lag: int, least: int = 1, most: int = 1000) -> DataFrame:
-    """(tau, blocks): 1 + 2 times the autocorrelations summed over the initial pairs with positive sums, and its ceiling in bounds."""
-    r = autocorrelation(df, order, value, max_lag).where("lag > 0")
-    pairs = r.groupBy(((F.col("lag") - 1) / 2).cast("int").alias("pair")).agg(F.sum("rho").alias("s"), F.count("*").alias("n")).where("n = 2")
-    good = F.min((F.col("s") > 0).cast("int")).over(Window.orderBy("pair"))
+    """(tau, blocks): 1 + 2 times the autocorrelations summed over the initial pairs with positive sums, and its ceiling in bounds.
+
+    ``max_lag`` is where the search starts: while all pairs are positive it is doubled, up to the last lag of the series
+    or ten times ``most``; there a single lag without partner counts as a pair does.
+    """
+    d = _deviations(df, order, value)
+    end = min((d.agg(F.max("n")).first()[0] or 1) - 1, 10 * most)
+    lag = min(max(max_lag + max_lag % 2, 2), end)
+    while True:
+        r = _correlations(d, lag).where("lag > 0")
+        pairs = r.groupBy(((F.col("lag") - 1) / 2).cast("int").alias("pair")).agg(F.sum("rho").alias("s"))
+        pairs = pairs.withColumn("positive", usable("s") & (F.col("s") > 0))
+        if lag >= end or pairs.where("not positive").limit(1).count():
+            break
+        lag = min(lag * 2, end)
+    good = F.min(F.col("positive").cast("int")).over(Window.orderBy("pair"))
     total = pairs.withColumn("good", good).where("good = 1").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
     tau = F.greatest(F.lit(1.0), 1 + 2 * F.col("s"))
     return total.select(tau.alias("tau"), F.least(F.greatest(F.ceil(tau), F.lit(least)), F.lit(most)).cast("int").alias("blocks"))
