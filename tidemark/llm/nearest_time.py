@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tidemark.session import scratch_path
 
 OUT = "left_id bigint, right_id bigint, left_us bigint, right_us bigint"
 STATE = "left_id binary, left_us binary, right_id binary, right_us binary"
+HDFS = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def nearest(left_us: np.ndarray, right_us: np.ndarray, right_id: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -43,6 +47,8 @@ def nearest(left_us: np.ndarray, right_us: np.ndarray, right_id: np.ndarray, bef
 def _step(before: int, after: int, width: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Buffers both sides of an entity's slice of time; emits what the watermark has passed, evicts what has expired."""
+        if key[2]:
+            return  # an end mark only moves the watermark
         old = [np.frombuffer(x, np.int64) for x in state.get] if state.exists else [np.empty(0, np.int64)] * 4
         parts = [[x] for x in old]
         if not state.hasTimedOut:
@@ -63,9 +69,9 @@ def _step(before: int, after: int, width: int):
             yield pd.DataFrame({"left_id": left_id[ready], "right_id": r_id, "left_us": t, "right_us": r_us})
         left_id, left_us = left_id[~ready], left_us[~ready]
         lower = min(mark, left_us.min()) if len(left_us) else mark
-        live = right_us > lower - before - after
+        live = right_us >= lower - before
         right_id, right_us = right_id[live], right_us[live]
-        end = (key[1] + 1) * width + before + after
+        end = (key[1] + 1) * width  # no left record of the slice is later
         if len(left_us) or (len(right_us) and mark < end):
             state.update(tuple(x.tobytes() for x in (left_id, left_us, right_id, right_us)))
             due = (left_us.min() + after) // 1000 + 1 if len(left_us) else end // 1000 + 1
@@ -76,6 +82,30 @@ def _step(before: int, after: int, width: int):
     return step
 
 
+def _paired(both: DataFrame, before: int, after: int, late_seconds: float, slice_seconds: int) -> DataFrame:
+    """The join of one stream of (is_left, entity, id, at, ends); records with ``ends`` only move the watermark."""
+    width = max(int(slice_seconds) * 1_000_000, before + after, 1)  # so a right record has three slices at most
+    at = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    us = F.unix_micros("at")
+    own, all_met = F.array(at(us)), F.sequence(at(us - after), at(us + before))
+    rows = both.where("at is not null and (ends or (entity is not null and id is not null))")
+    rows = rows.withWatermark("at", f"{int(late_seconds * 1000)} milliseconds")
+    rows = rows.select("entity", F.explode(F.when(F.col("is_left") | F.col("ends"), own).otherwise(all_met)).alias("slice"), "ends", "is_left", "id", us.alias("us"), "at")
+    return rows.groupBy("entity", "slice", "ends").applyInPandasWithState(_step(before, after, width), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _side(df: DataFrame, is_left: bool, entity: str, i: str, t: str) -> DataFrame:
+    return df.select(
+        F.lit(is_left).alias("is_left"), F.col(entity).cast("string").alias("entity"), F.col(i).cast("bigint").alias("id"),
+        F.col(t).cast("timestamp").alias("at"), F.lit(False).alias("ends"),
+    )
+
+
+def _reach(tolerance_seconds: float, direction: str) -> tuple[int, int]:
+    tol = round(tolerance_seconds * 1_000_000)
+    return (0 if direction == "forward" else tol), (0 if direction == "backward" else tol)
+
+
 def nearest_time_join(
     left: DataFrame, right: DataFrame, entity: str, left_id: str, left_time: str, right_id: str, right_time: str,
     tolerance_seconds: float, late_seconds: float, direction: str = "backward", slice_seconds: int = 14_400,
@@ -83,96 +113,86 @@ def nearest_time_join(
     """Streaming: every left record with the nearest right record of its entity, or NULL, as (left_id, right_id, left_us, right_us).
 
     ``direction``: ``backward`` (right not later), ``forward`` (not earlier) or ``nearest`` (both). Ends of the
-    tolerance count. Of right records at one time the smallest id counts. Both sides are buffered per entity and slice of ``slice_seconds``, so an
-    entity that holds a third of all rows is many groups; a right record near a border goes to both slices. A left
-    record comes out once the watermark (``late_seconds`` behind the slower side) passes its tolerance horizon, right
-    records are evicted when no left record to come can need them. Records later than the watermark are dropped by
-    Spark: ``late_seconds`` must bound how far records come out of order. Records without entity, time or id can't be
-    paired and are left out; repeated records are records of their own.
+    tolerance count. Of right records at one time the smallest id counts. Both sides are buffered per entity and slice
+    of ``slice_seconds`` (of the tolerance's length, if that is longer), so an entity that holds a third of all rows is
+    many groups; a right record goes to every slice in which a left record can meet it. A left record comes out once
+    the watermark (``late_seconds`` behind the latest record of both sides) passes its tolerance horizon, right records
+    are evicted when no left record to come can need them. Records later than the watermark are dropped by
+    Spark: ``late_seconds`` must bound how far records come out of order, on both sides together. Records without
+    entity, time or id can't be paired and are left out; repeated records are records of their own.
     """
-    tol, width = round(tolerance_seconds * 1_000_000), int(slice_seconds) * 1_000_000
-    before, after = (0 if direction == "forward" else tol), (0 if direction == "backward" else tol)
-    late = f"{int(late_seconds * 1000)} milliseconds"
-    at = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    both = _side(left, True, entity, left_id, left_time).unionByName(_side(right, False, entity, right_id, right_time))
+    return _paired(both, *_reach(tolerance_seconds, direction), late_seconds, slice_seconds)
 
-    def side(df: DataFrame, is_left: bool, i: str, t: str) -> DataFrame:
-        us = F.unix_micros(F.col("at"))
-        slices = F.array(at(us)) if is_left else F.array_distinct(F.array(at(us - after), at(us), at(us + before)))
-        df = df.select(F.col(entity).cast("string").alias("entity"), F.col(i).cast("bigint").alias("id"), F.col(t).cast("timestamp").alias("at"))
-        df = df.where("entity is not null and id is not null and at is not null").withWatermark("at", late)
-        return df.select("entity", F.explode(slices).alias("slice"), F.lit(is_left).alias("is_left"), "id", us.alias("us"), "at")
 
-    both = side(left, True, left_id, left_time).unionByName(side(right, False, right_id, right_time))
-    return both.groupBy("entity", "slice").applyInPandasWithState(
-        _step(before, after, width), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+def time_spans(both: DataFrame, path: str, rows_per_span: int) -> list[str]:
+    """Writes ``both`` as folders of successive times under ``path``, about ``rows_per_span`` rows in each; their names in order.
 
+    One shuffle by ranges of time, of narrow rows. A span has as many files as the session has cores.
+    """
+    spark = both.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    spans = max(1, -(-both.count() // rows_per_span))
+    # further columns split instants that very many records share
+    parts = both.repartitionByRange(spans * cores, "at", "id", "entity").withColumn("span", (F.spark_partition_id() / cores).cast("int"))
+    parts.write.partitionBy("span").parquet(path)
+    names = [s.getPath().getName() for s in _folder(spark, path)[0].listStatus(_folder(spark, path)[1]) if s.isDirectory()]
+    return sorted((n for n in names if n.startswith("span=")), key=lambda n: int(n[5:]))
 
-def lateness(spark: SparkSession, path: str, time: str) -> tuple[float, float] | None:
-    """How many seconds a file of the table may lie behind the files read before it, and the last time; None if empty.
 
-    Files are read by modification time; such of one time in any order. One row per file goes through the window.
-    """
-    t = spark.read.parquet(path).where(F.col(time).isNotNull())
-    us = F.unix_micros(F.col(time).cast("timestamp"))
-    files = t.groupBy(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at")
-    ).agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
-    so_far = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    row = files.select((F.max("hi").over(so_far) - F.col("lo")).alias("d"), "hi").agg(F.max("d").alias("d"), F.max("hi").alias("hi")).first()
-    return None if row["hi"] is None else (row["d"] / 1e6, row["hi"] / 1e6)
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202  objects of the JVM
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def pair_tables(
     spark: SparkSession, left_path: str, right_path: str, entity: str, left_id: str, left_time: str, right_id: str, right_time: str,
-    tolerance_seconds: float, direction: str = "backward", right_filter: Column | None = None, bytes_per_trigger: int | None = None,
-    slice_seconds: int = 14_400,
+    tolerance_seconds: float, direction: str = "backward", right_filter: Column | None = None, rows_per_batch: int | None = None,
+    slice_seconds: int = 14_400, progress: list | None = None,
 ) -> DataFrame:
     """The join of two Parquet tables, streamed to their end: (left_id, right_id, left_us, right_us), a row per left record.
 
-    The tables' files are streamed in the order of their arrival, ``bytes_per_trigger`` at a time (default: 64 MB a
-    core). How far they overlap in time is measured first and bounds the lateness, so that no record is dropped; a
-    last record far in the future then passes the watermark over all others. The result is a table in the shared
-    folder; a stream that is interrupted goes on from its checkpoint there. Left records without id, entity or time aren't in it.
+    However the tables' files are cut and ordered, both are first laid out by time in spans of ``rows_per_batch``
+    records (default: a million a core). The stream is given span after span, a micro-batch each, so no record is late,
+    and what is buffered is one span and the records within the tolerance before it. An end mark beyond the last time
+    then passes the watermark over all records. State is kept in RocksDB where the session names no provider. The
+    result is a table in the shared folder; a stream that is interrupted goes on from its checkpoint there. Left
+    records without id, entity or time aren't in it. ``progress`` gets the stream's last progress reports.
     """
-    late = [lateness(spark, left_path, left_time), lateness(spark, right_path, right_time)]
-    if None in late:
-        late = [x or (0.0, 0.0) for x in late]
-    behind = max(d for d, _ in late) + 1
-    beyond = max(hi for _, hi in late) + 2 * behind + 2 * tolerance_seconds + slice_seconds
+    left, right = spark.read.parquet(left_path), spark.read.parquet(right_path)
+    if right_filter is not None:
+        right = right.where(right_filter)
+    both = _side(left, True, entity, left_id, left_time).unionByName(_side(right, False, entity, right_id, right_time))
+    both = both.where("entity is not null and id is not null and at is not null")
     base = scratch_path(spark, "nearest")
-    size = bytes_per_trigger or 64 * spark.sparkContext.defaultParallelism << 20
-
-    def side(name: str, path: str, i: str, t: str, where: Column | None) -> tuple[DataFrame, str]:
-        schema = spark.read.parquet(path).schema
-        # a pattern that only the path matches, as a stream takes no single file by its plain path
-        s = spark.readStream.schema(schema).option("maxBytesPerTrigger", size).parquet(f"{path[:-1]}[{path[-1]}]")
-        if where is not None:
-            s = s.where(where)
-        s = s.select(F.col(entity).cast("string").alias("entity"), F.col(i).cast("bigint").alias("id"), F.col(t).cast("timestamp").alias("at"))
-        end = f"{base}/end-{name}"
-        none = spark.createDataFrame([], s.schema)
-        none.write.parquet(end)
-        return s.unionByName(spark.readStream.schema(s.schema).parquet(end)), end
-
-    left, left_end = side("left", left_path, left_id, left_time, None)
-    right, right_end = side("right", right_path, right_id, right_time, right_filter)
-    joined = nearest_time_join(
-        left, right, "entity", "id", "at", "id", "at", tolerance_seconds, behind, direction, slice_seconds
-    ).where("left_id >= -9000000000000000000")
-    for last in (False, True):
-        if last:
-            end = spark.createDataFrame([("\0end", -(1 << 63), beyond)], "entity string, id bigint, s double")
-            end = end.select("entity", "id", F.timestamp_seconds("s").alias("at")).coalesce(1)
-            for to in (left_end, right_end):
-                end.write.mode("append").parquet(to)
-        writer = joined.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-        # a stateful stream has one state store a shuffle partition, which adaptive execution can't merge
-        was = spark.conf.get("spark.sql.shuffle.partitions")
-        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(was), 2 * spark.sparkContext.defaultParallelism)))
-        try:
-            q = writer.trigger(availableNow=True).start()
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", was)
-        q.awaitTermination()
-    return spark.read.schema(joined.schema).parquet(f"{base}/out")
+    before, after = _reach(tolerance_seconds, direction)
+    cores = spark.sparkContext.defaultParallelism
+    spans = time_spans(both, f"{base}/spans", rows_per_batch or 1_000_000 * cores)
+    empty = StructType.fromDDL(OUT)
+    if not spans:
+        return spark.createDataFrame([], empty)
+    last = spark.read.schema(both.schema).parquet(f"{base}/spans/{spans[-1]}").agg(F.max("at").alias("at"))
+    end = last.select(F.lit(True).alias("is_left"), F.lit(None).cast("string").alias("entity"), F.lit(None).cast("bigint").alias("id"), "at", F.lit(True).alias("ends"))
+    beyond = F.timestamp_micros(F.unix_micros("at") + F.lit(before + after + 10_000_000))
+    end.select("is_left", "entity", "id", beyond.alias("at"), "ends").write.parquet(f"{base}/spans/end")
+
+    # settings of the stream's own: other queries of the session keep theirs
+    own = spark.newSession()
+    named = spark.conf.get(PROVIDER)
+    own.conf.set(PROVIDER, ROCKS if named == HDFS and spark.sparkContext.getConf().get(PROVIDER) is None else named)
+    # a stateful stream has one state store a shuffle partition, which adaptive execution can't merge
+    own.conf.set("spark.sql.shuffle.partitions", str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores)))
+    fs, live = _folder(spark, f"{base}/live")
+    fs.mkdirs(live)
+    stream = own.readStream.schema(both.schema).option("recursiveFileLookup", "true").parquet(f"{base}/live")
+    joined = _paired(stream, before, after, 1.0, slice_seconds)
+    q = joined.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").start()
+    try:
+        for name in [*spans, "end"]:
+            fs.rename(_folder(spark, f"{base}/spans/{name}")[1], _folder(spark, f"{base}/live/{name}")[1])
+            q.processAllAvailable()
+        if progress is not None:
+            progress += q.recentProgress
+    finally:
+        q.stop()
+    return spark.read.schema(empty).parquet(f"{base}/out")
