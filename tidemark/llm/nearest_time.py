@@ -125,14 +125,13 @@ def nearest_time_join(
     return _paired(both, *_reach(tolerance_seconds, direction), late_seconds, slice_seconds)
 
 
-def time_spans(both: DataFrame, path: str, rows_per_span: int) -> list[str]:
-    """Writes ``both`` as folders of successive times under ``path``, about ``rows_per_span`` rows in each; their names in order.
+def time_spans(both: DataFrame, path: str, spans: int) -> list[str]:
+    """Writes ``both`` as at most ``spans`` folders of successive times under ``path``; their names in order.
 
     One shuffle by ranges of time, of narrow rows. A span has as many files as the session has cores.
     """
     spark = both.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    spans = max(1, -(-both.count() // rows_per_span))
     # further columns split instants that very many records share
     parts = both.repartitionByRange(spans * cores, "at", "id", "entity").withColumn("span", (F.spark_partition_id() / cores).cast("int"))
     parts.write.partitionBy("span").parquet(path)
@@ -167,7 +166,8 @@ def pair_tables(
     base = scratch_path(spark, "nearest")
     before, after = _reach(tolerance_seconds, direction)
     cores = spark.sparkContext.defaultParallelism
-    spans = time_spans(both, f"{base}/spans", rows_per_batch or 1_000_000 * cores)
+    rows = left.count() + spark.read.parquet(right_path).count()  # from the files' footers
+    spans = time_spans(both, f"{base}/spans", max(1, -(-rows // (rows_per_batch or 1_000_000 * cores))))
     empty = StructType.fromDDL(OUT)
     if not spans:
         return spark.createDataFrame([], empty)
