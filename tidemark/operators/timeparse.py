@@ -8,125 +8,145 @@ from __future__ import annotations
 
 import re
 import zoneinfo
-from collections.abc import Iterator
-from datetime import UTC, date, datetime, timedelta
+from datetime import date, datetime, timedelta
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Offsets in minutes of the zone abbreviations that are understood.
-ABBREVIATIONS = {
-    "UTC": 0, "GMT": 0, "Z": 0,
-    "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
-    "WET": 0, "WEST": 60, "BST": 60, "IST": 330, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180,
-    "HKT": 480, "SGT": 480, "JST": 540, "KST": 540, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660,
-    "NZST": 720, "NZDT": 780,
-}
+from tidemark.session import written
+
+# The marks of universal time; other abbreviations are those of the source's own zone.
+UNIVERSAL = ("UTC", "GMT", "Z")
 # The English names of the months.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 SCHEMA = "source string, format string, weight double"
+READINGS = "array<struct<format:string,micros:bigint>>"
 # Field order of the all-numeric dates with slashes.
 ORDERS = ("dmy", "mdy", "ymd", "ydm")
 
-_CLOCK = r"(?P<h>\d{1,2}):(?P<mi>\d\d)(?::(?P<s>\d\d)(?:[.,](?P<f>\d+))?)?\s*(?P<half>[AaPp][Mm](?![A-Za-z]))?"
-_ZONE = r"\s*(?P<z>[Zz]|[A-Za-z]{3,5}|[+-]\d\d(?::?\d\d)?(?:\[[^\]]*\])?|[A-Za-z]+/[A-Za-z_/+-]+|)"
-_DATE = (
-    r"(?:(?P<n1>\d{1,4})/(?P<n2>\d{1,2})/(?P<n3>\d{1,4})|(?P<y>\d{4})-(?P<m>\d{1,2})-(?P<d>\d{1,2})|(?P<oy>\d{4})-(?P<o>\d{3})"
-    r"|(?P<wd>\d{1,2}) (?P<wm>[A-Za-z]{3,9}) (?P<wy>\d{4})|(?P<um>[A-Za-z]{3,9}) (?P<ud>\d{1,2}), (?P<uy>\d{4}))"
-)
-TEXT = re.compile(rf"(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+)?{_DATE}(?:T|\s+){_CLOCK}{_ZONE}", re.A)
-COMPACT = re.compile(rf"(?P<y>\d{{4}})(?P<m>\d\d)(?P<d>\d\d)T(?P<h>\d\d)(?P<mi>\d\d)(?P<s>\d\d)(?:[.,](?P<f>\d+))?{_ZONE}", re.A)
+_CLOCK = r"(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d+))?)?\s*([AaPp][Mm](?![A-Za-z]))?"
+_ZONE = r"\s*([Zz]|[A-Za-z]{3,5}|[+-]\d\d(?::?\d\d)?(?:\[[^\]]*\])?|[A-Za-z]+/[A-Za-z_/+-]+|)"
+_form = lambda day, between=r"(?:T|\s+)", clock=_CLOCK: re.compile(day + between + clock + _ZONE, re.A)
+ISO = _form(r"(\d{4})-(\d{1,2})-(\d{1,2})")
+ORDINAL = _form(r"(\d{4})-(\d{3})")
+SLASHES = _form(r"(\d{1,4})/(\d{1,2})/(\d{1,4})")
+DAY_FIRST = _form(r"(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})")
+MONTH_FIRST = _form(r"([A-Za-z]{3,9}) (\d{1,2}), (\d{4})")
+COMPACT = _form(r"(\d{4})(\d\d)(\d\d)", "T", r"(\d\d)(\d\d)(\d\d)(?:[.,](\d+))?()")
+WEEKDAY = re.compile(r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+")
 NUMBER = re.compile(r"(\d{1,19})(?:\.(\d+))?", re.A)
 HEXADECIMAL = re.compile(r"0[xX]([0-9a-fA-F]{1,12})")
 OFFSET = re.compile(r"([+-])(\d\d):?(\d\d)?", re.A)
 _EPOCH = date(1970, 1, 1).toordinal()
-_zone = lru_cache(maxsize=1024)(zoneinfo.ZoneInfo)
+_MICROSECOND = timedelta(microseconds=1)
 
 
-def _sixth(digits: str | None) -> int:
-    return int(digits[:6].ljust(6, "0")) if digits else 0
+@lru_cache(maxsize=1024)
+def _zone(name: str) -> zoneinfo.ZoneInfo | None:
+    try:
+        return zoneinfo.ZoneInfo(name)
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
+        return None
 
 
-def _days(g: dict[str, str | None]) -> Iterator[tuple[str, date]]:
-    """The valid days of a matched date, each with its format."""
-    if g.get("n1"):
-        fields = (g["n1"], g["n2"], g["n3"])
-        tries = [(o, *[fields[o.index(x)] for x in "ymd"]) for o in ORDERS if len(fields[o.index("y")]) == 4]
-    elif g.get("y"):
-        tries = [("iso", g["y"], g["m"], g["d"])]
-    elif g.get("oy"):
-        first, n = date(int(g["oy"]) or 1, 1, 1), int(g["o"])
-        if n and (day := first + timedelta(n - 1)).year == first.year:
-            yield "ordinal", day
-        return
-    else:
-        name, y, d = (g["wm"], g["wy"], g["wd"]) if g.get("wm") else (g["um"], g["uy"], g["ud"])
-        if (m := name[:3].lower()) not in MONTHS:
-            return
-        tries = [("words", y, MONTHS.index(m) + 1, d)]
-    for name, y, m, d in tries:
-        try:
-            yield name, date(int(y), int(m), int(d))
-        except ValueError:
-            continue
+def _sixth(digits: str | None) -> int:
+    return int(digits[:6].ljust(6, "0")) if digits else 0
 
 
-def _utc(local: int, mark: str, home: str | None) -> int | None:
-    """UTC of local microseconds, by the text's zone, or else by the source's own."""
+def _month(name: str) -> int:
+    return MONTHS.index(name[:3].lower()) + 1 if name[:3].lower() in MONTHS else 0
+
+
+def _days(s: str) -> tuple[list[tuple[str, object, object, object]], tuple[str | None, ...]]:
+    """The readings of a text's date as (format, year, month, day), and its clock and zone fields."""
+    if s[:1].isalpha():
+        s = WEEKDAY.sub("", s, count=1)
+    if s[4:5] == "-":
+        if m := ISO.fullmatch(s):
+            return [("iso", m[1], m[2], m[3])], m.groups()[3:]
+        if m := ORDINAL.fullmatch(s):
+            year, n = int(m[1]) or 1, int(m[2])
+            day = date(year, 1, 1) + timedelta(n - 1) if 0 < n and year < 9999 else None
+            return [("ordinal", year, day.month, day.day)] if day and day.year == year else [], m.groups()[2:]
+    elif m := SLASHES.fullmatch(s):
+        f = m.groups()[:3]
+        return [(o, *(f[o.index(x)] for x in "ymd")) for o in ORDERS if len(f[o.index("y")]) == 4], m.groups()[3:]
+    elif m := COMPACT.fullmatch(s):
+        return [("iso", m[1], m[2], m[3])], m.groups()[3:]
+    elif m := DAY_FIRST.fullmatch(s):
+        return [("words", m[3], _month(m[2]), m[1])], m.groups()[3:]
+    elif m := MONTH_FIRST.fullmatch(s):
+        return [("words", m[3], _month(m[1]), m[2])], m.groups()[3:]
+    return [], ()
+
+
+def _shift(at: datetime, mark: str, home: str | None) -> int | None:
+    """Microseconds by which local time is ahead of UTC, by the text's zone or else by the source's own; None if there is no such time.
+
+    An abbreviation must be one that the source's zone has at that local time, in the first or second pass of a repeated hour.
+    """
     if m := OFFSET.match(mark):
         minutes = int(m[2]) * 60 + int(m[3] or 0)
-        return local + (minutes if m[1] == "-" else -minutes) * 60_000_000
-    if mark and "/" not in mark:
-        minutes = ABBREVIATIONS.get(mark.upper())
-        return None if minutes is None else local - minutes * 60_000_000
-    if not (name := mark or home):
-        return None
-    try:
-        zone = _zone(name)
-    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
+        return (-minutes if m[1] == "-" else minutes) * 60_000_000
+    if mark.upper() in UNIVERSAL:
+        return 0
+    named = mark if "/" in mark else home
+    zone = _zone(named) if named else None
+    if zone is None:
         return None
-    at = datetime(1970, 1, 1) + timedelta(microseconds=local)
-    shift = at.replace(tzinfo=zone).utcoffset()  # fold 0: the first pass of a repeated hour
-    there = at - shift
-    if there.replace(tzinfo=UTC).astimezone(zone).replace(tzinfo=None) != at:
-        return None  # a skipped hour is no time
-    return local - shift // timedelta(microseconds=1)
+    first = at.replace(tzinfo=zone)
+    if mark and "/" not in mark:
+        first = next((x for x in (first, first.replace(fold=1)) if (x.tzname() or "").upper() == mark.upper()), None)
+        return None if first is None else first.utcoffset() // _MICROSECOND
+    shift = first.utcoffset()
+    # a skipped hour is no time: only there the offset grows from the first pass to the second
+    return None if first.replace(fold=1).utcoffset() > shift else shift // _MICROSECOND
 
 
 def readings_of(text: str | None, home: str | None, low: int, high: int) -> list[tuple[str, int]]:
-    """All valid readings (format, UTC microseconds) of one text, in [low, high)."""
+    """All valid readings (format, UTC microseconds) of one text; epoch numbers only where they lie in [low, high)."""
     s = (text or "").strip("\"'` \t\r\n\v\f\u00a0")
-    found: list[tuple[str, int]] = []
     if m := NUMBER.fullmatch(s):
         n, part = int(m[1]), _sixth(m[2])
-        found = [("epoch_s", n * 1_000_000 + part), ("epoch_ms", n * 1_000 + part // 1_000), ("epoch_us", n), ("epoch_ns", n // 1_000)]
-    elif m := HEXADECIMAL.fullmatch(s):
-        found = [("hex_s", int(m[1], 16) * 1_000_000)]
-    elif m := TEXT.fullmatch(s) or COMPACT.fullmatch(s):
-        g = m.groupdict()
-        h, mi, sec, half = int(g["h"]), int(g["mi"]), int(g["s"] or 0), (g.get("half") or "").lower()
-        if half:
-            h = h % 12 + 12 * (half == "pm") if 1 <= h <= 12 else 99
-        if h <= 23 and mi <= 59 and sec <= 59:
-            clock = ((h * 60 + mi) * 60 + sec) * 1_000_000 + _sixth(g["f"])
-            for name, day in _days(g):
-                us = _utc((day.toordinal() - _EPOCH) * 86_400_000_000 + clock, g["z"], home)
-                if us is not None:
-                    found.append((name, us))
-    return [(name, us) for name, us in found if low <= us < high]
+        found = (("epoch_s", n * 1_000_000 + part), ("epoch_ms", n * 1_000 + part // 1_000), ("epoch_us", n), ("epoch_ns", n // 1_000))
+        return [(name, us) for name, us in found if low <= us < high]
+    if m := HEXADECIMAL.fullmatch(s):
+        us = int(m[1], 16) * 1_000_000
+        return [("hex_s", us)] if low <= us < high else []
+    days, clock = _days(s)
+    if not days:
+        return []
+    h, mi, sec, half = int(clock[0]), int(clock[1]), int(clock[2] or 0), (clock[4] or "").lower()
+    if half:
+        h = h % 12 + 12 * (half == "pm") if 1 <= h <= 12 else 99
+    found = []
+    for name, y, m, d in days:
+        try:
+            at = datetime(int(y), int(m), int(d), h, mi, sec)
+        except ValueError:
+            continue
+        shift = _shift(at, clock[5], home)
+        if shift is not None:
+            local = ((at.toordinal() - _EPOCH) * 86_400 + h * 3_600 + mi * 60 + sec) * 1_000_000 + _sixth(clock[3])
+            found.append((name, local - shift))
+    return found
 
 
 def _reader(low: int, high: int):
-    @F.pandas_udf("array<struct<format:string,micros:bigint>>")
-    def read(text: pd.Series, home: pd.Series) -> pd.Series:
-        out = [
-            [{"format": f, "micros": us} for f, us in readings_of(t, z, low, high)]
-            for t, z in zip(text.where(text.notna(), None), home.where(home.notna(), None), strict=True)
-        ]
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf(READINGS)
+    def read(text: pa.Array, home: pa.Array) -> pa.Array:
+        ends, names, micros = [0], [], []
+        for t, z in zip(text.to_pylist(), home.to_pylist(), strict=True):
+            for name, us in readings_of(t, z, low, high):
+                names.append(name)
+                micros.append(us)
+            ends.append(len(names))
+        each = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(micros, pa.int64())], names=["format", "micros"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
 
     return read
 
@@ -173,15 +193,17 @@ def normalise_timestamps(
 
     ``sources`` tells per source (unique; further rows of one are ignored, the smallest counts) the zone of texts
     without zone and the declared order of all-numeric dates. Texts are read under every format that gives a valid
-    instant in [low, high): ISO forms, ordinal and compact dates, month names, the four orders of dates with slashes,
-    and epoch numbers by unit. How many texts of a source have which set of valid formats is counted in Spark; EM
+    instant: ISO forms, ordinal and compact dates, month names, the four orders of dates with slashes, and epoch
+    numbers, whose unit is the one that puts them in [low, high). Each text is read once; ``records`` with its
+    readings are a written table. How many texts of a source have which set of valid formats is counted in Spark; EM
     over these counts (one small group per source, at most as many rows as sets of formats) gives the source's
     mixture, with ``prior`` pseudo-counts on the declared order. The posterior chooses among a text's readings.
 
-    ``time_status``: ``ok``; ``ambiguous`` where no instant reaches the posterior ``certain`` (``utc_micros`` is then
-    NULL; ``time_certainty`` is the best posterior); ``unreadable`` for NULL, empty and impossible texts, texts with
-    an unknown zone, and texts without zone of a source whose zone is unknown. In a repeated local hour the first
-    pass counts, a skipped local hour is impossible. Readings that agree on the instant aren't ambiguous. Rows are
+    ``time_status``: ``ok``; ``outside`` for an instant that is certain but not in [low, high); ``ambiguous`` where no
+    instant reaches the posterior ``certain`` (``utc_micros`` is then NULL; ``time_certainty`` is the best posterior);
+    ``unreadable`` for NULL, empty and impossible texts, texts with an unknown zone, and texts without zone of a source
+    whose zone is unknown. Abbreviations other than UTC, GMT and Z are read by the source's own zone at that local
+    time and are unknown elsewhere. In a repeated local hour the first pass counts, a skipped local hour is impossible. Readings that agree on the instant aren't ambiguous. Rows are
     neither dropped nor merged; a NULL source is a source of its own, without zone. Columns of ``records`` with the
     names of the result columns are replaced; columns of ``sources`` don't come out.
     """
@@ -193,7 +215,7 @@ def normalise_timestamps(
     )
     keep = [c for c in records.columns if c not in ("utc_micros", "time_format", "time_certainty", "time_status")]
     r = records.select(*keep).join(info, F.col(source).eqNullSafe(F.col("_source")), "left")
-    r = r.withColumn("_r", _reader(*span)(F.col(text).cast("string"), F.col("_info.z")))
+    r = written(r.withColumn("_r", _reader(*span)(F.col(text).cast("string"), F.col("_info.z"))), "readings")
     formats = F.array_sort(F.transform("_r", lambda x: x["format"]))
     stats = (
         r.where(F.size("_r") > 0)
@@ -220,5 +242,5 @@ def normalise_timestamps(
         F.when(ok, F.col("_best.us")).alias("utc_micros"),
         F.when(ok, F.col("_best.f")).alias("time_format"),
         "time_certainty",
-        F.when(ok, "ok").when(F.size("_r") > 0, "ambiguous").otherwise("unreadable").alias("time_status"),
+        F.when(ok & (F.col("_best.us") >= span[0]) & (F.col("_best.us") < span[1]), "ok").when(ok, "outside").when(F.size("_r") > 0, "ambiguous").otherwise("unreadable").alias("time_status"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.dedup import surplus_deliveries
 from tidemark.operators.grid import regular_grid
 from tidemark.operators.pointintime import as_known
-from tidemark.operators.timeparse import ABBREVIATIONS, normalise_timestamps
+from tidemark.operators.timeparse import normalise_timestamps
 from tidemark.sources.tables import table, usable
 
 SERIES = ["source", "symbol", "acq_window"]
@@ -81,7 +81,7 @@ def _times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _times(spark, d).where("utc_micros is not null").select("record_id", "utc_micros")
+    return _times(spark, d).where("time_status = 'ok'").select("record_id", "utc_micros")
 
 
 def p5_formats(spark: SparkSession, d: str) -> DataFrame:
@@ -105,8 +105,11 @@ k AS (SELECT *, CASE paid WHEN 0 THEN packed & 15 WHEN 1 THEN packed >> 4 & 15 E
 x AS (SELECT *, CASE WHEN den = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - 1.0::DOUBLE / den::DOUBLE END AS right_fraction FROM k)"""
 
 _FORMATS = "'%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y%m%dT%H%M%S', '%Y-%jT%H:%M:%S', '%d %b %Y %H:%M:%S', '%b %d, %Y %I:%M:%S %p'"
-_OFFSETS = ", ".join(f"('{k}', {v})" for k, v in ABBREVIATIONS.items())
-_TIMES = rf"""o(abb, minutes) AS (VALUES {_OFFSETS}),
+# The abbreviations of the venues' zones with their offsets in minutes; those of no zone hold everywhere.
+_NAMES = """('Z', NULL, 0), ('UTC', NULL, 0), ('GMT', NULL, 0), ('EST', 'America/New_York', -300), ('EDT', 'America/New_York', -240),
+  ('CET', 'Europe/Berlin', 60), ('CEST', 'Europe/Berlin', 120), ('BST', 'Europe/London', 60), ('JST', 'Asia/Tokyo', 540),
+  ('AEST', 'Australia/Sydney', 600), ('AEDT', 'Australia/Sydney', 660)"""
+_TIMES = rf"""o(abb, of_zone, minutes) AS (VALUES {_NAMES}),
 s AS (SELECT record_id, venue, zone_name, date_order, regexp_replace(regexp_replace(timestamp_raw, '^[\s"'']+|[\s"'']+$', '', 'g'), '^[A-Z][a-z][a-z], ', '') AS s
   FROM venue_trades LEFT JOIN venues USING (venue)),
 z AS (SELECT *, regexp_extract(s, '(Z|[+-]\d\d(:?\d\d)?(\[[^\]]*\])?| [A-Z]{{3,4}}| [A-Z][a-z]+/[A-Za-z_]+)$', 1) AS z FROM s),
@@ -124,7 +127,7 @@ y AS (SELECT record_id, venue, CASE
   WHEN regexp_matches(z, '^[+-]') THEN epoch_us(local) - CASE WHEN z[1] = '-' THEN -1 ELSE 1 END * 60000000::BIGINT
     * (CAST(z[2:3] AS BIGINT) * 60 + CAST(COALESCE(NULLIF(regexp_extract(z, '^...:?(\d\d)', 1), ''), '0') AS BIGINT))
   WHEN named IS NOT NULL THEN epoch_us(CASE WHEN timezone(named, c - INTERVAL 1 HOUR) = local THEN c - INTERVAL 1 HOUR ELSE c END)
-  ELSE epoch_us(local) - minutes * 60000000::BIGINT END AS us FROM c LEFT JOIN o ON o.abb = trim(z))"""
+  ELSE epoch_us(local) - minutes * 60000000::BIGINT END AS us FROM c LEFT JOIN o ON o.abb = trim(z) AND (of_zone IS NULL OR of_zone = zone_name))"""
 
 ORACLES = {
     "p2_found": f"""WITH {_READINGS},
