@@ -1,7 +1,8 @@
 import itertools
 import random
+from pathlib import Path
 
-from tidemark.llm.packing import container_texts, encoder, fill_containers, fullest, minimum_bin_slack, VOCABULARY
+from tidemark.llm.packing import container_texts, encoder, fill_containers, fullest, minimum_bin_slack, packing_report, VOCABULARY
 
 
 def test_fullest_is_optimal():
@@ -29,7 +30,7 @@ def test_bins_hold_every_item_once():
 def test_every_token_comes_out_once(spark):
     rows = [(1, "a b c " * 400), (2, "hello world"), (3, None), (4, ""), (5, "naïve <|endoftext|> text " * 30), (5, "copy"), (6, "z" * 5000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "0 as grp", "0 as container_id")
-    e = encoder(VOCABULARY)
+    e = encoder(Path(VOCABULARY).read_bytes())
     out = fill_containers(df, capacity=256, items_per_group=4).collect()
     total = {}
     for r in out:
@@ -56,3 +57,18 @@ def test_little_room_is_left(spark):
     out = fill_containers(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     n = out.selectExpr("count(distinct container_id) n", "sum(n_tokens) s").first()
     assert n.s / (n.n * 4096) > 0.995
+
+
+def test_report_tells_what_is_wrong(spark):
+    df = spark.createDataFrame([(i, "word " * (10 + i)) for i in range(40)] + [(50, "long " * 600), (51, None)], "doc_id bigint, text string")
+    packed = fill_containers(df, capacity=256).cache()
+    told = lambda p: packing_report(df, p, capacity=256).first().asDict()
+    right = {"n_texts": 41, "n_lost": 0, "n_broken": 0, "n_split": 0, "n_over": 0, "well_filled": True}
+    assert told(packed) == right
+    assert told(packed.where("doc_id != 3"))["n_lost"] == 1
+    assert told(packed.selectExpr("0L as container_id", "doc_id", "first_token", "n_tokens", "container_tokens"))["n_over"] == 1
+    assert told(packed.selectExpr("container_id", "doc_id", "0 as first_token", "n_tokens", "container_tokens"))["n_broken"] == 1
+    half = packed.where("doc_id = 5").selectExpr("container_id", "doc_id", "first_token + n_tokens - 1 as first_token", "1 as n_tokens", "container_tokens")
+    cut = packed.selectExpr("container_id", "doc_id", "first_token", "n_tokens - if(doc_id = 5, 1, 0) as n_tokens", "container_tokens")
+    assert told(cut.unionByName(half))["n_split"] == 1
+    assert packing_report(df.limit(0), packed.limit(0)).first().n_texts == 0

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.leakage import leaked_items, leaked_passages
 from tidemark.llm.lookalike import look_alike_members, look_alike_pairs
 from tidemark.llm.nearest_time import pair_tables
-from tidemark.llm.packing import fill_containers
+from tidemark.llm.packing import fill_containers, packing_report
+from tidemark.session import written
 from tidemark.sources.tables import table, usable
 
 
@@ -37,6 +38,12 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return fill_containers(table(spark, d, "documents"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing of p6_containers must keep, told by tokens counted anew."""
+    docs = table(spark, d, "documents")
+    return packing_report(docs, written(fill_containers(docs), "packed"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -54,7 +61,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return m.select("doc_id", F.hex("look").alias("class_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ages, p6_containers, p7_found, p7_passages, p8_found, p8_classes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ages, p6_containers, p6_check, p7_found, p7_passages, p8_found, p8_classes)}
 
 _PAIR = """WITH r AS (SELECT symbol, timestamp, min(ref_id) AS ref_id FROM reference
   WHERE COALESCE(alignment_eligible, TRUE) AND mid IS NOT NULL AND NOT isnan(mid) GROUP BY symbol, timestamp)
@@ -62,6 +69,8 @@ SELECT t.target_id, r.ref_id, round((epoch_us(t.target_timestamp) - epoch_us(r.t
 ASOF LEFT JOIN r ON t.symbol = r.symbol AND t.target_timestamp >= r.timestamp"""
 
 ORACLES = {
+    "p6_check": """SELECT count(*) FILTER (text <> '') AS n_texts, 0::BIGINT AS n_lost, 0::BIGINT AS n_broken, 0::BIGINT AS n_split, 0::BIGINT AS n_over, TRUE AS well_filled
+FROM documents""",
     "p1_found": f"SELECT target_id, ref_id FROM ({_PAIR}) WHERE age_seconds <= 3",
     "p1_ages": f"""SELECT target_id, CASE WHEN age_seconds <= 3 THEN ref_id END AS ref_id,
   CASE WHEN age_seconds <= 3 THEN age_seconds END AS age_seconds FROM ({_PAIR})""",
