@@ -1,4 +1,4 @@
-from tidemark.llm.lookalike import Rewriter, corpus_representatives, look_alike_classes, look_alike_pairs, representatives
+from tidemark.llm.lookalike import Rewriter, corpus_representatives, look_alike_classes, look_alike_pairs, member_counts, representatives
 
 FORM = Rewriter(representatives())
 
@@ -34,6 +34,12 @@ def test_frequency_chooses(spark):
     assert corpus_representatives(df)["é"] == "é" and representatives()["é"] == "é"
 
 
+def test_long_sequences_are_counted(spark):
+    three = "e\u0323\u0302"  # one letter in three code points
+    n = {r.member: r.n for r in member_counts(spark.createDataFrame([(f"x{three}{three} e\u0323",), ("\u0302",), (None,)], "text string")).collect()}
+    assert (n[three], n["e\u0323"]) == (2, 3)
+
+
 def test_whole_table_against_brute_force(spark):
     t = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     by = {}

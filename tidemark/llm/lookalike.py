@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import written
 
-# Letters of other scripts with the shape of a Latin letter, under that letter.
+# Letters of other scripts with the shape of a Latin letter, under that letter. The scope is Cyrillic (with
+# its extensions) and Greek, in the shapes of upright fonts; other scripts and styled mathematical letters keep apart.
 SHAPES = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ",
     "P": "РΡ", "Q": "Ԛ", "S": "Ѕ", "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
@@ -175,12 +176,13 @@ def _numbers(texts: Iterable[str], block: int = 1 << 22) -> Iterator[np.ndarray]
 def member_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """How often each class member occurs in the corpus: (member, n); at most one row per known string.
 
-    Code points are counted by array arithmetic per batch; sequences of two by the pairs around combining marks.
+    Code points are counted by array arithmetic per batch; sequences by what stands before the marks that can end one.
     """
     members = {s for g in look_alike_classes() for s in g}
     singles = np.array(sorted(ord(s) for s in members if len(s) == 1 and not s.isascii()), np.uint32)
-    pairs = {s for s in members if len(s) == 2}
-    seconds = np.array(sorted({ord(s[1]) for s in pairs}), np.uint32)
+    sequences = {s for s in members if len(s) > 1}
+    lengths = sorted({len(s) for s in sequences})
+    lasts = np.array(sorted({ord(s[-1]) for s in sequences}), np.uint32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
@@ -191,11 +193,11 @@ def member_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     values, n = np.unique(a[high], return_counts=True)
                     known = np.isin(values, singles)
                     total.update(dict(zip(map(chr, values[known].tolist()), n[known].tolist(), strict=True)))
-                    second = high[np.isin(a[high], seconds)]
-                    second = second[second > 0]
-                    for x, y in zip(a[second - 1].tolist(), a[second].tolist(), strict=True):
-                        if (s := chr(x) + chr(y)) in pairs:
-                            total[s] += 1
+                    for end in high[np.isin(a[high], lasts)].tolist():
+                        before = "".join(map(chr, a[max(0, end + 1 - lengths[-1]) : end + 1].tolist()))
+                        for n in lengths:
+                            if before[-n:] in sequences and len(before) >= n:
+                                total[before[-n:]] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["member", "n"]
         )
