@@ -39,6 +39,75 @@ def tick_of_price(price: Column, decimals0: Column | int, decimals1: Column | in
     return F.when(raw > 0, F.floor(F.log(raw) / F.log(F.lit(TICK_BASE)))).cast("int")
 
 
+def raw_price(price: Column, decimals0: Column | int, decimals1: Column | int) -> Column:
+    """A price per whole token as the price per smallest units that the pool's square roots and ticks are of."""
+    d0, d1 = (F.lit(x) if isinstance(x, int) else x for x in (decimals0, decimals1))
+    return price / F.pow(F.lit(10.0), (d0 - d1).cast("double"))
+
+
+def raw_liquidity(liquidity: Column, decimals0: Column | int, decimals1: Column | int) -> Column:
+    """Liquidity of amounts in whole tokens, in the units of a pool's ``liquidity``: the root of the product of both units."""
+    d0, d1 = (F.lit(x) if isinstance(x, int) else x for x in (decimals0, decimals1))
+    return liquidity * F.pow(F.lit(10.0), (d0 + d1).cast("double") / 2)
+
+
+def price_or_reference(sqrt_x96: Column, reference: Column, decimals0: Column | int, decimals1: Column | int) -> Column:
+    """The pool's price, or where it has none the reference's."""
+    return F.coalesce(price_of_sqrt(sqrt_x96, decimals0, decimals1), reference)
+
+
+def input_value(amount0: Column, amount1: Column, reference: Column) -> Column:
+    """What a swap pays in, in units of the second token; NULL where neither amount is positive. NaN counts as none."""
+    paid = lambda c: c.isNotNull() & ~F.isnan(c) & (c > 0)
+    return F.when(paid(amount0), amount0 * reference).when(paid(amount1), amount1)
+
+
+def pro_rata_fee(fee: Column, own: Column, active: Column) -> Column:
+    """The part of ``fee`` of a position of liquidity ``own`` beside the ``active`` one of others, in the same units; negative ones count as 0."""
+    whole = F.greatest(active, F.lit(0.0)) + own
+    return F.when(whole > 0, fee * own / F.nullif(whole, F.lit(0.0))).otherwise(0.0)
+
+
+def scaled(raw: Column | str, decimals: Column | int) -> Column:
+    """A wide integer in smallest units, kept as decimal text, in whole tokens."""
+    d = F.lit(decimals) if isinstance(decimals, int) else decimals
+    return number(raw) / F.pow(F.lit(10.0), d.cast("double"))
+
+
+def signed_delta(size: Column | str, event: Column | str) -> Column:
+    """The size of a change of liquidity as canonical text, negative for a burn, whatever sign it was written with; NULL for other events."""
+    e = F.col(event) if isinstance(event, str) else event
+    digits = F.ltrim(wide_text(size), F.lit("-"))
+    return F.when(e == "Mint", digits).when(e == "Burn", F.when(digits == "0", digits).otherwise(F.concat(F.lit("-"), digits)))
+
+
+def hex_integer(c: Column | str) -> Column:
+    """A hexadecimal number of up to 32 bytes, with or without 0x, as decimal text; NULL where it is none.
+
+    Seven digits at a time are joined to what came before, in four limbs of 20 decimal digits, so no step exceeds a decimal.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    text = F.regexp_extract(F.lower(F.trim(c)), r"^(?:0x)?([0-9a-f]{1,64})$", 1)
+    digits = F.lpad(text, 70, "0")
+    kind = "decimal(38,0)"
+    base, unit = F.lit(str(10**20)).cast(kind), F.lit(16**7).cast("decimal(10,0)")
+    zero = F.lit(0).cast(kind)
+    pieces = F.transform(F.sequence(F.lit(1), F.lit(64), F.lit(7)), lambda i: F.conv(F.substr(digits, i, F.lit(7)), 16, 10).cast("decimal(10,0)"))
+
+    def join(limbs: Column, piece: Column) -> Column:
+        out, carry = [], piece.cast(kind)
+        for i in range(4):
+            whole = (limbs[i] * unit + carry).cast(kind)
+            out.append((whole % base).cast(kind))
+            carry = ((whole - whole % base) / base).cast(kind)
+        return F.array(*out)
+
+    limbs = F.aggregate(pieces, F.array(zero, zero, zero, zero), join)
+    plain = F.concat(*[F.lpad(limbs[i].cast("string"), 20, "0") for i in (3, 2, 1, 0)])
+    short = F.ltrim(plain, F.lit("0"))
+    return F.when(text != "", F.when(short == "", "0").otherwise(short))
+
+
 def position_amounts(liquidity: Column, price: Column, lower: Column, upper: Column) -> tuple[Column, Column]:
     """Both amounts of a position of (human-unit) liquidity over [lower, upper]; all zero-based inputs must be positive."""
     ok = (liquidity >= 0) & (price > 0) & (lower > 0) & (upper > lower)

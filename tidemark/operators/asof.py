@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.pointintime import as_known
@@ -30,7 +30,8 @@ def asof_join(
     bucket = lambda us: ((us - F.pmod(us, F.lit(width))) / F.lit(width)).cast("bigint")
     l = left.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in left.columns]))
     l = l.select("_row", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col(left_us) * sign).alias("_t"))
-    l = l.withColumn("_b", bucket(F.col("_t")))
+    # rows that can't match, by NULL times, are spread; they come first in their groups, so before any right row
+    l = l.withColumn("_b", F.coalesce(bucket(F.col("_t")), F.pmod(F.xxhash64("_row"), F.lit(1 << 16))))
     at = (F.col(right_us) + F.lit(shift_us)) * sign
     r = right.where(F.col(right_us).isNotNull() & F.col(right_id).isNotNull()).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
@@ -44,15 +45,13 @@ def asof_join(
     last = r.groupBy(*k, (F.col("_b") + 1).alias("_b")).agg(F.max("_r").alias("_r"))
     # events and observations of a bucket are united and carried forward, so a busy bucket makes no pairs
     rows = (
-        l.where(F.col("_t").isNotNull() & _all_set(k))
-        .select("_row", *k, "_b", "_t", F.lit(1).alias("_tie"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"))
+        l.select("_row", *k, "_b", "_t", F.lit(1).alias("_tie"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"))
         .unionByName(r.unionByName(last).select(F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), *k, "_b", F.col("_r.t").alias("_t"), F.lit(0).alias("_tie"), "_r"))
     )
     w = Window.partitionBy(*k, "_b").orderBy("_t", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumn("_best", F.max("_r").over(w)).where("_tie = 1")
     fit = F.col("_t") - F.col("_best.t") <= int(tolerance_us)
-    lost = l.where(F.col("_t").isNull() | ~_all_set(k)).select("_row", F.lit(None).cast(r.schema["_r"].dataType).alias("_best"))
-    out = out.select("_row", F.when(fit, F.col("_best")).alias("_best")).unionByName(lost)
+    out = out.select("_row", F.when(fit, F.col("_best")).alias("_best"))
     return out.select(
         *[F.col("_row").getField(c).alias(c) for c in left.columns],
         (F.col("_best.t") * sign).alias(f"{prefix}us"),
@@ -60,13 +59,6 @@ def asof_join(
     )
 
 
-def _all_set(columns: Sequence[str]) -> Column:
-    ok = F.lit(True)
-    for c in columns:
-        ok = ok & F.col(c).isNotNull()
-    return ok
-
-
 def latest_before(left: DataFrame, right: DataFrame, entity: str, left_us: str, right_us: str, carry: Sequence[str], prefix: str = "ref_") -> DataFrame:
     """As-of backward without tolerance: the last right row at or before each left time; ties by the largest ``carry``."""
     second = lambda us: ((F.col(us) - F.pmod(F.col(us), F.lit(1_000_000))) / F.lit(1_000_000)).cast("bigint")
@@ -91,6 +83,26 @@ def coverage_by_age(matched: DataFrame, age_us: str, weight: str, ages_us: Seque
     return out.select("max_age_us", "total", "matched", (F.col("total") - F.col("matched")).alias("missing"), share.alias("coverage"), (share >= required).alias("passes"))
 
 
+def prefer_source(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: str, left_us: str, right_us: str, right_id: str, carry: Sequence[str],
+    source: str, priority: Sequence[str], tolerance_us: int, prefix: str = "ref_",
+) -> DataFrame:
+    """Each left row with, of the sources in ``priority``, what the first one with a match within the tolerance offers.
+
+    One as-of join: a left row enters once per source and ``source`` is one more key; then one aggregation per
+    ``row_id`` (unique). Columns: ``row_id``, ``{prefix}us``, ``carry`` under ``prefix`` and ``by_source``, a map from each
+    source with a match to (us, carry). The former are NULL where the map is empty.
+    """
+    each = left.select(row_id, *keys, left_us).withColumn(source, F.explode(F.array(*[F.lit(s) for s in priority])))
+    a = asof_join(each, right.where(F.col(source).isin(*priority)), [*keys, source], left_us, right_us, right_id, carry, tolerance_us, prefix=prefix)
+    names = [f"{prefix}us", *[f"{prefix}{c}" for c in carry]]
+    found = F.when(F.col(f"{prefix}us").isNotNull(), F.struct(F.col(source).alias("source"), F.struct(*names).alias("match")))
+    m = a.groupBy(row_id).agg(F.map_from_entries(F.collect_set(found)).alias("by_source"))
+    best = F.coalesce(*[F.try_element_at("by_source", F.lit(s)) for s in priority])
+    chosen = F.coalesce(*[F.when(F.try_element_at("by_source", F.lit(s)).isNotNull(), F.lit(s)) for s in priority])
+    return m.select(row_id, chosen.alias("chosen"), *[best.getField(n).alias(n) for n in names], "by_source")
+
+
 def prefer(primary: DataFrame, fallback: DataFrame, key: str, columns: Sequence[str], names: tuple[str, str] = ("primary", "fallback")) -> DataFrame:
     """Per key the ``columns`` of the first side whose first column isn't NULL, and which side that was; keys are unique per side."""
     a = primary.select(key, F.struct(*columns).alias("_a"))

@@ -107,24 +107,22 @@ def surplus_deliveries(
         F.concat_ws(":", F.lit("p"), F.col("_p").cast("string")).alias("who"), "_n", "_d"
     )
     malformed = d.where(F.col("_p").isNull() & F.col("_h").isNotNull()).select("_h", "_n", "_d")
-    if not malformed.isEmpty():
-        # exact keyed lookup, only of the keys that need one
-        wanted = malformed.select("_h", "_n").distinct()
-        known = (
-            d.where(F.col("_p").isNotNull() & F.col("_h").isNotNull())
-            .join(wanted, ["_h", "_n"], "left_semi")
-            .groupBy("_h", "_n")
-            .agg(F.min("_p").alias("_found"))
-        )
-        looked_up = malformed.join(known, ["_h", "_n"], "left").select(
-            F.when(F.col("_found").isNotNull(), F.concat_ws(":", F.lit("p"), F.col("_found").cast("string")))
-            .otherwise(F.concat_ws(":", F.lit("h"), F.col("_h")))
-            .alias("who"),
-            "_n",
-            "_d",
-        )
-        sequenced = sequenced.unionByName(looked_up)
-    return _surplus(sequenced, delivery, span)
+    # exact keyed lookup, only of the keys that need one; where there is none, nothing of the rest is shuffled for it
+    known = (
+        d.where(F.col("_p").isNotNull() & F.col("_h").isNotNull())
+        .where(malformed.select(F.lit(1)).exists())
+        .join(malformed.select("_h", "_n").distinct(), ["_h", "_n"], "left_semi")
+        .groupBy("_h", "_n")
+        .agg(F.min("_p").alias("_found"))
+    )
+    looked_up = malformed.join(known, ["_h", "_n"], "left").select(
+        F.when(F.col("_found").isNotNull(), F.concat_ws(":", F.lit("p"), F.col("_found").cast("string")))
+        .otherwise(F.concat_ws(":", F.lit("h"), F.col("_h")))
+        .alias("who"),
+        "_n",
+        "_d",
+    )
+    return _surplus(sequenced.unionByName(looked_up), delivery, span)
 
 
 def _surplus(sequenced: DataFrame, delivery: str, span: int) -> DataFrame:

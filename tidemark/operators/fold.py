@@ -102,7 +102,33 @@ def after(s: dict[str, object], held: float | None) -> float:
     return s["up_end"][u] if down_at is None or (up_at is not None and up_at <= down_at) else s["down_end"][d]
 
 
+def follow_edges(target: np.ndarray, price: np.ndarray, band: np.ndarray, held: float | None) -> np.ndarray:
+    """What is held after each row if a position off by more than ``band`` in value is brought to the band's edge only."""
+    low, high = bounds(target, price, band)
+    out, n = np.empty(len(target)), len(target)
+    i = 0
+    if held is None and n:
+        held, out[0], i = target[0], target[0], 1
+    while i < n:
+        j = _first_outside(low, high, held, i)
+        out[i:j] = held
+        if j < n:
+            out[j] = held = low[j] if held < low[j] else high[j]
+        i = j + 1
+    return out
+
+
+def clamp(target: np.ndarray, price: np.ndarray, band: np.ndarray) -> dict[str, object]:
+    """What the rows with edges make of any position held before them: one clamp, as clamps of clamps are clamps."""
+    return {"first": follow_edges(target, price, band, None)[-1], "low": follow_edges(target, price, band, -np.inf)[-1], "high": follow_edges(target, price, band, np.inf)[-1]}
+
+
+def after_clamp(s: dict[str, object], held: float | None) -> float:
+    return s["first"] if held is None else min(max(held, s["low"]), s["high"])
+
+
 _STEPS = "first double, up_at array<bigint>, up array<double>, up_end array<double>, down_at array<bigint>, down array<double>, down_end array<double>"
+_CLAMP = "first double, low double, high double"
 
 
 def _sorted(rows: pa.Table, order: Sequence[str]) -> pa.Table:
@@ -113,8 +139,9 @@ def _numbers(rows: pa.Table, names: Sequence[str]) -> list[np.ndarray]:
     return [rows[c].cast(pa.float64()).to_numpy() for c in names]
 
 
-def _chunked_path(tape: DataFrame, key: str, order: Sequence[str], target: str, price: str, band: str) -> DataFrame:
+def _chunked_path(tape: DataFrame, key: str, order: Sequence[str], target: str, price: str, band: str, edge: bool = False) -> DataFrame:
     names, order = (target, price, band), list(order)
+    summary, then, path, kinds = (clamp, after_clamp, follow_edges, _CLAMP) if edge else (steps, after, follow, _STEPS)
     rows = tape
     for c in names:
         rows = rows.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
@@ -122,39 +149,41 @@ def _chunked_path(tape: DataFrame, key: str, order: Sequence[str], target: str,
     kind = rows.select(F.col(key).alias("k")).schema["k"].dataType.simpleString()
 
     def summarise(k: tuple, t: pa.Table) -> pa.Table:
-        s = steps(*_numbers(_sorted(t, order), names))
+        s = summary(*_numbers(_sorted(t, order), names))
         return pa.table({"k": pa.array([k[0].as_py()], k[0].type), CHUNK: pa.array([k[1].as_py()], pa.int32()), **{c: [v] for c, v in s.items()}})
 
     def enter(k: tuple, t: pa.Table) -> pa.Table:
         held, found = None, []
         for s in _sorted(t, [CHUNK]).to_pylist():
             found.append(held)
-            held = after(s, held)
+            held = then(s, held)
         t = _sorted(t, [CHUNK])
         return pa.table({"k": t["k"], CHUNK: t[CHUNK], "_held": pa.array(found, pa.float64())})
 
     def walk(k: tuple, t: pa.Table) -> pa.Table:
         t = _sorted(t, order)
-        h = follow(*_numbers(t, names), t["_held"][0].as_py())
+        h = path(*_numbers(t, names), t["_held"][0].as_py())
         return t.drop_columns(["_held"]).append_column("held", pa.array(h, pa.float64()))
 
     few = rows.select(F.col(key).alias("k"), CHUNK, *dict.fromkeys([*order, *names]))
-    s = few.groupBy("k", CHUNK).applyInArrow(summarise, f"k {kind}, {CHUNK} int, {_STEPS}")
+    s = few.groupBy("k", CHUNK).applyInArrow(summarise, f"k {kind}, {CHUNK} int, {kinds}")
     entering = s.groupBy("k").applyInArrow(enter, f"k {kind}, {CHUNK} int, _held double")
     joined = attach(rows, entering.withColumnRenamed("k", key), [key])
     return joined.groupBy(key, CHUNK).applyInArrow(walk, rows.withColumn("held", F.lit(0.0)).schema)
 
 
-def band_path(tape: DataFrame, key: str, order: Sequence[str], target: str, price: str, band: str) -> DataFrame:
+def band_path(tape: DataFrame, key: str, order: Sequence[str], target: str, price: str, band: str, edge: bool = False) -> DataFrame:
     """``tape`` with ``held``: per key and in order, the position that follows ``target`` with a band of no action.
 
+    A position off by more than ``band`` in value goes to the target, with ``edge`` only to the nearer end of the band.
+
     The recursion is sequential, but what a chunk of a key's rows makes of any entering position is a step function
     with few steps. So each chunk is summarised, a key's summaries (one row per chunk) are chained, and each chunk is
     walked through from the position with which it is entered: a key may hold any share of all rows. Rows with NULL or
     NaN target, price or band are left out; a price that isn't positive moves nothing, unless the row is the first;
     rows with NULL key form a key of their own. ``order`` must be without ties within a key.
     """
-    return _chunked_path(tape, key, order, target, price, band).drop(CHUNK)
+    return _chunked_path(tape, key, order, target, price, band, edge).drop(CHUNK)
 
 
 def replay(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
 from tidemark.sources.tables import micros, usable
 
 
@@ -34,7 +35,7 @@ def regular_grid(
     don't matter.
 
     Readings are first aggregated per period (partial aggregation before the shuffle), so a series that holds most
-    rows shrinks to its periods; ``lead`` then runs within chunks of ``chunk_periods`` periods, and the heads of the
+    rows shrinks to its periods, which are written; ``lead`` then runs within chunks of ``chunk_periods`` periods, and the heads of the
     following chunks bridge the borders, so no series has to fit into one task.
     """
     keys, p = list(keys), int(period_seconds)
@@ -53,6 +54,7 @@ def regular_grid(
         )
         .withColumn("chunk", F.floor(F.col("slot") / F.lit(p * chunk_periods)).cast("bigint"))
     )
+    per = written(per, "periods")  # read twice below, and far fewer than the readings
     head = F.struct(F.col("slot"), F.col("first._us").alias("us"), F.col("first._v").alias("v"))
     heads = per.groupBy(*keys, "chunk").agg(F.min(head).alias("head"))
     after = heads.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
 from tidemark.operators.ordered import numbered
+from tidemark.session import written
 from tidemark.sources.tables import usable
 
 MOST = 1_000_000
@@ -81,7 +83,7 @@ def mean_block_length(df: DataFrame, order: str, value: str, max_lag: int, least
     ``max_lag`` is where the search starts: while all pairs are positive it is doubled, up to the last lag of the series
     or ten times ``most``; there a single lag without partner counts as a pair does.
     """
-    d = _deviations(df, order, value)
+    d = written(_deviations(df, order, value), "deviations")
     end = min((d.agg(F.max("n")).first()[0] or 1) - 1, 10 * most)
     lag = min(max(max_lag + max_lag % 2, 2), end)
     while True:
@@ -116,40 +118,85 @@ def power(df: DataFrame, order: str, value: str, n: int, effect: float, outer: i
     return draws.agg(F.count("*").alias("reps"), F.avg(F.col("passed").cast("double")).alias("power"))
 
 
-def shuffled_sign_null(df: DataFrame, sign: str, value: str, reps: int = 1000, seed: int = 7, rows_per_block: int = 100_000) -> DataFrame:
-    """(rep, mean): the mean of sign times value when the signs are permuted over all rows.
+def shuffled_sign_null(
+    df: DataFrame, sign: str, value: str, reps: int = 1000, seed: int = 7, rows_per_block: int = 100_000, by: str | None = None
+) -> DataFrame:
+    """(rep, mean), with ``by`` (group, rep, mean): the mean of sign times value when the signs are permuted over all rows.
 
     Equal values are counted first. How many positive signs each block of values gets in a repetition is drawn exactly
     (hypergeometric, block after block), then how many each value of the block gets: together a uniform permutation of
-    the whole table's signs, in one pass and without a large group. Rows with other signs or without value don't count. The
-    draws take up to 10^9 rows; more are refused.
+    the signs of the group's rows, in one pass and without a large group. Rows without value take part in the
+    permutation but not in the mean; rows with other signs don't count. The draws, one row per block, meet their
+    block's values by a cogroup. They take up to 10^9 rows a group; more are refused. Groups are few: horizons.
     """
-    d = df.where(F.col(sign).isin(1, -1) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    d = d.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"), F.sum((F.col(sign) > 0).cast("bigint")).alias("up"))
-    whole = d.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("up").alias("up")).first()
-    if (whole["n"] or 0) >= 1_000_000_000:
+    group = F.col(by).cast("string") if by else F.lit("")
+    v = F.col(value).cast("double")
+    d = df.where(F.col(sign).isin(1, -1)).select(group.alias("grp"), F.when(~F.isnan(v), v).alias("v"), F.col(sign).alias("s"))
+    d = d.groupBy("grp", "v").agg(F.count("*").alias("n"), F.sum((F.col("s") > 0).cast("bigint")).alias("up"))
+    d = written(d, "values")
+    whole = {r["grp"]: r for r in d.groupBy("grp").agg(F.count("v").alias("k"), F.sum("n").alias("n"), F.sum("up").alias("up")).collect()}
+    if any(r["n"] >= 1_000_000_000 for r in whole.values()):
         raise ValueError("more than 10^9 rows: aggregate the values first")
-    blocks = max(8, -(-whole["k"] // rows_per_block))
-    d = d.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
-    sizes = {r["block"]: r["n"] for r in d.groupBy("block").agg(F.sum("n").alias("n")).collect()}
-    left, rng = whole["n"] or 0, np.random.default_rng(seed)
-    total, good = left, np.full(reps, whole["up"] or 0, np.int64)
-    given: dict[int, np.ndarray] = {}
-    for b in sorted(sizes):
-        given[b] = rng.hypergeometric(good, left - good, sizes[b])
-        good, left = good - given[b], left - sizes[b]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        v, n, out = pdf["v"].to_numpy(), pdf["n"].to_numpy(np.int64), np.empty(reps)
-        everything = float(v @ n)
-        for rep in range(reps):
-            r = np.random.default_rng([seed, rep, key[0]])
-            out[rep] = 2 * float(v @ r.multivariate_hypergeometric(n, given[key[0]][rep], method="marginals")) - everything
-        return pd.DataFrame({"rep": np.arange(reps), "part": out})
-
-    parts = d.select("block", "v", "n").groupBy("block").applyInPandas(run, "rep bigint, part double")
-    return parts.groupBy("rep").agg((F.sum("part") / F.lit(max(total, 1))).alias("mean"))
+    blocks = max([8, *[-(-r["k"] // rows_per_block) for r in whole.values()]])
+    # block 0 is that of the rows without value
+    d = d.withColumn("block", F.when(F.col("v").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.lit(blocks)) + 1).cast("int"))
+    rng, drawn = np.random.default_rng(seed), []
+    left = {g: r["n"] for g, r in whole.items()}
+    good = {g: np.full(reps, r["up"], np.int64) for g, r in whole.items()}
+    for r in sorted(d.groupBy("grp", "block").agg(F.sum("n").alias("n")).collect()):
+        ups = rng.hypergeometric(good[r["grp"]], left[r["grp"]] - good[r["grp"]], r["n"])
+        good[r["grp"]], left[r["grp"]] = good[r["grp"]] - ups, left[r["grp"]] - r["n"]
+        if r["block"]:
+            drawn.append((r["grp"], r["block"], ups.tolist()))
+    draws = df.sparkSession.createDataFrame(drawn, "grp string, block int, ups array<bigint>")
+
+    def run(key: tuple, rows: pd.DataFrame, ups: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("v")
+        v, n = rows["v"].to_numpy(), rows["n"].to_numpy(np.int64)
+        start = np.random.default_rng([seed, key[1], zlib.crc32(key[0].encode())])
+        out = np.array([2 * float(v @ start.multivariate_hypergeometric(n, up, method="marginals")) for up in ups["ups"].iloc[0]]) - float(v @ n)
+        return pd.DataFrame({"grp": key[0], "rep": np.arange(reps), "part": out, "n": n.sum()})
+
+    values = d.where("v is not null").select("grp", "block", "v", "n")
+    parts = values.groupBy("grp", "block").cogroup(draws.groupBy("grp", "block")).applyInPandas(run, "grp string, rep bigint, part double, n bigint")
+    mean = (F.sum("part") / F.sum("n")).alias("mean")
+    if by is None:
+        return parts.groupBy("rep").agg(mean)
+    return parts.groupBy(F.col("grp").cast(df.schema[by].dataType).alias(by), "rep").agg(mean)
+
+
+def null_summary(null: DataFrame, by: str, value: str = "mean", tail: float = 0.025) -> DataFrame:
+    """(``by``, null_mean, null_low, null_high): mean and two-sided quantiles of the repetitions of each group."""
+    q = lambda p: F.percentile(value, F.lit(p))  # noqa: E731  over as many rows as repetitions
+    return null.groupBy(by).agg(F.avg(value).alias("null_mean"), q(tail).alias("null_low"), q(1 - tail).alias("null_high"))
+
+
+def swap_markouts(
+    swaps: DataFrame, reference: DataFrame, key: str, row_id: str, us: str, ref_us: str, ref_id: str, mid: str, at_mid: str, amount0: str, amount1: str,
+    horizons: Sequence[int], tolerance_us: int,
+) -> DataFrame:
+    """(row_id, horizon_seconds, direction, exec_price, edge_bps, future_mid, info_bps, exec_bps) of swaps with a price ``at_mid``.
+
+    ``direction`` is 1 where the trader takes the first token out of the pool (``amount0`` below 0), else -1; the
+    price paid is the ratio of both amounts; the edge is how much better it is than ``at_mid``. Both markouts are the signed moves to
+    the first reading at or after the horizon, from ``at_mid`` and from the price paid. Amounts that are NULL, NaN or 0
+    give no price paid; swaps without ``amount0`` have no direction and NULL throughout.
+    """
+    a0, a1 = (F.when(usable(c), F.col(c)) for c in (amount0, amount1))
+    paid = F.nullif(F.abs(F.try_divide(a1, a0)), F.lit(0.0))
+    s = swaps.where(F.col(at_mid).isNotNull()).select(
+        row_id, key, us, F.col(at_mid).alias("_mid"), F.when(a0 < 0, 1).when(a0 >= 0, -1).alias("direction"), paid.alias("exec_price"),
+        F.explode(F.array(*[F.lit(int(x)) for x in horizons])).alias("horizon_seconds"),
+    )
+    s = s.withColumn("_due", F.col(us) + F.col("horizon_seconds").cast("bigint") * 1_000_000)
+    j = asof_join(s, reference, [key], "_due", ref_us, ref_id, [mid], tolerance_us, "forward", prefix="_future_")
+    f, d = F.col(f"_future_{mid}"), F.col("direction")
+    bps = lambda now, base: d * (now / F.nullif(base, F.lit(0.0)) - 1) * 1e4
+    edge = d * (F.col("_mid") / F.col("exec_price") - 1) * 1e4
+    return j.select(
+        row_id, "horizon_seconds", "direction", "exec_price", edge.alias("edge_bps"), f.alias("future_mid"),
+        bps(f, F.col("_mid")).alias("info_bps"), bps(f, F.col("exec_price")).alias("exec_bps"),
+    )
 
 
 def markouts(aligned: DataFrame, reference: DataFrame, key: str, row_id: str, us: str, ref_us: str, ref_id: str, mid: str, at_mid: str, sign: str, horizons: Sequence[int], tolerance_us: int) -> DataFrame:
@@ -166,11 +213,16 @@ def markouts(aligned: DataFrame, reference: DataFrame, key: str, row_id: str, us
 
 
 def shift_sensitivity(left: DataFrame, reference: DataFrame, key: str, us: str, ref_us: str, ref_id: str, mid: str, shifts_us: Sequence[int], tolerance_us: int) -> DataFrame:
-    """(shift_us, n, matched, median_age_us): how the match changes when reference times are shifted; one join for all shifts."""
+    """(shift_us, n, matched, median_age_us, mean_age_us, mean_mid): how the match changes when reference times are shifted.
+
+    One join for all shifts. Ages are whole microseconds within the tolerance, so their exact median counts no more
+    different values than the tolerance has.
+    """
     s = F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in shifts_us]))
     l = left.select(key, us).withColumn("shift_us", s)
     r = reference.select(key, ref_us, ref_id, mid).withColumn("shift_us", s).withColumn("_at", F.col(ref_us) + F.col("shift_us"))
     j = asof_join(l, r, [key, "shift_us"], us, "_at", ref_id, [mid], tolerance_us)
     return j.groupBy("shift_us").agg(
-        F.count("*").alias("n"), F.count(f"ref_{mid}").alias("matched"), F.percentile(F.col(us) - F.col("ref_us"), F.lit(0.5)).alias("median_age_us")
+        F.count("*").alias("n"), F.count(f"ref_{mid}").alias("matched"), F.percentile(F.col(us) - F.col("ref_us"), F.lit(0.5)).alias("median_age_us"),
+        F.avg(F.col(us) - F.col("ref_us")).alias("mean_age_us"), F.avg(f"ref_{mid}").alias("mean_mid"),
     )

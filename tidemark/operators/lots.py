@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import CHUNK, attach, chunk_line, ordered_chunks
+from tidemark.operators.ordered import CHUNK, attach, chunk_line, ordered_chunks, running_sums, time_chunks
+from tidemark.session import written
 
 
 def fifo_lots(tape: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, block: str, max_blocks: int | None = None) -> DataFrame:
@@ -66,61 +67,55 @@ def fifo_lots(tape: DataFrame, keys: Sequence[str], order: Sequence[str], amount
     return out if max_blocks is None else out.where(F.col("lifetime") <= max_blocks)
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    """(``_row``, ``_n``): each different row once, with how often it occurs; so results need no generated row numbers."""
-    return df.groupBy(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")).agg(F.count("*").alias("_n"))
-
-
-def _restored(df: DataFrame, columns: Sequence[str], *values: Column) -> DataFrame:
-    df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
-    return df.select(*[F.col("_row").getField(c).alias(c) for c in columns], *values)
-
-
 def sums_over_intervals(intervals: DataFrame, events: DataFrame, key: str, start: str, end: str, at: str, value: str, width: int) -> DataFrame:
     """``intervals`` with ``total`` and ``n_events``: the events of the key in (start, end]; 0 where there is none.
 
     Both ends read a running sum of the events at their time: running sums within chunks of ``width`` plus the sums of
     all chunks before, so cost is one row per end and event however long the intervals are. NULL ends give NULL.
+    Repeated intervals stay repeated. The intervals are written with a number each, as both ends meet again by it.
     """
     chunk = lambda c: ((c - F.pmod(c, F.lit(width))) / F.lit(width)).cast("bigint")
-    i = _counted(intervals)
-    own = lambda c: F.col("_row").getField(c)
-    ends = i.select(own(key).alias("k"), F.explode(F.array(F.struct(own(start).alias("t"), F.lit(-1).alias("s")), F.struct(own(end).alias("t"), F.lit(1).alias("s")))).alias("x"), "_row", "_n")
-    ends = ends.select("k", F.col("x.t").alias("t"), F.col("x.s").alias("s"), "_row", "_n", F.lit(None).cast("double").alias("v"))
+    i = written(intervals.withColumn("_id", F.monotonically_increasing_id()), "intervals")
+    both = F.array(F.struct(F.col(start).alias("t"), F.lit(-1).alias("s")), F.struct(F.col(end).alias("t"), F.lit(1).alias("s")))
+    ends = i.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(F.col(key).alias("k"), "_id", F.explode(both).alias("x"))
+    ends = ends.select("k", F.col("x.t").alias("t"), F.col("x.s").alias("s"), "_id", F.lit(None).cast("double").alias("v"))
     ev = events.where(F.col(at).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("t"), F.coalesce(F.col(value), F.lit(0.0)).cast("double").alias("v"))
-    e = ev.select("k", "t", F.lit(0).alias("s"), F.lit(None).cast(i.schema["_row"].dataType).alias("_row"), F.lit(None).cast("bigint").alias("_n"), "v")
-    rows = ends.unionByName(e).withColumn("c", chunk(F.col("t")))
+    rows = ends.unionByName(ev.select("k", "t", F.lit(0).alias("s"), F.lit(None).cast("bigint").alias("_id"), "v")).withColumn("c", chunk(F.col("t")))
     w = Window.partitionBy("k", "c").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("run", F.coalesce(F.sum("v").over(w), F.lit(0.0))).withColumn("cnt", F.count("v").over(w)).where("_n is not null")
+    rows = rows.withColumn("run", F.coalesce(F.sum("v").over(w), F.lit(0.0))).withColumn("cnt", F.count("v").over(w)).where("_id is not null")
     per = ev.withColumn("c", chunk(F.col("t"))).groupBy("k", "c").agg(F.sum("v").alias("cv"), F.count("*").alias("cn"))
-    marks = rows.select("k", "c").distinct().withColumn("wanted", F.lit(True)).withColumn("cv", F.lit(0.0)).withColumn("cn", F.lit(0).cast("bigint"))
-    past = Window.partitionBy("k").orderBy("c").rangeBetween(Window.unboundedPreceding, -1)
-    base = marks.unionByName(per.withColumn("wanted", F.lit(False))).select(
-        "k", "c", "wanted", F.coalesce(F.sum("cv").over(past), F.lit(0.0)).alias("bv"), F.coalesce(F.sum("cn").over(past), F.lit(0)).alias("bn")
-    ).where("wanted")
-    full = rows.join(base, ["k", "c"], "left")
-    g = full.groupBy("_row", "_n").agg(
-        F.sum(F.col("s") * (F.col("run") + F.col("bv"))).alias("total"),
-        F.sum(F.col("s") * (F.col("cnt") + F.col("bn"))).alias("n_events"),
+    # an end in a chunk without events goes on from the last chunk before it: chunks of ends enter with nothing to add
+    marks = ends.select("k", chunk(F.col("t")).alias("c"), F.lit(0.0).alias("cv"), F.lit(0).cast("bigint").alias("cn"))
+    past = Window.partitionBy("k").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.unionByName(marks).groupBy("k", "c").agg(F.sum("cv").alias("cv"), F.sum("cn").alias("cn"))
+    base = base.select("k", "c", F.coalesce(F.sum("cv").over(past), F.lit(0.0)).alias("bv"), F.coalesce(F.sum("cn").over(past), F.lit(0)).alias("bn"))
+    g = rows.join(base, ["k", "c"], "left").groupBy("_id").agg(
+        F.sum(F.col("s") * (F.col("run") + F.coalesce("bv", F.lit(0.0)))).alias("total"),
+        F.sum(F.col("s") * (F.col("cnt") + F.coalesce("bn", F.lit(0)))).cast("bigint").alias("n_events"),
     )
-    ok = own(start).isNotNull() & own(end).isNotNull()
-    # a key without events has no sums before
-    return _restored(g, intervals.columns, F.when(ok, F.coalesce("total", F.lit(0.0))).alias("total"), F.when(ok, F.coalesce("n_events", F.lit(0))).cast("bigint").alias("n_events"))
+    return i.join(g, "_id", "left").select(*[F.col(f"`{c}`") for c in intervals.columns], "total", "n_events")
 
 
-def active_amounts(points: DataFrame, lots: DataFrame, key: str, block: str, tick: str, max_blocks: int) -> DataFrame:
+def active_amounts(points: DataFrame, lots: DataFrame, key: str, block: str, tick: str, max_blocks: int, tick_width: int = 4096) -> DataFrame:
     """``points`` with ``active``: the summed amounts of the key's lots whose blocks and tick range [lower, upper) hold the point.
 
-    Lots (key, in_block, out_block, tick_lower, tick_upper, amount) live at most ``max_blocks``, so each is spread over
-    at most that many blocks and joined by equality on key and block. Only blocks with points are kept on the way.
+    Lots (key, in_block, out_block, tick_lower, tick_upper, amount of whole numbers) of at most ``max_blocks`` blocks are
+    entered in each of their blocks that has points: the amount comes in at the lower tick and goes out at the upper
+    one. What comes in and goes out is summed per key, block and tick, and the running sum over the ticks, within
+    chunks of ``tick_width`` ticks and bridged by the chunks' sums, is read at each different point. No lot meets a point, so neither
+    a busy block nor many lots at one tick multiply. Points with NULL key, block or tick have 0; repeated points stay.
     """
-    spread = lots.where(F.col("out_block") - F.col("in_block") <= max_blocks).select(
-        F.col(key).alias("_k"), F.explode(F.sequence("in_block", "out_block")).alias("_b"), "tick_lower", "tick_upper", F.col("amount").cast("double").alias("_amount")
+    dec = "decimal(38,0)"
+    at = points.select(F.col(key).alias("_k"), F.col(block).cast("bigint").alias("_b"), F.col(tick).cast("int").alias("_t")).dropna().distinct()
+    short = lots.where((F.col("out_block") - F.col("in_block") <= max_blocks) & F.col("amount").isNotNull()).select(
+        F.col(key).alias("_k"), F.explode(F.sequence("in_block", "out_block")).alias("_b"), "tick_lower", "tick_upper", F.col("amount").cast(dec).alias("a")
     )
-    p = _counted(points)
-    own = lambda c: F.col("_row").getField(c)
-    p = p.select("_row", "_n", own(key).alias("_k"), own(block).alias("_b"), own(tick).alias("_t"))
-    wanted = (F.col("p._k") == F.col("s._k")) & (F.col("p._b") == F.col("s._b")) & (F.col("s.tick_lower") <= F.col("p._t")) & (F.col("p._t") < F.col("s.tick_upper"))
-    j = p.alias("p").join(spread.alias("s"), wanted, "left")
-    g = j.groupBy("p._row", "p._n").agg(F.coalesce(F.sum("s._amount"), F.lit(0.0)).alias("active"))
-    return _restored(g, points.columns, F.col("active"))
+    ticks = F.array(F.struct(F.col("tick_lower").alias("t"), F.col("a").alias("a")), F.struct(F.col("tick_upper").alias("t"), (-F.col("a")).cast(dec).alias("a")))
+    edges = short.join(at.select("_k", "_b").distinct(), ["_k", "_b"], "left_semi").select("_k", "_b", F.explode(ticks).alias("x"))
+    edges = edges.groupBy("_k", "_b", F.col("x.t").cast("int").alias("_t")).agg(F.sum("x.a").cast(dec).alias("_a"))
+    rows = edges.unionByName(at.withColumn("_a", F.lit(None).cast(dec))).groupBy("_k", "_b", "_t").agg(F.max("_a").alias("_a"), F.count_if(F.col("_a").isNull()).alias("_asked"))
+    run = running_sums(time_chunks(rows, "_t", tick_width), ["_k", "_b"], ["_t"], "_a", "_active").where("_asked > 0")
+    run = run.select("_k", "_b", "_t", F.col("_active").cast("double").alias("_active"))
+    own = (F.col(key) == F.col("_k")) & (F.col(block).cast("bigint") == F.col("_b")) & (F.col(tick).cast("int") == F.col("_t"))
+    j = points.join(run, own, "left")
+    return j.select(*[F.col(f"`{c}`") for c in points.columns], F.coalesce("_active", F.lit(0.0)).alias("active"))

@@ -12,15 +12,21 @@ from tidemark.session import written
 CHUNK = "_chunk"
 
 
-def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+#: Rows of a chunk that a task takes at once, about.
+ROWS_PER_CHUNK = 500_000
+
+
+def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """``df`` with ``_chunk``: numbers that rise with keys and order, so that the rows of a long key are in many chunks.
 
-    A chunk is a range partition, of which there are ``spark.sql.shuffle.partitions``; set that so that a partition
-    fits into a task, as for any shuffle. Rows alike in keys and order are in one chunk. The result is a written
-    table: a recomputation could draw other borders.
+    A chunk is a range partition. There are as many as the rows need, and at least ``spark.sql.shuffle.partitions``.
+    Rows alike in keys and order are in one chunk. The result is a written table: a recomputation could draw other
+    borders. ``df`` is written first, so that what it comes from is computed once and not again for the number of rows
+    and the sample of the borders.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id()), name)
+    d = written(df, f"{name}-rows")
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // rows_per_chunk))
+    return written(d.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id()), name)
 
 
 def time_chunks(df: DataFrame, us: str, width_us: int) -> DataFrame:
@@ -56,15 +62,20 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
     return attach(df, ends, keys).withColumn(name, F.coalesce(within, "_before")).drop("_before")
 
 
-def keep_one(df: DataFrame, keys: Sequence[str], by: str, last: bool = False) -> DataFrame:
+def keep_one(df: DataFrame, keys: Sequence[str], by: str, last: bool = False, unique: bool = False) -> DataFrame:
     """The row of each key with the smallest ``by`` (with ``last`` the largest), all columns.
 
-    Copies are combined before the shuffle, so a message delivered very often makes no large group. NULL keys are a
-    key like any other; rows with NULL ``by`` are left out; of rows with equal ``by`` any one stays.
+    Copies are reduced before the shuffle, so a message delivered very often makes no large group. NULL keys are a
+    key like any other; rows with NULL ``by`` are left out; of rows with equal ``by`` any one stays. Where ``by`` is
+    ``unique`` in the table, only keys and ``by`` are aggregated, by hash, and the rows that have it are kept.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    kept = df.where(F.col(by).isNotNull()).groupBy(*keys).agg((F.max_by if last else F.min_by)(row, by).alias("_row"))
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
+    d = df.where(F.col(by).isNotNull())
+    if unique:
+        best = d.groupBy(*keys).agg((F.max if last else F.min)(by).alias("_by")).select("_by")
+        return d.join(best, F.col(by) == F.col("_by"), "left_semi")
+    first = F.col(by).desc() if last else F.col(by).asc()
+    # a rank of one is cut off in each partition before the shuffle
+    return d.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(first))).where("_rank = 1").drop("_rank")
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import CHUNK, running_sums
 from tidemark.sources.tables import usable
 
 DAY_US = 86_400_000_000
@@ -53,8 +54,44 @@ def realised_variance(df: DataFrame, keys: Sequence[str], us: str, value: str, t
     )
 
 
-def tail_days(reference: DataFrame, candidate: DataFrame, value: str, low: float, high: float) -> DataFrame:
-    """Quantiles of ``reference`` (exact, linearly interpolated) and how many days of ``candidate`` lie beyond them: one row."""
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(keys, n, one column per quantile): exact quantiles of the usable values, linear between neighbours.
+
+    Equal values are counted first; their ranks are running sums within chunks of values, a hundredth of the value
+    wide, bridged by the chunks' sums, so no key's values go through one task. A key without usable values has no row.
+    """
+    keys, v = list(keys), F.col(value).cast("double")
+    g = df.where(F.col(value).isNotNull() & ~F.isnan(v)).groupBy(*keys, (v + 0.0).alias("_v")).agg(F.count("*").alias("_n"))
+    # rises with the value; values beyond 2^-1000 count as 0 here, and share a chunk
+    size = F.greatest(F.log2(F.abs("_v")) + 1000, F.lit(0.0)) * 64
+    g = g.withColumn(CHUNK, F.when(F.col("_v") == 0, 0).otherwise(F.floor(F.signum("_v") * F.coalesce(size, F.lit(0.0)))).cast("bigint"))
+    g = running_sums(g, keys, ["_v"], "_n", "_upto")
+    total = g.groupBy(*keys).agg(F.max("_upto").alias("n"))
+    j = attach_all(g, total, keys)
+    picks, outs = [], []
+    for name, q in wanted.items():
+        at = (F.col("n") - 1) * F.lit(float(q))
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            hit = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{side}"))
+        part = F.pmod(at, F.lit(1.0))
+        outs.append((F.col(f"_{name}_lo") * (1 - part) + F.col(f"_{name}_hi") * part).alias(name))
+    return j.groupBy(*keys, "n").agg(*picks).select(*keys, "n", *outs)
+
+
+def attach_all(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of ``per_key``, one row per key (NULL too); without keys its only row is attached to all."""
+    if not keys:
+        return df.crossJoin(F.broadcast(per_key))  # one row by construction
+    small = per_key.select(*[F.col(k).alias(f"_on{i}") for i, k in enumerate(keys)], *[c for c in per_key.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_on{i}"))
+    return df.join(small, same).drop(*[f"_on{i}" for i in range(len(keys))])
+
+
+def tail_days(reference: DataFrame, candidate: DataFrame, value: str, low: float, high: float, by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of ``reference`` (exact, linearly interpolated) and how many days of ``candidate`` lie beyond them: a row per ``by``."""
     q = reference.agg(
         F.count(value).alias("n_reference"),
         F.percentile(value, F.lit(low)).alias("low"),
@@ -62,7 +99,7 @@ def tail_days(reference: DataFrame, candidate: DataFrame, value: str, low: float
     )
     j = candidate.crossJoin(F.broadcast(q))  # one row by construction
     inside = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
-    return j.agg(
+    return j.groupBy(*by).agg(
         F.max("n_reference").alias("n_reference"), F.count(value).alias("n_candidate"), F.max("low").alias("low"), F.max("high").alias("high"),
         inside(F.col(value) <= F.col("low")).alias("n_low"), inside(F.col(value) >= F.col("high")).alias("n_high"),
     )
@@ -83,6 +120,25 @@ def largest_gaps(df: DataFrame, keys: Sequence[str], us: str, chunk_us: int = 3_
     )
 
 
+def gaps_in_window(df: DataFrame, keys: Sequence[str], us: str, start_us: int | Column, end_us: int | Column, chunk_us: int = 3_600_000_000) -> DataFrame:
+    """(keys, n, max_gap_us) within the closed window [start, end]: the longest time without a row, to both ends of the window too.
+
+    The ends are numbers, or columns of ``df`` that are constant per key. A key without rows in the window has the
+    whole window as gap; one without any row has no row here.
+    """
+    ends = [(F.lit(x) if isinstance(x, int) else x).cast("bigint") for x in (start_us, end_us)]
+    d = df.withColumns({"_from": ends[0], "_to": ends[1]})
+    seen = d.groupBy(*keys).agg(F.max("_from").alias("_from"), F.max("_to").alias("_to"))
+    g = largest_gaps(d.where((F.col(us) >= F.col("_from")) & (F.col(us) <= F.col("_to"))), keys, us, chunk_us)
+    g = g.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("n").alias("_n"), "first_us", "last_us", "max_gap_us")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    j = seen.join(g, same, "left")
+    gap = F.coalesce(F.greatest("max_gap_us", F.col("first_us") - F.col("_from"), F.col("_to") - F.col("last_us")), F.col("_to") - F.col("_from"))
+    return j.select(*keys, F.coalesce("_n", F.lit(0)).alias("n"), gap.alias("max_gap_us"))
+
+
 def yield_over(rates: DataFrame, keys: Sequence[str], us: str, rate: str, start_us: int | Column, end_us: int | Column) -> DataFrame:
     """(keys, total, covered): return of a piecewise constant yearly rate over [start, end], compounded.
 

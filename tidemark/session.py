@@ -7,6 +7,8 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,7 +69,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when Python ends."""
+    """A fresh path in the shared folder; it is deleted when Python ends, or at the end of :func:`scratch`."""
     if not _written:
         atexit.register(_clean)
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
@@ -82,8 +84,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end the scratch tables made within it, so that a long session doesn't fill the shared folder.
+
+    DataFrames made within can't be read afterwards: collect or write the results first.
+    """
+    kept = list(_written)
+    try:
+        yield
+    finally:
+        made = [x for x in _written if x not in kept]
+        _written[:] = kept
+        _delete(made)
+
+
 def _clean() -> None:
-    for spark, path in _written:
+    _delete(_written)
+
+
+def _delete(paths: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in paths:
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

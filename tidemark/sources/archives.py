@@ -6,6 +6,7 @@ import csv
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions.amm import wide_text
+from tidemark.operators.ordered import keep_one
+from tidemark.sources.tables import usable
 
 
 def read_parts(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -33,24 +36,35 @@ def read_gzip_csv(spark: SparkSession, path: str, schema: str, required: Sequenc
 
 
 def read_zip_csv(spark: SparkSession, path: str, names: Sequence[str], chunk_rows: int = 50_000) -> DataFrame:
-    """CSV files without header in zip archives, all columns as text: one task per archive, read member by member in chunks."""
+    """CSV files without header in zip archives, all columns as text: one task per archive, read member by member in chunks.
+
+    Members are those named .csv or .txt, in upper or lower case; others, as checksums, are left alone, and an archive
+    without any is refused. Empty fields are NULL, shorter rows are filled up with NULL, and empty lines are no rows. A row with more fields
+    than ``names`` is refused.
+    """
     schema = ", ".join(f"`{n}` string" for n in names)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b["content"]:
+            for path, content in zip(b["path"], b["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
+                    members = [m for m in z.namelist() if m.lower().endswith((".csv", ".txt"))]
+                    if not members:
+                        raise ValueError(f"no table in the archive {path}")
+                    for member in members:
                         with z.open(member) as f:
                             rows: list[list[str | None]] = []
                             for row in csv.reader(io.TextIOWrapper(f, "utf-8", newline="")):
-                                rows.append([*(x or None for x in row), *[None] * len(names)][: len(names)])
+                                if len(row) > len(names):
+                                    raise ValueError(f"{len(row)} fields instead of {len(names)} in {member} of {path}")
+                                if row:
+                                    rows.append([*(x or None for x in row), *[None] * (len(names) - len(row))])
                                 if len(rows) == chunk_rows:
                                     yield pd.DataFrame(rows, columns=list(names))
                                     rows = []
                             yield pd.DataFrame(rows, columns=list(names))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     return files.mapInPandas(read, schema)
 
 
@@ -73,6 +87,51 @@ def file_identities(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+def keep_last_by_time(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Of the rows of ``keys`` with one ``timestamp`` the one with the last ``order``; rows without time are one time."""
+    return keep_one(df, [*keys, "timestamp"], order, last=True)
+
+
+def fresh_or_inexact(df: DataFrame, tolerance_seconds: float) -> DataFrame:
+    """Rows that aren't for alignment (``alignment_eligible`` false or NULL), and of the others those at most so old as noted."""
+    exact = F.coalesce("alignment_eligible", F.lit(False))
+    fresh = usable("age_seconds") & (F.col("age_seconds") <= tolerance_seconds)
+    return df.where(~exact | fresh)
+
+
+def window_ends(start: str, end: str) -> tuple[Column, Column]:
+    """The closed window of two UTC texts; an end that is a date only counts to its last microsecond. Ends in wrong order are refused."""
+    first, last = (datetime.fromisoformat(x).replace(tzinfo=datetime.fromisoformat(x).tzinfo or UTC) for x in (start, end))
+    if "T" not in end and " " not in end:
+        last += timedelta(days=1) - timedelta(microseconds=1)
+    if last <= first:
+        raise ValueError("the window ends before it starts")
+    return F.lit(first), F.lit(last)
+
+
+def in_window(df: DataFrame, column: str, start: str, end: str) -> DataFrame:
+    """Rows whose timestamp lies in the closed window; the filter is on the column itself, so it reaches the scan."""
+    first, last = window_ends(start, end)
+    return df.where((F.col(column) >= first) & (F.col(column) <= last))
+
+
+def klines_reference(klines: DataFrame, source: str, time: str = "close_time", price: str = "close") -> DataFrame:
+    """Bars of an archive, all columns as text, as reference rows (timestamp, mid, source, alignment_eligible, regime_eligible).
+
+    The time of closing is an epoch number in milli- or microseconds, told row by row. Bars without readable time or
+    price are left out. Bars are for regimes, not for alignment.
+    """
+    p = F.col(price).try_cast("double")
+    k = klines.select(epoch_time(F.trim(time).try_cast("bigint")).alias("timestamp"), p.alias("mid")).where(F.col("timestamp").isNotNull() & usable("mid"))
+    return k.select("timestamp", "mid", F.lit(source).alias("source"), F.lit(False).alias("alignment_eligible"), F.lit(True).alias("regime_eligible"))
+
+
+def seeded_rates(seed: DataFrame, updates: DataFrame, keys: Sequence[str], us: str, rate: str) -> DataFrame:
+    """The changes of a rate from a known opening state on: (keys, us, rate), the seed's row first where both have one time."""
+    rows = lambda d, first: d.select(*keys, us, rate, F.lit(first).alias("_rank"))
+    return keep_one(rows(seed, 0).unionByName(rows(updates, 1)), [*keys, us], "_rank", last=True).drop("_rank")
+
+
 def normalise_reference(df: DataFrame, source: str = "unknown") -> DataFrame:
     """(timestamp, mid, source): mid from ``mid``, ``price``, ``last_trade`` or the middle of ``bid`` and ``ask``, whichever is there first."""
     has = lambda c: c in df.columns
