@@ -59,8 +59,16 @@ def asof_join(
     )
 
 
-def latest_before(left: DataFrame, right: DataFrame, entity: str, left_us: str, right_us: str, carry: Sequence[str], prefix: str = "ref_") -> DataFrame:
-    """As-of backward without tolerance: the last right row at or before each left time; ties by the largest ``carry``."""
+def latest_before(
+    left: DataFrame, right: DataFrame, entity: str, left_us: str, right_us: str, carry: Sequence[str], prefix: str = "ref_", forward: bool = False
+) -> DataFrame:
+    """As-of without tolerance: the last right row at or before each left time, or with ``forward`` the first at or after it.
+
+    Ties by the largest ``carry``. Rows without entity or time come out with NULL.
+    """
+    if forward:
+        l = left.withColumn("_t", -F.col(left_us))
+        return latest_before(l, right.withColumn("_t", -F.col(right_us)), entity, "_t", "_t", carry, prefix).drop("_t")
     second = lambda us: ((F.col(us) - F.pmod(F.col(us), F.lit(1_000_000))) / F.lit(1_000_000)).cast("bigint")
     rest = lambda us: F.pmod(F.col(us), F.lit(1_000_000))
     l = left.withColumn("_s", second(left_us)).withColumn("_f", rest(left_us))
@@ -68,6 +76,19 @@ def latest_before(left: DataFrame, right: DataFrame, entity: str, left_us: str,
     return as_known(l, r, entity, ("_s", "_f"), ("_s", "_f"), "_s", carry, prefix, chunk_width=86_400).drop("_s", "_f")
 
 
+def bounds_of(instants: DataFrame, us: str, blocks: DataFrame, block: str, block_us: str) -> DataFrame:
+    """``instants`` with ``last_before`` and ``first_after``: the blocks nearest to each instant, its own time included.
+
+    ``blocks`` has a row per block. Of blocks at one time the last counts before, the first after. Both searches are
+    as-of joins in chunks of a day; an instant before the first or after the last block has NULL there.
+    """
+    b = blocks.select(F.lit(1).alias("_all"), F.col(block).cast("bigint").alias("block"), F.col(block_us).alias("_at")).withColumn("neg", -F.col("block"))
+    i = instants.withColumn("_all", F.lit(1))
+    i = latest_before(i, b, "_all", us, "_at", ["block"], "_last_")
+    i = latest_before(i, b, "_all", us, "_at", ["neg"], "_first_", forward=True)
+    return i.withColumns({"last_before": F.col("_last_block"), "first_after": -F.col("_first_neg")}).drop("_all", "_last_block", "_first_neg")
+
+
 def coverage_by_age(matched: DataFrame, age_us: str, weight: str, ages_us: Sequence[int], required: float) -> DataFrame:
     """One row per tolerance of a grid: weighted rows, those matched within it, and whether the share suffices.
 
@@ -83,6 +104,11 @@ def coverage_by_age(matched: DataFrame, age_us: str, weight: str, ages_us: Seque
     return out.select("max_age_us", "total", "matched", (F.col("total") - F.col("matched")).alias("missing"), share.alias("coverage"), (share >= required).alias("passes"))
 
 
+def smallest_passing(coverage: DataFrame) -> DataFrame:
+    """One row: the smallest tolerance of a coverage grid that passes as ``max_age_us``, NULL where none does."""
+    return coverage.agg(F.min(F.when(F.col("passes"), F.col("max_age_us"))).alias("max_age_us"))
+
+
 def prefer_source(
     left: DataFrame, right: DataFrame, keys: Sequence[str], row_id: str, left_us: str, right_us: str, right_id: str, carry: Sequence[str],
     source: str, priority: Sequence[str], tolerance_us: int, prefix: str = "ref_",

@@ -44,6 +44,21 @@ def attach(df: DataFrame, per_chunk: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(small, same).drop(*[f"_on{i}" for i in range(len(on))])
 
 
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], columns: dict[str, str], required: bool = False) -> DataFrame:
+    """``df`` with ``columns`` (result name: name in ``table``) of the row of ``table`` with the same keys, of which there is one at most.
+
+    Rows without counterpart, as all with a NULL key, have NULL; with ``required`` the query fails at the first of them instead.
+    """
+    found = table.select(*[F.col(k).alias(f"_on{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns.values())], F.lit(True).alias("_found"))
+    same: Column = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_on{i}"))
+    j = df.join(found, same, "left")
+    miss = F.raise_error(F.concat_ws(" ", F.lit("no row for"), *[F.col(k).cast("string") for k in keys]))
+    got = lambda i: F.when(F.col("_found"), F.col(f"_c{i}")).otherwise(miss) if required else F.col(f"_c{i}")
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], *[got(i).alias(name) for i, name in enumerate(columns)])
+
+
 def chunk_line(keys: Sequence[str]) -> Window:
     """The chunks of a key in order: one row per chunk, not per row of the tape."""
     return Window.partitionBy(*keys).orderBy(CHUNK)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import amm
@@ -16,9 +16,8 @@ from tidemark.sources.tables import micros, table, usable
 PRIMARY, FALLBACK, METRIC, OTHER_METRIC = "kestrel_spot_trade", "oriole_spot_trade", "oriole_5m_close", "kestrel_5m_close"
 TOLERANCE = 3_000_000
 AGES = (250_000, 500_000, 1_000_000, 2_000_000, 3_000_000)
-HORIZONS = (30, 60)
-SHIFTS = (-1_000_000, 0, 1_000_000)
-HOURS = (1_736_038_800_000_000, 1_736_053_200_000_000)  # 2025-01-05, 01:00 to 05:00
+HORIZONS = (30, 60, 300)
+SHIFTS = (-10_000_000, -5_000_000, -2_000_000, 0, 2_000_000, 5_000_000, 10_000_000)
 
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
@@ -42,14 +41,15 @@ MESSAGE = ("block_number", "log_index")
 def _tape(spark: SparkSession, d: str, *columns: str, last: bool = False) -> DataFrame:
     """``columns`` of the pool messages, the first (or last) delivery of each."""
     wanted = dict.fromkeys(["delivery_id", *MESSAGE, "event", *columns])
-    return ordered.keep_one(table(spark, d, "pool_events").select(*wanted), MESSAGE, "delivery_id", last)
+    return ordered.keep_one(table(spark, d, "pool_events").select(*wanted), MESSAGE, "delivery_id", last, unique=True)
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
     """(symbol, start_us, end_us) between successive target times of a symbol."""
     t = ordered.time_chunks(_targets(spark, d).select("symbol", "us").where("us is not null").distinct(), "us", 3_600_000_000)
     t = ordered.with_previous(t, ["symbol"], ["us"], ["us"])
-    return t.where("_prev is not null").select("symbol", F.col("_prev.us").alias("start_us"), F.col("us").alias("end_us"))
+    t = t.where("_prev is not null").select("symbol", F.col("_prev.us").alias("start_us"), F.col("us").alias("end_us"))
+    return written(t, "steps")
 
 
 def _aligned(spark: SparkSession, d: str, source: str | None = None) -> DataFrame:
@@ -61,8 +61,11 @@ def asof_backward(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asof_latest(spark: SparkSession, d: str) -> DataFrame:
-    m = _metrics(spark, d).where(F.col("source") == METRIC)
-    return asof.latest_before(_targets(spark, d), m, "symbol", "us", "at", ["ref_id"]).select("target_id", "ref_ref_id")
+    """The last reading of each metric source at or before each target."""
+    t = _targets(spark, d).withColumn("source", F.explode(F.array(F.lit(METRIC), F.lit(OTHER_METRIC))))
+    series_of = lambda x: x.withColumn("series", F.struct("source", "symbol"))
+    k = asof.latest_before(series_of(t), series_of(_metrics(spark, d)), "series", "us", "at", ["ref_id"])
+    return k.select("target_id", "source", "ref_ref_id")
 
 
 def markouts(spark: SparkSession, d: str) -> DataFrame:
@@ -72,8 +75,13 @@ def markouts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def priority_fallback(spark: SparkSession, d: str) -> DataFrame:
-    p, f = (_aligned(spark, d, s).select("target_id", "ref_mid") for s in (PRIMARY, FALLBACK))
-    return asof.prefer(p, f, "target_id", ["ref_mid"])
+    return _fallback(spark, d).select("target_id", "ref_mid", F.when(F.col("chosen") == PRIMARY, "primary").when(F.col("chosen") == FALLBACK, "fallback").alias("chosen"))
+
+
+def _fallback(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "reference").where(F.coalesce("alignment_eligible", F.lit(True)) & usable("mid"))
+    r = r.select("symbol", "source", "ref_id", "mid", micros("timestamp").alias("at"))
+    return asof.prefer_source(_targets(spark, d), r, ["symbol"], "target_id", "us", "at", "ref_id", ["mid"], "source", (PRIMARY, FALLBACK), TOLERANCE)
 
 
 def coverage_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -82,11 +90,10 @@ def coverage_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def venue_overlap(spark: SparkSession, d: str) -> DataFrame:
-    p, f = (_aligned(spark, d, s).where("ref_mid is not null").select("target_id", F.col("ref_mid").alias(n)) for s, n in ((PRIMARY, "p"), (FALLBACK, "f")))
-    bps = F.abs(F.col("p") / F.nullif("f", F.lit(0.0)) - 1) * 1e4
-    return p.join(f, "target_id").agg(
-        F.count("*").alias("n"), F.round(F.percentile(bps, F.lit(0.5)), 6).alias("median_bps"), F.round(F.percentile(bps, F.lit(0.99)), 6).alias("p99_bps")
-    )
+    mid = lambda s: F.try_element_at("by_source", F.lit(s)).getField("ref_mid")
+    bps = F.abs(mid(PRIMARY) / F.nullif(mid(FALLBACK), F.lit(0.0)) - 1) * 1e4
+    q = series.quantiles(_fallback(spark, d).select(bps.alias("bps")), [], "bps", {"median_bps": 0.5, "p99_bps": 0.99})
+    return q.select("n", F.round("median_bps", 6).alias("median_bps"), F.round("p99_bps", 6).alias("p99_bps"))
 
 
 def worst_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +107,8 @@ def anti_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return inference.shift_sensitivity(_targets(spark, d), _trades(spark, d), "symbol", "us", "at", "ref_id", "mid", SHIFTS, TOLERANCE)
+    s = inference.shift_sensitivity(_targets(spark, d), _trades(spark, d), "symbol", "us", "at", "ref_id", "mid", SHIFTS, TOLERANCE)
+    return s.withColumns({"mean_age_us": F.round("mean_age_us", 3), "mean_mid": F.round("mean_mid", 6)})
 
 
 def target_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +124,7 @@ def dedupe_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fee_state(spark: SparkSession, d: str) -> DataFrame:
-    t = _tape(spark, d, "pool", "fee_protocol0_new", "fee_protocol1_new")
+    t = written(_tape(spark, d, "pool", "fee_protocol0_new", "fee_protocol1_new"), "tape")
     packed = amm.pack_nibbles(F.col("fee_protocol0_new"), F.col("fee_protocol1_new"))
     c = t.where("event = 'SetFeeProtocol'").select("pool", "block_number", "log_index", packed.alias("packed")).where("packed is not null")
     e = t.where("event = 'Swap'").select("pool", "block_number", "log_index")
@@ -150,8 +158,10 @@ def realized_variance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def regime_tails(spark: SparkSession, d: str) -> DataFrame:
+    """How many days of each source lie beyond the tails of METRIC's days."""
     v = series.realised_variance(_metrics(spark, d), ["source", "symbol"], "at", "mid", "ref_id")
-    t = series.tail_days(v.where(F.col("source") == METRIC), v.where(F.col("source") == OTHER_METRIC), "variance", 0.1, 0.9)
+    v = written(v, "variances")
+    t = series.tail_days(v.where(F.col("source") == METRIC), v, "variance", 0.1, 0.9, ["source"])
     return t.withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
 
 
@@ -168,14 +178,16 @@ def _hourly_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rate_integral(spark: SparkSession, d: str) -> DataFrame:
-    """The return over the four hours of HOURS only; ``rate_integral_whole`` goes over all readings."""
+    """The return of each series from its own first hour to the end of its last one."""
     r = _hourly_rates(spark, d)
-    return series.yield_over(r, ["source", "symbol"], "slot_us", "rate", *HOURS).withColumn("total", F.round("total", 12))
+    own = Window.partitionBy("source", "symbol")  # one row per hour, not per reading
+    r = r.withColumns({"first_us": F.min("slot_us").over(own), "until_us": F.max("slot_us").over(own) + HOUR_US})
+    return series.yield_over(r, ["source", "symbol"], "slot_us", "rate", F.col("first_us"), F.col("until_us")).withColumn("total", F.round("total", 12))
 
 
 def rate_integral_whole(spark: SparkSession, d: str) -> DataFrame:
     """The return from the first hour of the table that has a reading to the end of the last one."""
-    r = _hourly_rates(spark, d)
+    r = written(_hourly_rates(spark, d), "rates")
     span = r.agg(F.min("slot_us").alias("first_us"), (F.max("slot_us") + HOUR_US).alias("until_us"))
     r = r.crossJoin(F.broadcast(span))  # one row by construction
     return series.yield_over(r, ["source", "symbol"], "slot_us", "rate", F.col("first_us"), F.col("until_us")).withColumn("total", F.round("total", 12))
@@ -217,7 +229,7 @@ def swap_decode(spark: SparkSession, d: str) -> DataFrame:
 def block_times(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "pool_events").select("delivery_id", "block_number", micros("timestamp").alias("us"))
     known = e.where("us is not null").groupBy("block_number").agg(F.min("us").alias("block_us"))
-    return e.join(known, "block_number", "left").select("delivery_id", F.coalesce("us", "block_us").alias("us"))
+    return ordered.lookup(e, known, ["block_number"], {"block_us": "block_us"}).select("delivery_id", F.coalesce("us", "block_us").alias("us"))
 
 
 def reference_union(spark: SparkSession, d: str) -> DataFrame:
@@ -284,6 +296,11 @@ def band_path(spark: SparkSession, d: str) -> DataFrame:
     return t.select("pool", "block_number", "log_index", F.round("held", 9).alias("held"))
 
 
+def band_edge_path(spark: SparkSession, d: str) -> DataFrame:
+    t = fold.band_path(_band_tape(spark, d), "pool", ["block_number", "log_index"], "target", "price", "band", edge=True)
+    return t.select("pool", "block_number", "log_index", F.round("held", 9).alias("held"))
+
+
 def _lp_fraction(t: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     """Swaps of the tape ``t`` with ``fraction``: what the protocol's share at their position leaves of the fee to liquidity.
 
@@ -291,6 +308,7 @@ def _lp_fraction(t: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     Where no state is known, the swap's own ``lp_fee_fraction`` counts, else 1.
     """
     at = ["pool", *MESSAGE]
+    t = written(t, "tape")
     e = t.where("event = 'SetFeeProtocol'").select(*at, F.lit(-1).cast("bigint").alias("rank"), amm.pack_nibbles(F.col("fee_protocol0_new"), F.col("fee_protocol1_new")).alias("packed"))
     s = table(spark, d, "fee_states").select(F.lower(F.trim("pool")).alias("pool"), *MESSAGE, F.coalesce("recorded_block", F.lit(0)).alias("rank"), F.col("fee_protocol_packed").alias("packed"), "state_id")
     c = e.withColumn("state_id", F.lit(-1).cast("bigint")).unionByName(s).where("packed is not null")
@@ -340,40 +358,55 @@ def replay_daily(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("pool", "day").agg(*[F.sum(c).alias(c) for c in ("lp_inc", "fee_inc", "hedge_inc", "funding_inc", "cost_inc", "net_inc")])
 
 
-OWNED, RANGES = ["pool", "owner"], ["pool", "tick_lower", "tick_upper"]
+OWNED, RANGES, OWNER_RANGES = ["pool", "owner"], ["pool", "tick_lower", "tick_upper"], ["pool", "owner", "tick_lower", "tick_upper"]
 
 
-def _lots(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
+def _lots(spark: SparkSession, d: str, keys: list[str], max_blocks: int | None = None) -> DataFrame:
     t = _tape(spark, d, "pool", "owner", "tick_lower", "tick_upper", "liquidity_delta").where("event in ('Mint', 'Burn') and owner is not null and tick_lower is not null and tick_upper is not null")
-    size = F.ltrim(amm.wide_text("liquidity_delta"), F.lit("-"))
-    t = t.withColumn("owner", F.lower("owner")).withColumn("signed", F.concat(F.when(F.col("event") == "Burn", "-").otherwise(""), size))
-    return lots.fifo_lots(t, keys, ["block_number", "log_index"], "signed", "block_number")
+    t = t.withColumn("owner", F.lower("owner")).withColumn("signed", amm.signed_delta("liquidity_delta", "event"))
+    return lots.fifo_lots(t, keys, ["block_number", "log_index"], "signed", "block_number", max_blocks)
 
 
 def fifo_lots(spark: SparkSession, d: str) -> DataFrame:
     return _lots(spark, d, OWNED).withColumn("amount", F.col("amount").cast("string"))
 
 
-def _overlap(spark: SparkSession, d: str) -> DataFrame:
-    p = _tape(spark, d, "pool", "tick", "liquidity").where("event = 'Swap' and tick is not null").select("pool", *MESSAGE, "tick", "liquidity")
-    return lots.active_amounts(p, _lots(spark, d, RANGES), "pool", "block_number", "tick", 200)
+def _overlap(spark: SparkSession, d: str, keys: list[str], max_blocks: int) -> DataFrame:
+    """First deliveries of swaps with the liquidity ``active`` of lots that lived ``max_blocks`` blocks at most."""
+    p = _tape(spark, d, "pool", "symbol", "tick", "liquidity", "timestamp", "amount0", "amount1").where("event = 'Swap' and tick is not null")
+    p = p.select("pool", "symbol", *MESSAGE, "tick", "liquidity", micros("timestamp").alias("us"), "amount0", "amount1")
+    return lots.active_amounts(p, _lots(spark, d, keys, max_blocks), "pool", "block_number", "tick", max_blocks)
 
 
 def lot_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return _overlap(spark, d).select("block_number", "log_index", F.round(F.col("active") / 1e15, 4).alias("active"))
+    return _overlap(spark, d, RANGES, 200).select("block_number", "log_index", F.round(F.col("active") / 1e15, 4).alias("active"))
 
 
 def overlap_summary(spark: SparkSession, d: str) -> DataFrame:
-    """How much of the liquidity that a pool's swaps meet is short-lived: counts, mean share and share weighed by liquidity."""
-    whole = amm.number("liquidity")
-    share = amm.clipped_share(F.col("active"), whole)
-    a = _overlap(spark, d).where(whole.isNotNull()).select("pool", "active", whole.alias("whole"), share.alias("share"))
+    """How much of the liquidity that a pool's swaps meet is short-lived: counts, mean share and share weighed by the value paid in."""
+    return _dilution(_overlap(spark, d, RANGES, 200), spark, d)
+
+
+def _dilution(overlap: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    e = overlap.withColumn("share", amm.clipped_share(F.col("active"), amm.number("liquidity")))
+    a = asof.asof_join(e, _trades(spark, d), ["symbol"], "us", "at", "ref_id", ["mid"], TOLERANCE)
+    value = amm.input_value(F.col("amount0"), F.col("amount1"), F.col("ref_mid"))
+    a = a.select("pool", "active", "share", F.when(value > 0, value).alias("value"))
     return a.groupBy("pool").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("active") > 0, 1)).alias("n_met"), F.round(F.avg("share"), 9).alias("mean_share"),
-        F.round(F.sum(F.col("share") * F.col("whole")) / F.nullif(F.sum("whole"), F.lit(0.0)), 9).alias("weighted_share"),
+        F.round(F.sum(F.col("share") * F.col("value")) / F.nullif(F.sum("value"), F.lit(0.0)), 9).alias("weighted_share"),
     )
 
 
+def owner_lots(spark: SparkSession, d: str) -> DataFrame:
+    """Lots by owner and range that lived three blocks at most."""
+    return _lots(spark, d, OWNER_RANGES, 3).withColumn("amount", F.col("amount").cast("string"))
+
+
+def owner_dilution(spark: SparkSession, d: str) -> DataFrame:
+    return _dilution(_overlap(spark, d, OWNER_RANGES, 3), spark, d)
+
+
 def percent_change(spark: SparkSession, d: str) -> DataFrame:
     """The relative change of each reading of a metric to the one before, in the order of time and arrival."""
     m = ordered.time_chunks(_metrics(spark, d).where("at is not null"), "at", 3_600_000_000)
@@ -432,10 +465,24 @@ def power(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sign_null(spark: SparkSession, d: str) -> DataFrame:
-    a = _aligned(spark, d).where("ref_mid is not null").withColumn("sign", F.when(F.col("target_id") % 4 == 1, 1).otherwise(-1))
-    m = inference.markouts(a, _trades(spark, d), "symbol", "target_id", "us", "at", "ref_id", "mid", "ref_mid", "sign", (30,), TOLERANCE)
-    s = m.withColumn("sign", F.when(F.col("target_id") % 4 == 1, 1).otherwise(-1)).withColumn("move", F.col("markout_bps") * F.col("sign"))
-    return inference.shuffled_sign_null(s, "sign", "move", 200)
+    """Mean and quantiles of the markout at each horizon when the directions of the swaps are permuted."""
+    m = _swap_markouts(spark, d).withColumn("move", F.col("info_bps") * F.col("direction"))
+    return inference.null_summary(inference.shuffled_sign_null(m, "direction", "move", 1000, by="horizon_seconds"), "horizon_seconds")
+
+
+def _swap_markouts(spark: SparkSession, d: str) -> DataFrame:
+    t = _tape(spark, d, "symbol", "timestamp", "amount0", "amount1").where("event = 'Swap'")
+    t = t.select("delivery_id", "symbol", micros("timestamp").alias("us"), "amount0", "amount1")
+    a = asof.asof_join(t, _trades(spark, d), ["symbol"], "us", "at", "ref_id", ["mid"], TOLERANCE)
+    return inference.swap_markouts(a, _trades(spark, d), "symbol", "delivery_id", "us", "at", "ref_id", "mid", "ref_mid", "amount0", "amount1", HORIZONS, TOLERANCE)
+
+
+def swap_markouts(spark: SparkSession, d: str) -> DataFrame:
+    """Direction, price paid, edge and both markouts of the first delivery of each swap that has an observation in time."""
+    r = lambda c, n: (F.round(c, n) + 0.0).alias(c)
+    return _swap_markouts(spark, d).select(
+        "delivery_id", "horizon_seconds", "direction", r("exec_price", 9), r("edge_bps", 5), "future_mid", r("info_bps", 6), r("exec_bps", 5)
+    )
 
 
 def gap_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
@@ -444,16 +491,20 @@ def gap_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cash_increments(spark: SparkSession, d: str) -> DataFrame:
-    m = _metrics(spark, d).where(F.col("source") == METRIC).select("symbol", "at", "ref_id", "mid")
-    k = asof.latest_before(_steps(spark, d), m, "symbol", "start_us", "at", ["ref_id", "mid"])
+    """What the rate of each metric source at the start of a step makes of cash by its end."""
+    s = _steps(spark, d).withColumn("source", F.explode(F.array(F.lit(METRIC), F.lit(OTHER_METRIC))))
+    series_of = lambda x: x.withColumn("series", F.struct("source", "symbol"))
+    k = asof.latest_before(series_of(s), series_of(_metrics(spark, d)), "series", "start_us", "at", ["ref_id", "mid"])
     rate = F.when(F.col("ref_mid").isNotNull(), F.least(F.col("ref_mid") * 1e-3, F.lit(0.5)))
     grown = F.expm1(F.log1p(rate) * ((F.col("end_us") - F.col("start_us")) / (365 * 86400 * 1e6)))
-    return k.select("symbol", "end_us", F.round(grown, 12).alias("increment"))
+    return k.select("source", "symbol", "end_us", F.round(grown, 12).alias("increment"))
 
 
 def markout_summary(spark: SparkSession, d: str) -> DataFrame:
-    m = markouts(spark, d).groupBy("horizon_seconds")
-    return m.agg(F.count("markout_bps").alias("n"), F.round(F.avg("markout_bps"), 6).alias("mean_bps"), F.round(F.percentile("markout_bps", F.lit(0.5)), 6).alias("median_bps"))
+    m = written(markouts(spark, d).select("horizon_seconds", "markout_bps"), "markouts")
+    mean = m.groupBy("horizon_seconds").agg(F.count("markout_bps").alias("n"), F.round(F.avg("markout_bps"), 6).alias("mean_bps"))
+    q = series.quantiles(m, ["horizon_seconds"], "markout_bps", {"median_bps": 0.5}).drop("n")
+    return mean.join(q, "horizon_seconds", "left").withColumn("median_bps", F.round("median_bps", 6))
 
 
 def mean_to_spread(spark: SparkSession, d: str) -> DataFrame:
@@ -491,7 +542,7 @@ QUERIES = {
         max_gap, rate_integral, rate_integral_whole, position_arithmetic, swap_decode, block_times, reference_union, band_path, replay_daily, fifo_lots,
         gap_weighted_mean, cash_increments, markout_summary, mean_to_spread, block_bounds, capacity_sweep, lot_overlap, overlap_summary,
         percent_change, batch_coverage, fee_arithmetic, rate_arithmetic, curvature,
-        running_total, epoch_units, hash_spelling, fee_income, parts_round_trip, gzip_round_trip, block_length, bootstrap, power, sign_null,
+        band_edge_path, owner_lots, owner_dilution, swap_markouts, running_total, epoch_units, hash_spelling, fee_income, parts_round_trip, gzip_round_trip, block_length, bootstrap, power, sign_null,
     )
 }
 
@@ -537,10 +588,22 @@ l AS (SELECT {", ".join(f"m.{x}" for x in keys)}, m.block_number AS in_block, b.
   FROM x m JOIN x b ON {same} WHERE m.a > 0 AND b.a < 0 AND least(m.i, b.o) > greatest(m.i - m.a, b.o0))"""
 
 
+def _diluted(keys: list[str], lifetime: int) -> str:
+    return f"""WITH {_pieces(keys)}, {_ref()}, t AS (SELECT pool, symbol, block_number, log_index, tick, TRY_CAST(liquidity AS DOUBLE) AS whole, amount0, amount1, epoch_us(timestamp) AS us
+  FROM tape WHERE event = 'Swap' AND tick IS NOT NULL), {_align()},
+o AS (SELECT p.pool, p.block_number, p.log_index, COALESCE(sum(l.amount::DOUBLE), 0) AS active, any_value(whole) AS whole,
+    any_value(CASE WHEN amount0 > 0 AND NOT isnan(amount0) THEN amount0 * p.mid WHEN amount1 > 0 AND NOT isnan(amount1) THEN amount1 END) AS v
+  FROM a p LEFT JOIN l ON l.pool = p.pool AND p.block_number BETWEEN in_block AND out_block AND tick_lower <= tick AND tick < tick_upper AND lifetime <= {lifetime}
+  GROUP BY p.pool, p.block_number, p.log_index),
+h AS (SELECT *, CASE WHEN whole > 0 THEN least(active / whole, 1) ELSE 0 END AS share, CASE WHEN v > 0 THEN v END AS value FROM o)
+SELECT pool, count(*) AS n, count(*) FILTER (active > 0) AS n_met, round(avg(share), 9) AS mean_share, round(sum(share * value) / nullif(sum(value), 0), 9) AS weighted_share FROM h GROUP BY pool"""
+
+
 ORACLES = {
     "asof_backward": f"WITH {_T}, {_ref()}, {_align()} SELECT target_id, ref_id, age_us FROM a",
-    "asof_latest": f"""WITH {_T}, {_M}, r AS (SELECT symbol, tm, max(ref_id) AS ref_id FROM m WHERE source = '{METRIC}' GROUP BY ALL)
-SELECT t.target_id, r.ref_id AS ref_ref_id FROM t ASOF LEFT JOIN r ON t.symbol = r.symbol AND t.us >= r.tm""",
+    "asof_latest": f"""WITH {_T}, {_M}, u AS (SELECT t.*, s AS source FROM t, (SELECT unnest(['{METRIC}', '{OTHER_METRIC}']) AS s)),
+r AS (SELECT source, symbol, tm, max(ref_id) AS ref_id FROM m GROUP BY ALL)
+SELECT t.target_id, t.source, r.ref_id AS ref_ref_id FROM u t ASOF LEFT JOIN r ON t.source = r.source AND t.symbol = r.symbol AND t.us >= r.tm""",
     "markouts": f"""WITH {_T}, {_ref()}, {_align()},
 h AS (SELECT a.target_id, a.symbol, a.mid, CASE WHEN a.target_id % 4 = 1 THEN 1 ELSE -1 END AS sign, h AS horizon_seconds, a.us + h * 1000000 AS due
   FROM a, (SELECT unnest({list(HORIZONS)}) AS h) WHERE mid IS NOT NULL),
@@ -558,10 +621,11 @@ SELECT count(*) AS n, round(quantile_cont(x, 0.5), 6) AS median_bps, round(quant
 FROM a GROUP BY symbol ORDER BY missing DESC, symbol LIMIT 5""",
     "anti_missing": f"WITH {_T}, {_ref()}, {_align()} SELECT target_id, symbol FROM a WHERE mid IS NULL",
     "sensitivity": f"""WITH {_T}, {_ref()}, g AS (SELECT unnest({list(SHIFTS)})::BIGINT AS shift_us),
-ts AS (SELECT * FROM t, g), rs AS (SELECT symbol, shift_us, tm + shift_us AS tm FROM r, g),
-j AS (SELECT ts.shift_us, CASE WHEN ts.us - rs.tm <= {TOLERANCE} THEN ts.us - rs.tm END AS age
+ts AS (SELECT * FROM t, g), rs AS (SELECT symbol, shift_us, tm + shift_us AS tm, mid FROM r, g),
+j AS (SELECT ts.shift_us, CASE WHEN ts.us - rs.tm <= {TOLERANCE} THEN ts.us - rs.tm END AS age, CASE WHEN ts.us - rs.tm <= {TOLERANCE} THEN rs.mid END AS mid
   FROM ts ASOF LEFT JOIN rs ON ts.symbol = rs.symbol AND ts.shift_us = rs.shift_us AND ts.us >= rs.tm)
-SELECT shift_us, count(*) AS n, count(age) AS matched, quantile_cont(age::DOUBLE, 0.5) AS median_age_us FROM j GROUP BY 1""",
+SELECT shift_us, count(*) AS n, count(age) AS matched, quantile_cont(age::DOUBLE, 0.5) AS median_age_us,
+  round(avg(age), 3) AS mean_age_us, round(avg(mid), 6) AS mean_mid FROM j GROUP BY 1""",
     "target_counts": f"WITH {_T} SELECT symbol, us, count(*) AS n, CAST(COALESCE(sum(swap_count), 0) AS BIGINT) AS swaps FROM t GROUP BY symbol, us",
     "dedupe_first": f"WITH {_TAPE} SELECT delivery_id, event FROM tape",
     "dedupe_last": f"WITH {_TAPE.replace('ORDER BY delivery_id', 'ORDER BY delivery_id DESC')} SELECT delivery_id, event FROM tape",
@@ -587,15 +651,14 @@ WHERE start_us IS NOT NULL GROUP BY i.symbol, start_us, end_us""",
 SELECT o_orderpriority, g.day, round(COALESCE(total, 0), 2) AS total FROM g LEFT JOIN d USING (o_orderpriority, day)""",
     "realized_variance": f"WITH {_VAR} SELECT source, symbol, day, round(variance, 9) AS variance, n FROM v",
     "regime_tails": f"""WITH {_VAR}, q AS (SELECT count(variance) AS n_reference, quantile_cont(variance, 0.1) AS low, quantile_cont(variance, 0.9) AS high
-  FROM v WHERE source = '{METRIC}'), c AS (SELECT variance FROM v WHERE source = '{OTHER_METRIC}')
-SELECT max(n_reference) AS n_reference, count(variance) AS n_candidate, round(max(low), 9) AS low, round(max(high), 9) AS high,
-  CAST(COALESCE(sum((variance <= low)::INT), 0) AS BIGINT) AS n_low, CAST(COALESCE(sum((variance >= high)::INT), 0) AS BIGINT) AS n_high FROM c, q""",
+  FROM v WHERE source = '{METRIC}'), c AS (SELECT source, variance FROM v)
+SELECT source, max(n_reference) AS n_reference, count(variance) AS n_candidate, round(max(low), 9) AS low, round(max(high), 9) AS high,
+  CAST(COALESCE(sum((variance <= low)::INT), 0) AS BIGINT) AS n_low, CAST(COALESCE(sum((variance >= high)::INT), 0) AS BIGINT) AS n_high FROM c, q GROUP BY source""",
     "max_gap": f"""WITH {_M}, g AS (SELECT source, symbol, tm, tm - lag(tm) OVER (PARTITION BY source, symbol ORDER BY tm) AS gap FROM m)
 SELECT source, symbol, count(*) AS n, min(tm) AS first_us, max(tm) AS last_us, COALESCE(max(gap), 0) AS max_gap_us FROM g GROUP BY source, symbol""",
     "rate_integral": f"""WITH {_M}, h AS (SELECT source, symbol, tm - tm % 3600000000 AS slot, least(arg_max(mid, ROW(tm, ref_id)) * 1e-3, 0.5) AS rate FROM m GROUP BY ALL),
-f AS (SELECT source, symbol, greatest(slot, {HOURS[0]}) AS a, arg_max(rate, slot) AS rate, min(slot) AS seen FROM h WHERE slot < {HOURS[1]} GROUP BY ALL),
-g AS (SELECT *, COALESCE(lead(a) OVER (PARTITION BY source, symbol ORDER BY a), {HOURS[1]}) AS z FROM f)
-SELECT source, symbol, round(exp(sum(ln(1 + rate) * ((z - a) / (365 * 86400 * 1e6)))) - 1, 12) AS total, min(seen) <= {HOURS[0]} AS covered FROM g GROUP BY source, symbol""",
+g AS (SELECT source, symbol, slot, rate, COALESCE(lead(slot) OVER (PARTITION BY source, symbol ORDER BY slot), slot + 3600000000) AS z FROM h)
+SELECT source, symbol, round(exp(sum(ln(1 + rate) * ((z - slot) / (365 * 86400 * 1e6)))) - 1, 12) AS total, TRUE AS covered FROM g GROUP BY source, symbol""",
     "rate_integral_whole": f"""WITH {_M}, h AS (SELECT source, symbol, tm - tm % 3600000000 AS slot, least(arg_max(mid, ROW(tm, ref_id)) * 1e-3, 0.5) AS rate FROM m GROUP BY ALL),
 b AS (SELECT min(slot) AS a, max(slot) + 3600000000 AS z FROM h),
 g AS (SELECT source, symbol, slot, rate, COALESCE(lead(slot) OVER (PARTITION BY source, symbol ORDER BY slot), b.z) AS z, b.a FROM h, b)
@@ -620,16 +683,26 @@ SELECT COALESCE(source, 'unknown') AS source, count(*) AS n, count(mid) AS n_mid
 r AS (SELECT pool, k, block_number, log_index, target AS held FROM n WHERE k = 1
   UNION ALL SELECT n.pool, n.k, n.block_number, n.log_index, CASE WHEN abs(n.target - r.held) * n.price > n.band THEN n.target ELSE r.held END
   FROM r JOIN n ON n.pool = r.pool AND n.k = r.k + 1)
+SELECT pool, block_number, log_index, round(held, 9) AS held FROM r""",
+    "band_edge_path": f"""WITH RECURSIVE {_PRICE}, n AS (SELECT pool, block_number, log_index, 100 / sqrt(price) AS target, sqrt(price) * 100 * {BAND} / price AS far,
+  row_number() OVER (PARTITION BY pool ORDER BY block_number, log_index) AS k FROM x),
+r AS (SELECT pool, k, block_number, log_index, target AS held FROM n WHERE k = 1
+  UNION ALL SELECT n.pool, n.k, n.block_number, n.log_index, least(greatest(r.held, n.target - far), n.target + far) FROM r JOIN n ON n.pool = r.pool AND n.k = r.k + 1)
 SELECT pool, block_number, log_index, round(held, 9) AS held FROM r""",
     "fifo_lots": f"WITH {_pieces(OWNED)} SELECT pool, owner, in_block, out_block, CAST(amount AS VARCHAR) AS amount, lifetime FROM l",
     "lot_overlap": f"""WITH {_pieces(RANGES)}, p AS (SELECT pool, block_number, log_index, tick FROM tape WHERE event = 'Swap' AND tick IS NOT NULL)
 SELECT p.block_number, p.log_index, round(COALESCE(sum(l.amount::DOUBLE), 0) / 1e15, 4) AS active FROM p LEFT JOIN l ON l.pool = p.pool AND p.block_number BETWEEN in_block AND out_block
   AND tick_lower <= tick AND tick < tick_upper AND lifetime <= 200 GROUP BY p.block_number, p.log_index""",
-    "overlap_summary": f"""WITH {_pieces(RANGES)}, p AS (SELECT pool, block_number, log_index, tick, TRY_CAST(liquidity AS DOUBLE) AS whole FROM tape WHERE event = 'Swap' AND tick IS NOT NULL),
-o AS (SELECT p.pool, p.block_number, p.log_index, whole, COALESCE(sum(l.amount::DOUBLE), 0) AS active FROM p LEFT JOIN l ON l.pool = p.pool AND p.block_number BETWEEN in_block AND out_block
-  AND tick_lower <= tick AND tick < tick_upper AND lifetime <= 200 WHERE whole IS NOT NULL GROUP BY ALL),
-h AS (SELECT *, CASE WHEN whole > 0 THEN least(active / whole, 1) ELSE 0 END AS share FROM o)
-SELECT pool, count(*) AS n, count(*) FILTER (active > 0) AS n_met, round(avg(share), 9) AS mean_share, round(sum(share * whole) / nullif(sum(whole), 0), 9) AS weighted_share FROM h GROUP BY pool""",
+    "overlap_summary": _diluted(RANGES, 200),
+    "owner_dilution": _diluted(OWNER_RANGES, 3),
+    "owner_lots": f"WITH {_pieces(OWNER_RANGES)} SELECT pool, owner, tick_lower, tick_upper, in_block, out_block, CAST(amount AS VARCHAR) AS amount, lifetime FROM l WHERE lifetime <= 3",
+    "swap_markouts": f"""WITH {_TAPE}, {_ref()}, t AS (SELECT delivery_id, symbol, epoch_us(timestamp) AS us, CASE WHEN NOT isnan(amount0) THEN amount0 END AS a0,
+    CASE WHEN NOT isnan(amount1) THEN amount1 END AS a1 FROM tape WHERE event = 'Swap'), {_align()},
+h AS (SELECT a.*, CASE WHEN a0 < 0 THEN 1 WHEN a0 >= 0 THEN -1 END AS d, CASE WHEN a0 <> 0 THEN nullif(abs(a1 / a0), 0) END AS paid, h AS horizon_seconds, a.us + h * 1000000 AS due
+  FROM a, (SELECT unnest({list(HORIZONS)}) AS h) WHERE mid IS NOT NULL),
+j AS (SELECT h.*, CASE WHEN r.tm - h.due <= {TOLERANCE} THEN r.mid END AS f FROM h ASOF LEFT JOIN r ON h.symbol = r.symbol AND h.due <= r.tm)
+SELECT delivery_id, horizon_seconds, d AS direction, round(paid, 9) + 0.0 AS exec_price, round(d * (mid / paid - 1) * 1e4, 5) + 0.0 AS edge_bps, f AS future_mid,
+  round(d * (f / mid - 1) * 1e4, 6) + 0.0 AS info_bps, round(d * (f / paid - 1) * 1e4, 5) + 0.0 AS exec_bps FROM j""",
     "running_total": f"""WITH {_T}, c AS (SELECT symbol, us, CAST(COALESCE(sum(swap_count), 0) AS BIGINT) AS swaps FROM t WHERE us IS NOT NULL GROUP BY symbol, us)
 SELECT symbol, us, CAST(sum(swaps) OVER (PARTITION BY symbol ORDER BY us) AS BIGINT) AS so_far FROM c""",
     "epoch_units": """SELECT record_id, CASE WHEN length(trim(timestamp_raw)) = 13 THEN 1000 ELSE 1 END * CAST(timestamp_raw AS BIGINT) AS us FROM venue_trades
@@ -662,9 +735,10 @@ SELECT source, symbol, round(CASE WHEN sum(gap) > 0 THEN sum(v * gap) / sum(gap)
 FROM g GROUP BY source, symbol""",
     "cash_increments": f"""WITH {_T}, {_M}, u AS (SELECT DISTINCT symbol, us FROM t),
 i AS (SELECT symbol, lag(us) OVER (PARTITION BY symbol ORDER BY us) AS start_us, us AS end_us FROM u),
-r AS (SELECT symbol, tm, least(arg_max(mid, ref_id) * 1e-3, 0.5) AS rate FROM m WHERE source = '{METRIC}' GROUP BY ALL),
-j AS (SELECT i.*, r.rate FROM (SELECT * FROM i WHERE start_us IS NOT NULL) i ASOF LEFT JOIN r ON i.symbol = r.symbol AND i.start_us >= r.tm)
-SELECT symbol, end_us, round(exp(ln(1 + rate) * ((end_us - start_us) / (365 * 86400 * 1e6))) - 1, 12) AS increment FROM j""",
+r AS (SELECT source, symbol, tm, least(arg_max(mid, ref_id) * 1e-3, 0.5) AS rate FROM m GROUP BY ALL),
+s AS (SELECT i.*, s AS source FROM i, (SELECT unnest(['{METRIC}', '{OTHER_METRIC}']) AS s) WHERE start_us IS NOT NULL),
+j AS (SELECT s.*, r.rate FROM s ASOF LEFT JOIN r ON s.source = r.source AND s.symbol = r.symbol AND s.start_us >= r.tm)
+SELECT source, symbol, end_us, round(exp(ln(1 + rate) * ((end_us - start_us) / (365 * 86400 * 1e6))) - 1, 12) AS increment FROM j""",
     "mean_to_spread": f"""WITH {_DAYS}, g AS (SELECT o_orderpriority, unnest(generate_series(min(day), max(day))) AS day FROM d GROUP BY 1),
 f AS (SELECT o_orderpriority, COALESCE(total, 0) AS v FROM g LEFT JOIN d USING (o_orderpriority, day))
 SELECT o_orderpriority, count(*) AS n, round(avg(v) / stddev_samp(v) * sqrt(365), 6) AS ratio FROM f GROUP BY 1""",
