@@ -109,8 +109,8 @@ def surplus_deliveries(
     malformed = d.where(F.col("_p").isNull() & F.col("_h").isNotNull()).select("_h", "_n", "_d")
     # exact keyed lookup, only of the keys that need one; where there is none, nothing of the rest is shuffled for it
     known = (
-        d.where(F.col("_p").isNotNull() & F.col("_h").isNotNull())
-        .where(malformed.select(F.lit(1)).exists())
+        d.where(malformed.select(F.lit(1)).exists())
+        .where(F.col("_p").isNotNull() & F.col("_h").isNotNull())
         .join(malformed.select("_h", "_n").distinct(), ["_h", "_n"], "left_semi")
         .groupBy("_h", "_n")
         .agg(F.min("_p").alias("_found"))
