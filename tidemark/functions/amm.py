@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,28 +87,37 @@ def signed_delta(size: Column | str, event: Column | str) -> Column:
 def hex_integer(c: Column | str) -> Column:
     """A hexadecimal number of up to 32 bytes, with or without 0x, as decimal text; NULL where it is none.
 
-    Seven digits at a time are joined to what came before, in four limbs of 20 decimal digits, so no step exceeds a decimal.
+    Seven digits at a time are weighed by their powers of 16, in four limbs of 20 decimal digits, so no sum exceeds a
+    decimal; what a limb has too much is carried to the next at the end.
     """
     c = F.col(c) if isinstance(c, str) else c
-    text = F.regexp_extract(F.lower(F.trim(c)), r"^(?:0x)?([0-9a-f]{1,64})$", 1)
-    digits = F.lpad(text, 70, "0")
-    kind = "decimal(38,0)"
-    base, unit = F.lit(str(10**20)).cast(kind), F.lit(16**7).cast("decimal(10,0)")
-    zero = F.lit(0).cast(kind)
-    pieces = F.transform(F.sequence(F.lit(1), F.lit(64), F.lit(7)), lambda i: F.conv(F.substr(digits, i, F.lit(7)), 16, 10).cast("decimal(10,0)"))
-
-    def join(limbs: Column, piece: Column) -> Column:
-        out, carry = [], piece.cast(kind)
-        for i in range(4):
-            whole = (limbs[i] * unit + carry).cast(kind)
-            out.append((whole % base).cast(kind))
-            carry = ((whole - whole % base) / base).cast(kind)
-        return F.array(*out)
-
-    limbs = F.aggregate(pieces, F.array(zero, zero, zero, zero), join)
-    plain = F.concat(*[F.lpad(limbs[i].cast("string"), 20, "0") for i in (3, 2, 1, 0)])
-    short = F.ltrim(plain, F.lit("0"))
-    return F.when(text != "", F.when(short == "", "0").otherwise(short))
+    kind, size = "decimal(38,0)", F.lit(str(10**20)).cast("decimal(38,0)")
+
+    def once(x: Column, then: Callable[[Column], Column]) -> Column:
+        """``then`` of a value that is computed once, however often it occurs in it."""
+        return F.transform(F.array(x), then)[0]
+
+    def limb(pieces: Column, at: int, carry: Column) -> Column:
+        weights = [16 ** (7 * (9 - i)) // 10 ** (20 * at) % 10**20 for i in range(10)]
+        parts = [(pieces[i] * F.lit(str(w)).cast("decimal(20,0)")).cast(kind) for i, w in enumerate(weights) if w]
+        return reduce(lambda x, y: (x + y).cast(kind), parts, carry)
+
+    def rest(pieces: Column, at: int, carry: Column) -> Column:
+        """The decimal digits of a limb, after those of the higher ones."""
+        if at == 4:
+            return F.lit("")
+        split = lambda w: once((w % size).cast(kind), lambda r: F.concat(
+            rest(pieces, at + 1, ((w - r) / size).cast(kind)), F.lpad(r.cast("string"), 20, "0")
+        ))
+        return once(limb(pieces, at, carry), split)
+
+    def decimal(text: Column) -> Column:
+        digits = F.lpad(text, 70, "0")
+        pieces = F.array(*[F.conv(F.substring(digits, 1 + 7 * i, 7), 16, 10).cast("decimal(10,0)") for i in range(10)])
+        number = once(pieces, lambda p: rest(p, 0, F.lit(0).cast(kind)))
+        return once(F.ltrim(number, F.lit("0")), lambda n: F.when(n == "", "0").otherwise(n))
+
+    return once(F.regexp_extract(F.lower(F.trim(c)), r"^(?:0x)?([0-9a-f]{1,64})$", 1), lambda t: F.when(t != "", decimal(t)))
 
 
 def position_amounts(liquidity: Column, price: Column, lower: Column, upper: Column) -> tuple[Column, Column]:

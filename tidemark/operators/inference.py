@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
 from tidemark.operators.ordered import numbered
+from tidemark.operators.series import quantiles
 from tidemark.session import written
 from tidemark.sources.tables import usable
 
@@ -52,9 +53,10 @@ def bootstrap_sums(df: DataFrame, order: str, value: str, reps: int = 2000, mean
     return df.sparkSession.range(reps).mapInPandas(run, "rep bigint, total double")
 
 
-def interval(draws: DataFrame, value: str, level: float = 0.95) -> DataFrame:
+def interval(draws: DataFrame, value: str, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
+    """(``by``, n, low, high): the two-sided interval that holds ``level`` of the values."""
     a = (1 - level) / 2
-    return draws.agg(F.percentile(value, F.lit(a)).alias("low"), F.percentile(value, F.lit(1 - a)).alias("high"))
+    return quantiles(draws, by, value, {"low": a, "high": 1 - a})
 
 
 def _deviations(df: DataFrame, order: str, value: str) -> DataFrame:

@@ -109,7 +109,7 @@ _FORMATS = "'%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y%m%dT%H%M%S', '%Y-%jT%H
 _NAMES = """('Z', NULL, 0), ('UTC', NULL, 0), ('GMT', NULL, 0), ('EST', 'America/New_York', -300), ('EDT', 'America/New_York', -240),
   ('CET', 'Europe/Berlin', 60), ('CEST', 'Europe/Berlin', 120), ('BST', 'Europe/London', 60), ('JST', 'Asia/Tokyo', 540),
   ('AEST', 'Australia/Sydney', 600), ('AEDT', 'Australia/Sydney', 660)"""
-_TIMES = rf"""o(abb, of_zone, minutes) AS (VALUES {_NAMES}),
+TIMES = rf"""o(abb, of_zone, minutes) AS (VALUES {_NAMES}),
 s AS (SELECT record_id, venue, zone_name, date_order, regexp_replace(regexp_replace(timestamp_raw, '^[\s"'']+|[\s"'']+$', '', 'g'), '^[A-Z][a-z][a-z], ', '') AS s
   FROM venue_trades LEFT JOIN venues USING (venue)),
 z AS (SELECT *, regexp_extract(s, '(Z|[+-]\d\d(:?\d\d)?(\[[^\]]*\])?| [A-Z]{{3,4}}| [A-Z][a-z]+/[A-Za-z_]+)$', 1) AS z FROM s),
@@ -157,6 +157,6 @@ SELECT delivery_id, state_id FROM x WHERE state_id IS NOT NULL
   AND (COALESCE(stamped <> packed, FALSE) OR COALESCE(abs(fraction - right_fraction) > 1e-9, FALSE))""",
     "p4_states": f"""WITH {_STATE}
 SELECT delivery_id, state_id, CASE WHEN state_id IS NOT NULL THEN round(right_fraction, 9) END AS lp_fraction FROM x""",
-    "p5_found": f"""WITH {_TIMES} SELECT record_id, us AS utc_micros FROM y WHERE us IS NOT NULL""",
-    "p5_formats": f"""WITH {_TIMES} SELECT venue, CASE WHEN us IS NULL THEN 'unreadable' ELSE 'ok' END AS time_status, count(*) AS n FROM y GROUP BY 1, 2""",
+    "p5_found": f"""WITH {TIMES} SELECT record_id, us AS utc_micros FROM y WHERE us IS NOT NULL""",
+    "p5_formats": f"""WITH {TIMES} SELECT venue, CASE WHEN us IS NULL THEN 'unreadable' ELSE 'ok' END AS time_status, count(*) AS n FROM y GROUP BY 1, 2""",
 }

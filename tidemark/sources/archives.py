@@ -127,7 +127,7 @@ def klines_reference(klines: DataFrame, source: str, time: str = "close_time", p
 
 
 def seeded_rates(seed: DataFrame, updates: DataFrame, keys: Sequence[str], us: str, rate: str) -> DataFrame:
-    """The changes of a rate from a known opening state on: (keys, us, rate), the seed's row first where both have one time."""
+    """The changes of a rate from a known opening state on: (keys, us, rate); an update at the time of the seed replaces it."""
     rows = lambda d, first: d.select(*keys, us, rate, F.lit(first).alias("_rank"))
     return keep_one(rows(seed, 0).unionByName(rows(updates, 1)), [*keys, us], "_rank", last=True).drop("_rank")
 
