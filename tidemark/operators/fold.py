@@ -139,13 +139,13 @@ def _numbers(rows: pa.Table, names: Sequence[str]) -> list[np.ndarray]:
     return [rows[c].cast(pa.float64()).to_numpy() for c in names]
 
 
-def _chunked_path(tape: DataFrame, key: str, order: Sequence[str], target: str, price: str, band: str, edge: bool = False) -> DataFrame:
+def _chunked_path(tape: DataFrame, key: str, order: Sequence[str], target: str, price: str, band: str, edge: bool = False, size: int | None = None) -> DataFrame:
     names, order = (target, price, band), list(order)
     summary, then, path, kinds = (clamp, after_clamp, follow_edges, _CLAMP) if edge else (steps, after, follow, _STEPS)
     rows = tape
     for c in names:
         rows = rows.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
-    rows = ordered_chunks(rows, [key], order, "fold")
+    rows = ordered_chunks(rows, [key], order, "fold", size)
     kind = rows.select(F.col(key).alias("k")).schema["k"].dataType.simpleString()
 
     def summarise(k: tuple, t: pa.Table) -> pa.Table:
@@ -218,7 +218,7 @@ def replay(
         ((F.col(pool_price) > F.col("_lo")) & (F.col(pool_price) < F.col("_hi"))).alias("inside"), F.struct(*order).eqNullSafe(F.col("_z")).alias("closes"),
         (F.coalesce(F.col(funding).cast("double"), zero) if funding else zero).alias("paid"),
     )
-    h = written(_chunked_path(j, key, order, "a0", "ref", "band"), "path")
+    h = written(_chunked_path(j, key, order, "a0", "ref", "band", size=tape.count()), "path")
     h = with_previous(h, [key], order, ["lp", "held", "ref", "inside"])
     prev = lambda c: F.col("_prev").getField(c)
     before = F.coalesce(prev("held"), zero)

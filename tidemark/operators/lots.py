@@ -100,20 +100,19 @@ def active_amounts(points: DataFrame, lots: DataFrame, key: str, block: str, tic
     """``points`` with ``active``: the summed amounts of the key's lots whose blocks and tick range [lower, upper) hold the point.
 
     Lots (key, in_block, out_block, tick_lower, tick_upper, amount of whole numbers) of at most ``max_blocks`` blocks are
-    entered in each of their blocks that has points: the amount comes in at the lower tick and goes out at the upper
+    entered in each of their blocks: the amount comes in at the lower tick and goes out at the upper
     one. What comes in and goes out is summed per key, block and tick, and the running sum over the ticks, within
     chunks of ``tick_width`` ticks and bridged by the chunks' sums, is read at each different point. No lot meets a point, so neither
     a busy block nor many lots at one tick multiply. Points with NULL key, block or tick have 0; repeated points stay.
     """
     dec = "decimal(38,0)"
-    at = points.select(F.col(key).alias("_k"), F.col(block).cast("bigint").alias("_b"), F.col(tick).cast("int").alias("_t")).dropna().distinct()
+    at = points.select(F.col(key).alias("_k"), F.col(block).cast("bigint").alias("_b"), F.col(tick).cast("int").alias("_t"), F.lit(None).cast(dec).alias("_a")).dropna(subset=["_k", "_b", "_t"])
     short = lots.where((F.col("out_block") - F.col("in_block") <= max_blocks) & F.col("amount").isNotNull()).select(
         F.col(key).alias("_k"), F.explode(F.sequence("in_block", "out_block")).alias("_b"), "tick_lower", "tick_upper", F.col("amount").cast(dec).alias("a")
     )
     ticks = F.array(F.struct(F.col("tick_lower").alias("t"), F.col("a").alias("a")), F.struct(F.col("tick_upper").alias("t"), (-F.col("a")).cast(dec).alias("a")))
-    edges = short.join(at.select("_k", "_b").distinct(), ["_k", "_b"], "left_semi").select("_k", "_b", F.explode(ticks).alias("x"))
-    edges = edges.groupBy("_k", "_b", F.col("x.t").cast("int").alias("_t")).agg(F.sum("x.a").cast(dec).alias("_a"))
-    rows = edges.unionByName(at.withColumn("_a", F.lit(None).cast(dec))).groupBy("_k", "_b", "_t").agg(F.max("_a").alias("_a"), F.count_if(F.col("_a").isNull()).alias("_asked"))
+    edges = short.select("_k", "_b", F.explode(ticks).alias("x")).select("_k", "_b", F.col("x.t").cast("int").alias("_t"), F.col("x.a").alias("_a"))
+    rows = edges.unionByName(at).groupBy("_k", "_b", "_t").agg(F.sum("_a").cast(dec).alias("_a"), F.count_if(F.col("_a").isNull()).alias("_asked"))
     run = running_sums(time_chunks(rows, "_t", tick_width), ["_k", "_b"], ["_t"], "_a", "_active").where("_asked > 0")
     run = run.select("_k", "_b", "_t", F.col("_active").cast("double").alias("_active"))
     own = (F.col(key) == F.col("_k")) & (F.col(block).cast("bigint") == F.col("_b")) & (F.col(tick).cast("int") == F.col("_t"))

@@ -16,16 +16,19 @@ CHUNK = "_chunk"
 ROWS_PER_CHUNK = 500_000
 
 
-def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def ordered_chunks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows: int | None = None, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
     """``df`` with ``_chunk``: numbers that rise with keys and order, so that the rows of a long key are in many chunks.
 
     A chunk is a range partition. There are as many as the rows need, and at least ``spark.sql.shuffle.partitions``.
     Rows alike in keys and order are in one chunk. The result is a written table: a recomputation could draw other
     borders. ``df`` is written first, so that what it comes from is computed once and not again for the number of rows
-    and the sample of the borders.
+    and the sample of the borders; that isn't needed where the caller knows about how many ``rows`` there are, of a
+    ``df`` that is cheap to compute.
     """
-    d = written(df, f"{name}-rows")
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // rows_per_chunk))
+    d = written(df, f"{name}-rows") if rows is None else df
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(d.count() if rows is None else rows) // rows_per_chunk))
     return written(d.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id()), name)
 
 

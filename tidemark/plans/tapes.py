@@ -344,7 +344,8 @@ def _replay_tape(spark: SparkSession, d: str) -> DataFrame:
         "pool", "symbol", *MESSAGE, "us", F.coalesce(price, "ref_mid").alias("price"), F.col("ref_mid").alias("ref"),
         (value * F.col("fee_tier_pips") / 1e6 * F.col("fraction")).alias("fee"), (amm.number("liquidity") / unit).alias("active"),
     )
-    t = ordered.with_previous(ordered.time_chunks(t, "block_number", 4096), ["pool"], MESSAGE, ["us"]).drop(ordered.CHUNK)
+    t = ordered.time_chunks(written(t, "swaps"), "block_number", 4096)
+    t = ordered.with_previous(t, ["pool"], MESSAGE, ["us"]).drop(ordered.CHUNK)
     t = t.withColumn("since", F.least("_prev.us", "us")).withColumn("since", F.when(F.col("_prev").isNotNull(), F.col("since"))).drop("_prev")
     f = _hourly_rates(spark, d).where(F.col("source") == METRIC)
     f = f.select("symbol", (F.col("slot_us") + HOUR_US).alias("at"), (F.col("value") * F.col("rate") / (365 * 24)).alias("v"))
@@ -374,7 +375,7 @@ def fifo_lots(spark: SparkSession, d: str) -> DataFrame:
 def _overlap(spark: SparkSession, d: str, keys: list[str], max_blocks: int) -> DataFrame:
     """First deliveries of swaps with the liquidity ``active`` of lots that lived ``max_blocks`` blocks at most."""
     p = _tape(spark, d, "pool", "symbol", "tick", "liquidity", "timestamp", "amount0", "amount1").where("event = 'Swap' and tick is not null")
-    p = p.select("pool", "symbol", *MESSAGE, "tick", "liquidity", micros("timestamp").alias("us"), "amount0", "amount1")
+    p = written(p.select("pool", "symbol", *MESSAGE, "tick", "liquidity", micros("timestamp").alias("us"), "amount0", "amount1"), "swaps")
     return lots.active_amounts(p, _lots(spark, d, keys, max_blocks), "pool", "block_number", "tick", max_blocks)
 
 
