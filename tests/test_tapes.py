@@ -164,7 +164,9 @@ def test_inference(spark):
     b = inference.bootstrap_sums(iid, "i", "v", 200, 5.0)
     ci = inference.interval(b, "total").first()
     assert ci.low < sum(r.v for r in iid.collect()) < ci.high and rows(b.orderBy("rep"))[:3] == rows(b.orderBy("rep"))[:3]
-    assert inference.power(iid, "i", "v", 200, 1.0, 10, 20, 1.0).first().power == 1.0
+    got = {r.effect: (r.reps, r.power) for r in inference.power(iid, "i", "v", 200, (-1.0, 1.0), 10, 20, 1.0).collect()}
+    assert got == {-1.0: (10, 0.0), 1.0: (10, 1.0)}
+    assert inference.power(iid.limit(0), "i", "v", 20, (1.0,), 3, 3).count() == 0 == inference.bootstrap_sums(iid.limit(0), "i", "v", 5, 2.0).count()
     s = iid.withColumn("s", F.when(F.col("i") % 4 == 0, 1).otherwise(-1)).withColumn("v", F.lit(2.0))
     assert {round(r[1], 9) for r in rows(inference.shuffled_sign_null(s, "s", "v", 5))} == {round(2 * (500 - 1500) / 2000, 9)}
     n = rows(inference.shuffled_sign_null(iid.withColumn("s", F.when(F.col("i") % 2 == 0, 1).otherwise(-1)), "s", "v", 200))

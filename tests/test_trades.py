@@ -201,3 +201,42 @@ def test_keys_of_any_kind_keep_their_totals(spark):
     for r in lots.sums_over_intervals(i, e, "k", "s", "z", "t", "v", 64).collect():
         got[tuple(r)] += 1
     assert {k: n for k, n in got.items()} == dict(want)
+
+
+def test_resamples_are_those_of_their_blocks(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=90)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)] + [(200, None), (201, float("nan")), (202, float("inf"))], "i int, v double").repartition(4)
+    for mean in (1.0, 7.0, 400.0):
+        blocks = inference.resample_blocks(spark, 12, 90, 90, mean, 11).collect()
+        want = defaultdict(float)
+        at = defaultdict(int)
+        for b in sorted(blocks):
+            assert b.at == at[b.rep] and 0 <= b.start < 90
+            at[b.rep] += b.n
+            want[b.rep] += sum(v[(b.start + k) % 90] for k in range(b.n))
+        assert set(at.values()) == {90} and len(at) == 12
+        got = dict(rows(inference.bootstrap_sums(df, "i", "v", 12, mean)))
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in got)
+    n = np.array([b.n for b in inference.resample_blocks(spark, 40, 10**6, 2000, 8.0, 1).collect()])
+    assert 7.5 < n.mean() < 8.5
+
+
+def test_power_against_loops(spark):
+    v = np.random.default_rng(7).normal(size=60)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double")
+    take = lambda x, bs: np.concatenate([x[(b.start + np.arange(b.n)) % len(x)] for b in bs])
+    by = defaultdict(list)
+    for b in sorted(inference.resample_blocks(spark, 8, 60, 25, 3.0, 17).collect()):
+        by[b.rep].append(b)
+    inner = defaultdict(list)
+    for b in sorted(inference.resample_blocks(spark, 8 * 10, 25, 25, 3.0, 18).collect()):
+        inner[b.rep].append(b)
+    want = {}
+    for effect in (0.2, 0.5):
+        passed = 0
+        for o in range(8):
+            x = take(v - v.mean(), by[o]) + effect
+            passed += np.quantile([take(x, inner[o * 10 + k]).mean() for k in range(10)], 0.025) > 0
+        want[effect] = passed / 8
+    assert {r.effect: r.power for r in inference.power(df, "i", "v", 25, (0.2, 0.5), 8, 10, 3.0).collect()} == want

@@ -7,50 +7,82 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
-from tidemark.operators.ordered import numbered
+from tidemark.operators.ordered import CHUNK, numbered, running_sums, time_chunks
 from tidemark.operators.series import quantiles
 from tidemark.session import written
 from tidemark.sources.tables import usable
 
-MOST = 1_000_000
 
+def resample_blocks(spark: SparkSession, reps: int, size: int, length: int, mean_block: float, seed: int) -> DataFrame:
+    """(rep, at, start, n): the blocks of stationary bootstrap resamples of ``length`` points of a series of ``size``.
 
-def series_values(df: DataFrame, order: str, value: str, most: int = MOST) -> np.ndarray:
-    """The finite values of an aggregated series in order; more than ``most`` rows are refused, never cut off."""
-    rows = df.select(order, F.col(value).cast("double").alias("v")).orderBy(order).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a series of more than {most} points: aggregate it first")
-    v = np.array([r["v"] for r in rows if r["v"] is not None], float)
-    return v[np.isfinite(v)]
+    Blocks have geometric lengths and random starts and run round the end; a resample's blocks follow one another from
+    ``at`` = 0. Every repetition has a random stream of its own, so a task that runs again draws the same.
+    """
 
+    def one(rep: int) -> Iterator[tuple[np.ndarray, ...]]:
+        rng, at = np.random.default_rng([seed, rep]), 0
+        while at < length:
+            n = rng.geometric(1.0 / max(mean_block, 1.0), max(16, min(100_000, int((length - at) / max(mean_block, 1.0)))))
+            end = at + np.cumsum(n)
+            keep = int(np.searchsorted(end, length)) + 1
+            begin, end = (end - n)[:keep], np.minimum(end[:keep], length)
+            yield np.full(len(begin), rep), begin, rng.integers(0, size, len(begin)), end - begin
+            at = int(end[-1])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        send = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["rep", "at", "start", "n"])
+        parts, rows = [], 0
+        for b in batches:
+            for rep in b.column(0).to_pylist():
+                for part in one(rep):
+                    parts.append(part)
+                    rows += len(part[0])
+                    if rows > 50_000:
+                        yield send(parts)
+                        parts, rows = [], 0
+        if parts:
+            yield send(parts)
 
-def stationary_indices(n: int, length: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
-    """``length`` positions in 0..n-1: blocks of geometric length from random starts, running round the end."""
-    restart = rng.random(length) < 1.0 / max(mean_block, 1.0)
-    restart[0] = True
-    starts = rng.integers(0, n, int(restart.sum()))
-    at = np.arange(length)
-    begin = at[restart][np.cumsum(restart) - 1]
-    return (starts[np.cumsum(restart) - 1] + at - begin) % n
+    return spark.range(reps if size else 0).mapInArrow(draw, "rep bigint, at bigint, start bigint, n bigint")
 
 
-def bootstrap_sums(df: DataFrame, order: str, value: str, reps: int = 2000, mean_block: float = 100.0, seed: int = 11) -> DataFrame:
-    """(rep, total): sums of stationary bootstrap resamples; every repetition has a random stream of its own."""
-    values = series_values(df, order, value)
+def _upto(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``series`` of (keys, i, v) with ``s``: the sum of ``v`` up to position ``i``."""
+    return running_sums(time_chunks(series, "i", 100_000), keys, ["i"], "v", "s").drop(CHUNK)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            total = [
-                float(values[stationary_indices(len(values), len(values), mean_block, np.random.default_rng([seed, int(i)]))].sum()) if len(values) else None
-                for i in b["id"]
-            ]
-            yield pd.DataFrame({"rep": b["id"], "total": total})
 
-    return df.sparkSession.range(reps).mapInPandas(run, "rep bigint, total double")
+def _block_sums(blocks: DataFrame, upto: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, rep, total): a block's sum is a difference of sums up to its ends, and those of all points for each time it runs round."""
+    last = F.col("start") + F.col("n")
+    end = lambda i, w: F.struct(i.cast("bigint").alias("i"), w.cast("bigint").alias("w"))
+    ends = F.array(end(F.lit(size - 1), F.floor(last / size)), end(F.pmod(last, F.lit(size)) - 1, F.lit(1)), end(F.col("start") - 1, F.lit(-1)))
+    e = blocks.select(*keys, "rep", F.explode(ends).alias("e")).select(*keys, "rep", "e.i", "e.w").where("i >= 0 and w != 0")
+    return e.join(upto.select(*keys, "i", "s"), [*keys, "i"]).groupBy(*keys, "rep").agg(F.sum(F.col("w") * F.col("s")).alias("total"))
+
+
+def _numbered_series(df: DataFrame, order: str, value: str) -> tuple[DataFrame, int]:
+    """(i, v) of the finite values in order, written, and their number."""
+    v = F.col(value).cast("double")
+    s = numbered(df.select(order, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf"))), [order], "i")
+    s = written(s.select("i", "v"), "series")
+    return s, s.count()
+
+
+def bootstrap_sums(df: DataFrame, order: str, value: str, reps: int = 2000, mean_block: float = 100.0, seed: int = 11) -> DataFrame:
+    """(rep, total): sums of stationary bootstrap resamples, each as long as the series, whose values stay where they are.
+
+    Only block ends are drawn and joined with the running sums of the series, so the work grows with the blocks. NULL, NaN
+    and infinite values are no points; a series without points gives no rows.
+    """
+    s, size = _numbered_series(df, order, value)
+    blocks = resample_blocks(df.sparkSession, reps, size, size, mean_block, seed)
+    return _block_sums(blocks, _upto(s, []), max(size, 1), [])
 
 
 def interval(draws: DataFrame, value: str, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
@@ -101,23 +133,30 @@ def mean_block_length(df: DataFrame, order: str, value: str, max_lag: int, least
     return total.select(tau.alias("tau"), F.least(F.greatest(F.ceil(tau), F.lit(least)), F.lit(most)).cast("int").alias("blocks"))
 
 
-def power(df: DataFrame, order: str, value: str, n: int, effect: float, outer: int, inner: int, mean_block: float, hurdle: float = 0.0, level: float = 0.95, seed: int = 17) -> DataFrame:
-    """One row: the share of outer resamples (mean removed, ``effect`` added) whose inner interval of the mean lies above ``hurdle``."""
-    values = series_values(df, order, value)
-    base = values - values.mean() if len(values) else values
+def power(
+    df: DataFrame, order: str, value: str, n: int, effects: Sequence[float], outer: int = 500, inner: int = 500, mean_block: float = 10.0,
+    hurdle: float = 0.0, level: float = 0.95, seed: int = 17,
+) -> DataFrame:
+    """(effect, reps, power): the share of ``outer`` resamples of ``n`` points, mean removed and effect added, that pass.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            passed = []
-            for i in b["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                x = base[stationary_indices(len(base), n, mean_block, rng)] + effect
-                means = [x[stationary_indices(n, n, mean_block, rng)].mean() for _ in range(inner)]
-                passed.append(float(np.quantile(means, (1 - level) / 2)) > hurdle)
-            yield pd.DataFrame({"rep": b["id"], "passed": passed})
-
-    draws = df.sparkSession.range(outer if len(base) else 0).mapInPandas(run, "rep bigint, passed boolean")
-    return draws.agg(F.count("*").alias("reps"), F.avg(F.col("passed").cast("double")).alias("power"))
+    A resample passes if the lower end of the interval of its mean, from ``inner`` resamples of it, lies above
+    ``hurdle``. An effect shifts all means alike, so both levels are drawn once for all effects. The outer resamples are
+    rows (rep, position, value), the inner ones blocks of these, all in tasks; a series without points gives no rows.
+    """
+    s, size = _numbered_series(df, order, value)
+    mean = s.agg(F.avg("v").alias("mean"))
+    base = s.crossJoin(F.broadcast(mean)).select("i", (F.col("v") - F.col("mean")).alias("v"))
+    blocks = resample_blocks(df.sparkSession, outer, size, n, mean_block, seed)
+    points = blocks.select(F.col("rep").alias("outer"), "at", "start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
+    points = points.select("outer", (F.col("at") + F.col("k")).alias("t"), F.pmod(F.col("start") + F.col("k"), F.lit(max(size, 1))).alias("i"))
+    points = written(points.join(base, "i").select("outer", F.col("t").alias("i"), "v"), "outer")
+    again = resample_blocks(df.sparkSession, outer * inner, n if size else 0, n, mean_block, seed + 1)
+    again = again.withColumn("outer", F.floor(F.col("rep") / inner))
+    sums = _block_sums(again, _upto(points, ["outer"]), n, ["outer"])
+    low = sums.groupBy("outer").agg(F.percentile(F.col("total") / n, F.lit((1 - level) / 2)).alias("low"))  # of ``inner`` values
+    each = low.select("low", F.explode(F.array(*[F.lit(float(e)) for e in effects])).alias("effect"))
+    passes = (F.col("low") + F.col("effect") > hurdle).cast("double")
+    return each.groupBy("effect").agg(F.count("*").alias("reps"), F.avg(passes).alias("power"))
 
 
 def shuffled_sign_null(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import CHUNK, running_sums
+from tidemark.session import written
 from tidemark.sources.tables import usable
 
 DAY_US = 86_400_000_000
@@ -65,7 +66,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str,
     # rises with the value; values beyond 2^-1000 count as 0 here, and share a chunk
     size = F.greatest(F.log2(F.abs("_v")) + 1000, F.lit(0.0)) * 64
     g = g.withColumn(CHUNK, F.when(F.col("_v") == 0, 0).otherwise(F.floor(F.signum("_v") * F.coalesce(size, F.lit(0.0)))).cast("bigint"))
-    g = running_sums(g, keys, ["_v"], "_n", "_upto")
+    g = running_sums(written(g, "counted"), keys, ["_v"], "_n", "_upto")
     total = g.groupBy(*keys).agg(F.max("_upto").alias("n"))
     j = attach_all(g, total, keys)
     picks, outs = [], []

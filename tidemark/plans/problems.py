@@ -31,6 +31,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return surplus_deliveries(table(spark, d, "pool_events"))
 
 
+def p3_lost_producers(spark: SparkSession, d: str) -> DataFrame:
+    """Surplus deliveries where those of every other batch have lost their block and are told by hash."""
+    e = table(spark, d, "pool_events").select("delivery_id", "block_number", "log_index", "tx_hash", "batch_no")
+    return surplus_deliveries(e.withColumn("block_number", F.when(F.col("batch_no") % 2 == 0, F.col("block_number"))))
+
+
 def _p4(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "pool_events").where("event = 'Swap'")
     positive = lambda c: usable(c) & (F.col(c) > 0)
@@ -88,7 +94,7 @@ def p5_formats(spark: SparkSession, d: str) -> DataFrame:
     return _times(spark, d).groupBy("venue", "time_status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_grid, p3_found, p4_found, p4_states, p5_found, p5_formats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_grid, p3_found, p3_lost_producers, p4_found, p4_states, p5_found, p5_formats)}
 
 _SLOT = "CAST(floor(epoch(timestamp) / 300) AS BIGINT) * 300"
 _READINGS = f"""r AS (SELECT source, symbol, acq_window, epoch_us(timestamp) AS us, mid, {_SLOT} AS slot FROM reference
@@ -152,6 +158,12 @@ SELECT source, symbol, acq_window, slot_epoch,
     THEN v0 + (v1 - v0) * ((slot_epoch * 1000000 - t0)::DOUBLE / (t1 - t0)) END, 6) AS value FROM v""",
     "p3_found": """WITH d AS (SELECT delivery_id, row_number() OVER (PARTITION BY block_number, log_index ORDER BY delivery_id) AS rn FROM pool_events)
 SELECT delivery_id FROM d WHERE rn > 1""",
+    "p3_lost_producers": r"""WITH h AS (SELECT delivery_id, log_index, CASE WHEN batch_no % 2 = 0 THEN block_number END AS p, ltrim(regexp_extract(lower(tx_hash), '^\s*(?:0x)?([0-9a-f]+)\s*$', 1), '0') AS x,
+  regexp_full_match(lower(tx_hash), '\s*(?:0x)?[0-9a-f]+\s*') AS ok FROM pool_events),
+d AS (SELECT delivery_id, log_index, p, CASE WHEN ok AND length(x) <= 64 THEN lpad(x, 64, '0') END AS h FROM h WHERE log_index IS NOT NULL),
+k AS (SELECT h, log_index, min(p) AS found FROM d WHERE p IS NOT NULL AND h IS NOT NULL GROUP BY ALL),
+m AS (SELECT d.delivery_id, d.log_index, COALESCE('p' || COALESCE(d.p, k.found), 'h' || d.h) AS who FROM d LEFT JOIN k ON d.p IS NULL AND d.h = k.h AND d.log_index = k.log_index)
+SELECT delivery_id FROM (SELECT *, row_number() OVER (PARTITION BY who, log_index ORDER BY delivery_id) AS rn FROM m WHERE who IS NOT NULL) WHERE rn > 1""",
     "p4_found": f"""WITH {_STATE}
 SELECT delivery_id, state_id FROM x WHERE state_id IS NOT NULL
   AND (COALESCE(stamped <> packed, FALSE) OR COALESCE(abs(fraction - right_fraction) > 1e-9, FALSE))""",

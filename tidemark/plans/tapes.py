@@ -457,12 +457,15 @@ def block_length(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return inference.bootstrap_sums(_days(spark, d), "day", "total", 500, 10.0)
+    """Sums of 2,000 resamples of the daily totals, in blocks of the length that their autocorrelation asks for."""
+    days = written(_days(spark, d), "days")
+    blocks = inference.mean_block_length(days, "day", "total", 20).first()["blocks"]
+    return inference.bootstrap_sums(days, "day", "total", 2000, float(blocks))
 
 
 def power(spark: SparkSession, d: str) -> DataFrame:
-    v = _days(spark, d)
-    return inference.power(v, "day", "total", 120, 1e4, 60, 60, 5.0)
+    """How often 243 days would show two effects, by 500 times 500 resamples of the daily totals."""
+    return inference.power(_days(spark, d), "day", "total", 243, (1e5, 1e6), 500, 500, 5.0)
 
 
 def sign_null(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import amm
 from tidemark.operators import asof, inference, ordered, series
-from tidemark.operators.dedup import surplus_deliveries
 from tidemark.operators.timeparse import normalise_timestamps
 from tidemark.plans import tapes
 from tidemark.plans.problems import TIMES
@@ -249,12 +248,6 @@ def blocks_around(spark: SparkSession, d: str) -> DataFrame:
     return asof.bounds_of(tapes._targets(spark, d), "us", b, "block_number", "block_us").select("target_id", "last_before", "first_after")
 
 
-def lost_producers(spark: SparkSession, d: str) -> DataFrame:
-    """Surplus deliveries where those of every other batch have lost their block and are told by hash."""
-    e = table(spark, d, "pool_events").select("delivery_id", "block_number", "log_index", "tx_hash", "batch_no")
-    return surplus_deliveries(e.withColumn("block_number", F.when(F.col("batch_no") % 2 == 0, F.col("block_number"))))
-
-
 def percentile_interval(spark: SparkSession, d: str) -> DataFrame:
     """Per series of a metric the interval that holds 95 % of its readings."""
     i = inference.interval(tapes._metrics(spark, d), "mid", 0.95, ["source", "symbol"])
@@ -266,7 +259,7 @@ QUERIES = {
     for f in (
         trade_asof, trade_fallback, smallest_tolerance, rebuilt_reference, repair_merge, klines, window_counts, reference_last, fresh_reference,
         direct_coverage, distinct_days, window_gaps, largest_eligible, attach_first, decoded, pro_rata_fees, price_ticks, fee_and_curvature,
-        value_increments, seeded_rates, blocks_around, lost_producers, percentile_interval,
+        value_increments, seeded_rates, blocks_around, percentile_interval,
     )
 }
 
@@ -353,11 +346,5 @@ SELECT source, symbol, slot_us, round(exp(31536000 * (x - x * x / 2 + x * x * x
 l AS (SELECT tm, max(block_number) AS block FROM b GROUP BY 1), f AS (SELECT tm, min(block_number) AS block FROM b GROUP BY 1), t AS (SELECT target_id, epoch_us(target_timestamp) AS us FROM swap_targets),
 x AS (SELECT t.*, l.block AS last_before FROM t ASOF LEFT JOIN l ON t.us >= l.tm)
 SELECT x.target_id, x.last_before, f.block AS first_after FROM x ASOF LEFT JOIN f ON x.us <= f.tm""",
-    "lost_producers": r"""WITH h AS (SELECT delivery_id, log_index, CASE WHEN batch_no % 2 = 0 THEN block_number END AS p, ltrim(regexp_extract(lower(tx_hash), '^\s*(?:0x)?([0-9a-f]+)\s*$', 1), '0') AS x,
-  regexp_full_match(lower(tx_hash), '\s*(?:0x)?[0-9a-f]+\s*') AS ok FROM pool_events),
-d AS (SELECT delivery_id, log_index, p, CASE WHEN ok AND length(x) <= 64 THEN lpad(x, 64, '0') END AS h FROM h WHERE log_index IS NOT NULL),
-k AS (SELECT h, log_index, min(p) AS found FROM d WHERE p IS NOT NULL AND h IS NOT NULL GROUP BY ALL),
-m AS (SELECT d.delivery_id, d.log_index, COALESCE('p' || COALESCE(d.p, k.found), 'h' || d.h) AS who FROM d LEFT JOIN k ON d.p IS NULL AND d.h = k.h AND d.log_index = k.log_index)
-SELECT delivery_id FROM (SELECT *, row_number() OVER (PARTITION BY who, log_index ORDER BY delivery_id) AS rn FROM m WHERE who IS NOT NULL) WHERE rn > 1""",
     "percentile_interval": f"""WITH {tapes._M} SELECT source, symbol, count(*) AS n, round(quantile_cont(mid, 0.025), 6) AS low, round(quantile_cont(mid, 0.975), 6) AS high FROM m GROUP BY source, symbol""",
 }
