@@ -240,3 +240,33 @@ def test_power_against_loops(spark):
             passed += np.quantile([take(x, inner[o * 10 + k]).mean() for k in range(10)], 0.025) > 0
         want[effect] = passed / 8
     assert {r.effect: r.power for r in inference.power(df, "i", "v", 25, (0.2, 0.5), 8, 10, 3.0).collect()} == want
+
+
+def test_digests_and_resuming(spark, tmp_path):
+    at = str(tmp_path / "d")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "part int, v string")
+    archives.resume_parts(df.where("part = 1"), at, "part")
+    before = archives.directory_digest(spark, at).first()
+    archives.resume_parts(df.withColumn("v", F.concat("v", F.lit("!"))), at, "part")
+    assert sorted(rows(spark.read.parquet(at).select("part", "v")), key=str) == [(1, "a"), (2, "b!"), (None, "c!")]
+    archives.resume_parts(df, at, "part")
+    after = archives.directory_digest(spark, at).first()
+    assert spark.read.parquet(at).count() == 3 and after.sha256 == archives.directory_digest(spark, at).first().sha256 != before.sha256
+    assert after.length > before.length and after.files > before.files
+
+
+def test_fold_goes_on_over_many_chunks(spark):
+    """A target that drifts within the band for whole chunks, and two keys in one task."""
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        n = 2000
+        data = [(k, i, i * 1e-3, 1.0, b) for k, b in (("x", 5.0), ("y", 0.0105), (None, 0.5005)) for i in range(n)]
+        df = spark.createDataFrame(data, "k string, i int, t double, p double, b double").repartition(7)
+        got = {(r.k, r.i): r.held for r in fold.band_path(df, "k", ["i"], "t", "p", "b").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for key in ("x", "y", None):
+        held = None
+        for k, i, t, p, b in (x for x in data if x[0] == key):
+            held = t if held is None or abs(t - held) * p > b else held
+            assert got[key, i] == held

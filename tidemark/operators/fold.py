@@ -152,13 +152,17 @@ def _chunked_path(tape: DataFrame, key: str, order: Sequence[str], target: str,
         s = summary(*_numbers(_sorted(t, order), names))
         return pa.table({"k": pa.array([k[0].as_py()], k[0].type), CHUNK: pa.array([k[1].as_py()], pa.int32()), **{c: [v] for c, v in s.items()}})
 
-    def enter(k: tuple, t: pa.Table) -> pa.Table:
-        held, found = None, []
-        for s in _sorted(t, [CHUNK]).to_pylist():
-            found.append(held)
-            held = then(s, held)
-        t = _sorted(t, [CHUNK])
-        return pa.table({"k": t["k"], CHUNK: t[CHUNK], "_held": pa.array(found, pa.float64())})
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Summaries sorted by key and chunk: what each chunk is entered with. One summary at a time is in use."""
+        key_now, held, started = None, None, False
+        for b in batches:
+            found = []
+            for k, s in zip(b.column(0).to_pylist(), b.to_pylist(), strict=True):
+                if not started or k != key_now:
+                    key_now, held, started = k, None, True
+                found.append(held)
+                held = then(s, held)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], names=["k", CHUNK, "_held"])
 
     def walk(k: tuple, t: pa.Table) -> pa.Table:
         t = _sorted(t, order)
@@ -167,7 +171,7 @@ def _chunked_path(tape: DataFrame, key: str, order: Sequence[str], target: str,
 
     few = rows.select(F.col(key).alias("k"), CHUNK, *dict.fromkeys([*order, *names]))
     s = few.groupBy("k", CHUNK).applyInArrow(summarise, f"k {kind}, {CHUNK} int, {kinds}")
-    entering = s.groupBy("k").applyInArrow(enter, f"k {kind}, {CHUNK} int, _held double")
+    entering = s.repartition("k").sortWithinPartitions("k", CHUNK).mapInArrow(enter, f"k {kind}, {CHUNK} int, _held double")
     joined = attach(rows, entering.withColumnRenamed("k", key), [key])
     return joined.groupBy(key, CHUNK).applyInArrow(walk, rows.withColumn("held", F.lit(0.0)).schema)
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import amm
 from tidemark.operators import asof, inference, ordered, series
+from tidemark.operators.pointintime import as_known
 from tidemark.operators.timeparse import normalise_timestamps
 from tidemark.plans import tapes
 from tidemark.plans.problems import TIMES
-from tidemark.session import written
+from tidemark.session import scratch_path, written
 from tidemark.sources import archives
 from tidemark.sources.tables import micros, table, usable
 
@@ -248,6 +255,48 @@ def blocks_around(spark: SparkSession, d: str) -> DataFrame:
     return asof.bounds_of(tapes._targets(spark, d), "us", b, "block_number", "block_us").select("target_id", "last_before", "first_after")
 
 
+CHUNK_BLOCKS = 500
+
+
+def chunk_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """The fee state of each pool just before each chunk of blocks in which it has messages, so that chunks can be replayed apart."""
+    t = tapes._tape(spark, d, "pool", "fee_protocol0_new", "fee_protocol1_new")
+    t = written(t.withColumn("pool", F.lower(F.trim("pool"))), "tape")
+    packed = amm.pack_nibbles(F.col("fee_protocol0_new"), F.col("fee_protocol1_new"))
+    c = t.where("event = 'SetFeeProtocol'").select("pool", *tapes.MESSAGE, packed.alias("packed")).where("packed is not null")
+    first = (F.col("block_number") - F.pmod("block_number", F.lit(CHUNK_BLOCKS))).alias("first_block")
+    e = t.select("pool", first).distinct().withColumns({"before": F.col("first_block") - 1, "end": F.lit(1 << 31)})
+    k = as_known(e, c, "pool", ("before", "end"), tapes.MESSAGE, "block_number", ["packed"])
+    return k.select("pool", "first_block", F.coalesce("known_packed", F.lit(0)).alias("packed"))
+
+
+def resumed_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Messages written by kind in two runs, of which the first broke off after swaps, and read back."""
+    at = scratch_path(spark, "resumed")
+    e = table(spark, d, "pool_events").select("event", "delivery_id")
+    archives.resume_parts(e.where("event = 'Swap'"), at, "event")
+    archives.resume_parts(e, at, "event")
+    return archives.read_parts(spark, at).groupBy("event").agg(F.count("*").alias("n"), F.max("delivery_id").alias("last_id"))
+
+
+def zip_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Trades packed into zip archives of about 10,000 rows a venue, each with a checksum beside its table, and read back."""
+    t = table(spark, d, "venue_trades").select("venue", "record_id", F.col("price").cast("string").alias("price"), (F.col("record_id") / 10_000).cast("bigint").alias("part"))
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        text, out = io.StringIO(), io.BytesIO()
+        csv.writer(text).writerows(zip(*(rows[c].to_pylist() for c in ("venue", "record_id", "price")), strict=True))
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("trades.csv", text.getvalue())
+            z.writestr("trades.csv.CHECKSUM", hashlib.sha256(text.getvalue().encode()).hexdigest())
+        return pa.table({"path": [f"{key[0].as_py()}-{key[1].as_py()}.zip"], "content": [out.getvalue()]})
+
+    files = t.groupBy("venue", "part").applyInArrow(pack, "path string, content binary")
+    back = archives.zip_rows(files, ["venue", "record_id", "price"])
+    price = F.col("price").try_cast("double")
+    return back.groupBy("venue").agg(F.count("*").alias("n"), F.max(F.col("record_id").cast("bigint")).alias("last_id"), F.max(F.when(~F.isnan(price), price)).alias("largest"))
+
+
 def percentile_interval(spark: SparkSession, d: str) -> DataFrame:
     """Per series of a metric the interval that holds 95 % of its readings."""
     i = inference.interval(tapes._metrics(spark, d), "mid", 0.95, ["source", "symbol"])
@@ -259,7 +308,7 @@ QUERIES = {
     for f in (
         trade_asof, trade_fallback, smallest_tolerance, rebuilt_reference, repair_merge, klines, window_counts, reference_last, fresh_reference,
         direct_coverage, distinct_days, window_gaps, largest_eligible, attach_first, decoded, pro_rata_fees, price_ticks, fee_and_curvature,
-        value_increments, seeded_rates, blocks_around, percentile_interval,
+        value_increments, seeded_rates, blocks_around, chunk_seeds, resumed_parts, zip_round_trip, percentile_interval,
     )
 }
 
@@ -346,5 +395,10 @@ SELECT source, symbol, slot_us, round(exp(31536000 * (x - x * x / 2 + x * x * x
 l AS (SELECT tm, max(block_number) AS block FROM b GROUP BY 1), f AS (SELECT tm, min(block_number) AS block FROM b GROUP BY 1), t AS (SELECT target_id, epoch_us(target_timestamp) AS us FROM swap_targets),
 x AS (SELECT t.*, l.block AS last_before FROM t ASOF LEFT JOIN l ON t.us >= l.tm)
 SELECT x.target_id, x.last_before, f.block AS first_after FROM x ASOF LEFT JOIN f ON x.us <= f.tm""",
+    "chunk_seeds": f"""WITH {tapes._TAPE}, t AS (SELECT *, lower(trim(pool)) AS p FROM tape), e AS (SELECT DISTINCT p AS pool, block_number - block_number % {CHUNK_BLOCKS} AS first_block FROM t),
+c AS (SELECT p AS pool, block_number, arg_max(fee_protocol0_new | (fee_protocol1_new << 4), log_index) AS packed FROM t WHERE event = 'SetFeeProtocol' AND fee_protocol0_new IS NOT NULL AND fee_protocol1_new IS NOT NULL GROUP BY ALL)
+SELECT e.pool, first_block, COALESCE(packed, 0)::INTEGER AS packed FROM e ASOF LEFT JOIN c ON e.pool = c.pool AND e.first_block > c.block_number""",
+    "resumed_parts": "SELECT event, count(*) AS n, max(delivery_id) AS last_id FROM pool_events GROUP BY event",
+    "zip_round_trip": "SELECT venue, count(*) AS n, max(record_id) AS last_id, max(CASE WHEN NOT isnan(price) THEN price END) AS largest FROM venue_trades GROUP BY venue",
     "percentile_interval": f"""WITH {tapes._M} SELECT source, symbol, count(*) AS n, round(quantile_cont(mid, 0.025), 6) AS low, round(quantile_cont(mid, 0.975), 6) AS high FROM m GROUP BY source, symbol""",
 }

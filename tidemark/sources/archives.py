@@ -42,6 +42,12 @@ def read_zip_csv(spark: SparkSession, path: str, names: Sequence[str], chunk_row
     without any is refused. Empty fields are NULL, shorter rows are filled up with NULL, and empty lines are no rows. A row with more fields
     than ``names`` is refused.
     """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return zip_rows(files, names, chunk_rows)
+
+
+def zip_rows(files: DataFrame, names: Sequence[str], chunk_rows: int = 50_000) -> DataFrame:
+    """The rows of archives given as (path, content); see :func:`read_zip_csv`."""
     schema = ", ".join(f"`{n}` string" for n in names)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,8 +70,7 @@ def read_zip_csv(spark: SparkSession, path: str, names: Sequence[str], chunk_row
                                     rows = []
                             yield pd.DataFrame(rows, columns=list(names))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return files.mapInPandas(read, schema)
+    return files.select("path", "content").mapInPandas(read, schema)
 
 
 def epoch_time(c: Column) -> Column:
@@ -87,6 +92,26 @@ def file_identities(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+def directory_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(files, length, sha256) of a directory: the digest of its files' names and digests in the order of names."""
+    f = file_identities(spark, path).groupBy().agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.sort_array(F.collect_list(F.struct("name", "sha256"))).alias("each"))
+    lines = F.array_join(F.transform("each", lambda x: F.concat_ws(" ", x["name"], x["sha256"])), "\n")
+    return f.select("files", "length", F.sha2(lines, 256).alias("sha256"))
+
+
+def resume_parts(df: DataFrame, path: str, part: str) -> None:
+    """Writes those rows whose ``part`` isn't in the dataset yet, a directory per part, so that a run that broke off goes on.
+
+    A part is there as soon as its directory is; Spark's commit moves whole directories of finished jobs into place.
+    """
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        there = spark.read.parquet(path).select(F.col(part).cast(df.schema[part].dataType).alias("_there")).distinct()
+        df = df.join(there, F.col(part).eqNullSafe(F.col("_there")), "left_anti")
+    df.write.mode("append").partitionBy(part).parquet(path)
+
+
 def keep_last_by_time(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Of the rows of ``keys`` with one ``timestamp`` the one with the last ``order``; rows without time are one time."""
     return keep_one(df, [*keys, "timestamp"], order, last=True)
