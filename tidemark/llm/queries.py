@@ -68,7 +68,33 @@ _PAIR = """WITH r AS (SELECT symbol, timestamp, min(ref_id) AS ref_id FROM refer
 SELECT t.target_id, r.ref_id, round((epoch_us(t.target_timestamp) - epoch_us(r.timestamp)) / 1e6, 6) AS age_seconds FROM swap_targets t
 ASOF LEFT JOIN r ON t.symbol = r.symbol AND t.target_timestamp >= r.timestamp"""
 
+# Fixed values for the SQL alone, written apart from the operator's classes: what is nothing, what is a blank, what
+# looks like the ASCII hyphen, letters with the shape of a Latin one, and accented ones of these.
+_NOTHING = r"[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180D}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}]"
+_HYPHENS = "‐‑﹣"
+_CYRILLIC, _AS_CYRILLIC = "АВСЕНІӀЈКМОРԚЅТԜХҮасԁеһіјӏорԛѕѵԝхуЀЁЇѐёїӐӑӒӓӖӗӦӧ", "ABCEHIIJKMOPQSTWXYacdehijlopqsvwxyÈËÏèëïĂăÄäĔĕÖö"
+_GREEK, _AS_GREEK = "ΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖϲϳοΆΈΊΌΎΪΫό", "ABCEHIJKMNOPTXYZcjoÁÉÍÓÝÏŸó"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_AS_WIDE = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+
+
+def _form(text: str) -> str:
+    plain = rf"regexp_replace(regexp_replace(nfc_normalize({text}), '{_NOTHING}', '', 'g'), '\p{{Zs}}', ' ', 'g')"
+    return f"nfc_normalize(translate({plain}, '{_HYPHENS}{_CYRILLIC}{_GREEK}{_WIDE}', '---{_AS_CYRILLIC}{_AS_GREEK}{_AS_WIDE}'))"
+
+
+def _grams(table: str, i: str) -> str:
+    """Every 12 consecutive words of a table's texts."""
+    after = " || ' ' || ".join(f"lead(word, {k}) OVER o" for k in range(1, 12))
+    words = rf"regexp_extract_all({_form(f'lower({_form("text")})')}, '[\p{{L}}\p{{N}}]+')"
+    return f"""(SELECT {i}, word || ' ' || {after} AS gram FROM (SELECT {i}, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT {i}, {words} AS w FROM {table}))
+  WINDOW o AS (PARTITION BY {i} ORDER BY pos))"""
+
+
 ORACLES = {
+    "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_grams('documents', 'doc_id')} JOIN {_grams('eval_items', 'item_id')} USING (gram) WHERE gram IS NOT NULL",
+    "p8_found": f"""WITH f AS (SELECT doc_id, text, {_form("text")} AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p6_check": """SELECT count(*) FILTER (text <> '') AS n_texts, 0::BIGINT AS n_lost, 0::BIGINT AS n_broken, 0::BIGINT AS n_split, 0::BIGINT AS n_over, TRUE AS well_filled
 FROM documents""",
     "p1_found": f"SELECT target_id, ref_id FROM ({_PAIR}) WHERE age_seconds <= 3",
