@@ -18,22 +18,35 @@ from tidemark.session import written
 from tidemark.sources.tables import usable
 
 
+def uniform(seed: int, rep: int, number: np.ndarray, which: int) -> np.ndarray:
+    """Numbers in [0, 1): the published 64-bit mixing function of a counter made of repetition, number and draw, for each seed another."""
+    mask = (1 << 64) - 1
+    start = (seed * 0xD1342543DE82EF95 + (rep << 33) + which) & mask
+    with np.errstate(over="ignore"):
+        z = (np.uint64(start) + np.uint64(2) * number.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
+
+
 def resample_blocks(spark: SparkSession, reps: int, size: int, length: int, mean_block: float, seed: int) -> DataFrame:
     """(rep, at, start, n): the blocks of stationary bootstrap resamples of ``length`` points of a series of ``size``.
 
     Blocks have geometric lengths and random starts and run round the end; a resample's blocks follow one another from
-    ``at`` = 0. Every repetition has a random stream of its own, so a task that runs again draws the same.
+    ``at`` = 0. The draws are hashes of seed, repetition and number of the block, so a task that runs again draws the same.
     """
+    leave = np.log1p(-min(1.0 / max(mean_block, 1.0), 1 - 1e-16))
 
     def one(rep: int) -> Iterator[tuple[np.ndarray, ...]]:
-        rng, at = np.random.default_rng([seed, rep]), 0
+        at = k = 0
         while at < length:
-            n = rng.geometric(1.0 / max(mean_block, 1.0), max(16, min(100_000, int((length - at) / max(mean_block, 1.0)))))
+            number = np.arange(k, k + max(16, min(100_000, int((length - at) / max(mean_block, 1.0)))))
+            n = np.floor(np.log1p(-uniform(seed, rep, number, 0)) / leave).astype(np.int64) + 1
             end = at + np.cumsum(n)
             keep = int(np.searchsorted(end, length)) + 1
-            begin, end = (end - n)[:keep], np.minimum(end[:keep], length)
-            yield np.full(len(begin), rep), begin, rng.integers(0, size, len(begin)), end - begin
-            at = int(end[-1])
+            begin, end, number = (end - n)[:keep], np.minimum(end[:keep], length), number[:keep]
+            yield np.full(len(begin), rep), begin, (uniform(seed, rep, number, 1) * size).astype(np.int64), end - begin
+            at, k = int(end[-1]), k + len(number)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = lambda parts: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["rep", "at", "start", "n"])

@@ -460,7 +460,8 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Sums of 2,000 resamples of the daily totals, in blocks of the length that their autocorrelation asks for."""
     days = written(_days(spark, d), "days")
     blocks = inference.mean_block_length(days, "day", "total", 20).first()["blocks"]
-    return inference.bootstrap_sums(days, "day", "total", 2000, float(blocks))
+    b = inference.bootstrap_sums(days, "day", "total", 2000, float(blocks))
+    return b.select("rep", F.round(F.col("total") / 1e6, 4).alias("millions"))
 
 
 def power(spark: SparkSession, d: str) -> DataFrame:
@@ -749,5 +750,17 @@ SELECT o_orderpriority, count(*) AS n, round(avg(v) / stddev_samp(v) * sqrt(365)
     "block_bounds": """WITH b AS (SELECT block_number, min(epoch_us(timestamp)) AS us FROM pool_events WHERE timestamp IS NOT NULL GROUP BY 1)
 SELECT us - us % 3600000000 AS hour_us, arg_min(block_number, ROW(us, block_number)) AS first_block, arg_max(block_number, ROW(us, block_number)) AS last_block FROM b GROUP BY 1""",
 }
+ORACLES["bootstrap"] = f"""WITH l AS ({ORACLES["block_length"]}), {_DAYS}, a AS (SELECT day, sum(total) AS total FROM d GROUP BY 1), g AS (SELECT unnest(generate_series(min(day), max(day))) AS day FROM a),
+s AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, COALESCE(total, 0) AS v FROM g LEFT JOIN a USING (day)),
+c AS (SELECT i, sum(v) OVER (ORDER BY i) AS upto FROM s), n AS (SELECT count(*) AS n FROM s),
+k AS (SELECT rep, number, which, (((11::UHUGEINT * 15074714826142052245::UHUGEINT + rep::UHUGEINT * 8589934592::UHUGEINT + which::UHUGEINT + 2::UHUGEINT * number::UHUGEINT) & m) * 11400714819323198485::UHUGEINT) & m AS z, m
+  FROM (SELECT 18446744073709551615::UHUGEINT AS m), (SELECT unnest(range(2000)) AS rep), (SELECT unnest(range(0, (SELECT n.n // blocks * 5 // 4 + 100 FROM n, l)::BIGINT)) AS number), (SELECT unnest([0, 1]) AS which)),
+k2 AS (SELECT *, (xor(z, z >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT) & m AS z2 FROM k), k3 AS (SELECT *, (xor(z2, z2 >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT) & m AS z3 FROM k2),
+u AS (SELECT rep, number, max(CASE which WHEN 0 THEN {{u}} END) AS u0, max(CASE which WHEN 1 THEN {{u}} END) AS u1 FROM k3 GROUP BY ALL),
+b AS (SELECT rep, number, CAST(floor(u1 * n) AS BIGINT) AS start, CASE WHEN blocks <= 1 THEN 1 ELSE CAST(floor(ln(1 - u0) / ln(1 - 1.0::DOUBLE / blocks)) AS BIGINT) + 1 END AS len, n FROM u, n, l),
+e AS (SELECT *, CAST(sum(len) OVER (PARTITION BY rep ORDER BY number) AS BIGINT) - len AS began FROM b),
+f AS (SELECT rep, start, start + least(len, n - began) AS stop, n FROM e WHERE began < n)
+SELECT rep, round(sum((stop // n) * t.upto + COALESCE(p.upto, 0) - COALESCE(q.upto, 0)) / 1e6, 4) AS millions FROM f JOIN c t ON t.i = f.n - 1 LEFT JOIN c p ON p.i = f.stop % f.n - 1 LEFT JOIN c q ON q.i = f.start - 1
+GROUP BY rep""".replace("{u}", "(xor(z3, z3 >> 31::UHUGEINT) >> 11::UHUGEINT)::DOUBLE / 9007199254740992")
 ORACLES["markout_summary"] = f"""WITH k AS ({ORACLES["markouts"]}) SELECT horizon_seconds, count(markout_bps) AS n, round(avg(markout_bps), 6) AS mean_bps,
   round(quantile_cont(markout_bps, 0.5), 6) AS median_bps FROM k GROUP BY 1"""
