@@ -57,8 +57,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_classes(spark: SparkSession, d: str) -> DataFrame:
-    m = look_alike_members(table(spark, d, "documents"))
-    return m.select("doc_id", F.hex("look").alias("class_id"))
+    """Documents whose text some other text looks like, with the smallest id of those that look the same."""
+    m = written(look_alike_members(table(spark, d, "documents")), "members")
+    return m.join(m.groupBy("look").agg(F.min("doc_id").alias("class_id")), "look").select("doc_id", "class_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_ages, p6_containers, p6_check, p7_found, p7_passages, p8_found, p8_classes)}
@@ -93,6 +94,8 @@ def _grams(table: str, i: str) -> str:
 
 ORACLES = {
     "p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_grams('documents', 'doc_id')} JOIN {_grams('eval_items', 'item_id')} USING (gram) WHERE gram IS NOT NULL",
+    "p8_classes": f"""WITH f AS (SELECT doc_id, text, {_form("text")} AS form FROM documents WHERE text IS NOT NULL),
+v AS (SELECT form, min(doc_id) AS class_id FROM f GROUP BY form HAVING count(DISTINCT text) > 1) SELECT doc_id, class_id FROM f JOIN v USING (form)""",
     "p8_found": f"""WITH f AS (SELECT doc_id, text, {_form("text")} AS form FROM documents WHERE text IS NOT NULL)
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p6_check": """SELECT count(*) FILTER (text <> '') AS n_texts, 0::BIGINT AS n_lost, 0::BIGINT AS n_broken, 0::BIGINT AS n_split, 0::BIGINT AS n_over, TRUE AS well_filled
