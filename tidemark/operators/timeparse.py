@@ -226,6 +226,8 @@ def normalise_timestamps(
     mixture = weights.groupBy("source").agg(
         F.map_from_entries(F.collect_list(F.struct("format", "weight"))).alias("_w")
     ).withColumnRenamed("source", "_of")
+    # a row per source, written: where that is small, Spark sends it to the readings instead of shuffling them by source
+    mixture = written(mixture, "mixtures")
     r = r.join(mixture, F.col(source).eqNullSafe(F.col("_of")), "left")
     weighed = F.transform(
         "_r", lambda x: F.struct(F.coalesce(F.try_element_at("_w", x["format"]), F.lit(0.0)).alias("w"), x["format"].alias("f"), x["micros"].alias("us"))
