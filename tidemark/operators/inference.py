@@ -66,8 +66,8 @@ def resample_blocks(spark: SparkSession, reps: int, size: int, length: int, mean
 
 
 def _upto(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``series`` of (keys, i, v) with ``s``: the sum of ``v`` up to position ``i``."""
-    return running_sums(time_chunks(series, "i", 100_000), keys, ["i"], "v", "s").drop(CHUNK)
+    """(keys, i, s): the sum of ``v`` up to position ``i`` of a ``series`` (keys, i, v); written, so that a small one is sent to the draws."""
+    return written(running_sums(time_chunks(series, "i", 100_000), keys, ["i"], "v", "s").select(*keys, "i", "s"), "upto")
 
 
 def _block_sums(blocks: DataFrame, upto: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
@@ -76,7 +76,7 @@ def _block_sums(blocks: DataFrame, upto: DataFrame, size: int, keys: Sequence[st
     end = lambda i, w: F.struct(i.cast("bigint").alias("i"), w.cast("bigint").alias("w"))
     ends = F.array(end(F.lit(size - 1), F.floor(last / size)), end(F.pmod(last, F.lit(size)) - 1, F.lit(1)), end(F.col("start") - 1, F.lit(-1)))
     e = blocks.select(*keys, "rep", F.explode(ends).alias("e")).select(*keys, "rep", "e.i", "e.w").where("i >= 0 and w != 0")
-    return e.join(upto.select(*keys, "i", "s"), [*keys, "i"]).groupBy(*keys, "rep").agg(F.sum(F.col("w") * F.col("s")).alias("total"))
+    return e.join(upto, [*keys, "i"]).groupBy(*keys, "rep").agg(F.sum(F.col("w") * F.col("s")).alias("total"))
 
 
 def _numbered_series(df: DataFrame, order: str, value: str) -> tuple[DataFrame, int]:

@@ -113,6 +113,7 @@ def active_amounts(points: DataFrame, lots: DataFrame, key: str, block: str, tic
     ticks = F.array(F.struct(F.col("tick_lower").alias("t"), F.col("a").alias("a")), F.struct(F.col("tick_upper").alias("t"), (-F.col("a")).cast(dec).alias("a")))
     edges = short.select("_k", "_b", F.explode(ticks).alias("x")).select("_k", "_b", F.col("x.t").cast("int").alias("_t"), F.col("x.a").alias("_a"))
     rows = edges.unionByName(at).groupBy("_k", "_b", "_t").agg(F.sum("_a").cast(dec).alias("_a"), F.count_if(F.col("_a").isNull()).alias("_asked"))
+    rows = written(rows, "edges")  # read once for the sums of chunks, once for the rows
     run = running_sums(time_chunks(rows, "_t", tick_width), ["_k", "_b"], ["_t"], "_a", "_active").where("_asked > 0")
     run = run.select("_k", "_b", "_t", F.col("_active").cast("double").alias("_active"))
     own = (F.col(key) == F.col("_k")) & (F.col(block).cast("bigint") == F.col("_b")) & (F.col(tick).cast("int") == F.col("_t"))
