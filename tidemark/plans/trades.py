@@ -270,6 +270,19 @@ def chunk_seeds(spark: SparkSession, d: str) -> DataFrame:
     return k.select("pool", "first_block", F.coalesce("known_packed", F.lit(0)).alias("packed"))
 
 
+def seeded_fee_state(spark: SparkSession, d: str) -> DataFrame:
+    """The packed fee state at each swap: what the tape last set, and before that what the pool's opening record says."""
+    t = tapes._tape(spark, d, "pool", "fee_protocol0_new", "fee_protocol1_new")
+    t = written(t.withColumn("pool", F.lower(F.trim("pool"))), "tape")
+    packed = amm.pack_nibbles(F.col("fee_protocol0_new"), F.col("fee_protocol1_new"))
+    c = t.where("event = 'SetFeeProtocol'").select("pool", *tapes.MESSAGE, packed.alias("packed")).where("packed is not null")
+    s = table(spark, d, "fee_states").where("fee_protocol_packed is not null").withColumn("pool", F.lower(F.trim("pool")))
+    s = s.groupBy("pool").agg(F.min_by("fee_protocol_packed", F.struct(*tapes.MESSAGE, "state_id")).alias("packed"))
+    opening = s.select("pool", F.lit(-1).cast("bigint").alias("block_number"), F.lit(-1).alias("log_index"), "packed")
+    k = as_known(t.where("event = 'Swap'"), c.unionByName(opening), "pool", tapes.MESSAGE, tapes.MESSAGE, "block_number", ["packed"])
+    return k.select("block_number", "log_index", F.col("known_packed").alias("packed"))
+
+
 def resumed_parts(spark: SparkSession, d: str) -> DataFrame:
     """Messages written by kind in two runs, of which the first broke off after swaps, and read back."""
     at = scratch_path(spark, "resumed")
@@ -308,7 +321,7 @@ QUERIES = {
     for f in (
         trade_asof, trade_fallback, smallest_tolerance, rebuilt_reference, repair_merge, klines, window_counts, reference_last, fresh_reference,
         direct_coverage, distinct_days, window_gaps, largest_eligible, attach_first, decoded, pro_rata_fees, price_ticks, fee_and_curvature,
-        value_increments, seeded_rates, blocks_around, chunk_seeds, resumed_parts, zip_round_trip, percentile_interval,
+        value_increments, seeded_rates, blocks_around, chunk_seeds, seeded_fee_state, resumed_parts, zip_round_trip, percentile_interval,
     )
 }
 
@@ -398,6 +411,10 @@ SELECT x.target_id, x.last_before, f.block AS first_after FROM x ASOF LEFT JOIN
     "chunk_seeds": f"""WITH {tapes._TAPE}, t AS (SELECT *, lower(trim(pool)) AS p FROM tape), e AS (SELECT DISTINCT p AS pool, block_number - block_number % {CHUNK_BLOCKS} AS first_block FROM t),
 c AS (SELECT p AS pool, block_number, arg_max(fee_protocol0_new | (fee_protocol1_new << 4), log_index) AS packed FROM t WHERE event = 'SetFeeProtocol' AND fee_protocol0_new IS NOT NULL AND fee_protocol1_new IS NOT NULL GROUP BY ALL)
 SELECT e.pool, first_block, COALESCE(packed, 0)::INTEGER AS packed FROM e ASOF LEFT JOIN c ON e.pool = c.pool AND e.first_block > c.block_number""",
+    "seeded_fee_state": f"""WITH {tapes._TAPE}, o AS (SELECT lower(trim(pool)) AS p, arg_min(fee_protocol_packed, ROW(block_number, log_index, state_id)) AS packed FROM fee_states WHERE fee_protocol_packed IS NOT NULL GROUP BY 1),
+s AS (SELECT event, lower(trim(pool)) AS p, block_number, log_index, last_value(CASE WHEN event = 'SetFeeProtocol' THEN fee_protocol0_new | (fee_protocol1_new << 4) END IGNORE NULLS)
+  OVER (PARTITION BY lower(trim(pool)) ORDER BY block_number, log_index) AS packed FROM tape)
+SELECT block_number, log_index, COALESCE(s.packed, o.packed)::INTEGER AS packed FROM s LEFT JOIN o USING (p) WHERE event = 'Swap'""",
     "resumed_parts": "SELECT event, count(*) AS n, max(delivery_id) AS last_id FROM pool_events GROUP BY event",
     "zip_round_trip": "SELECT venue, count(*) AS n, max(record_id) AS last_id, max(CASE WHEN NOT isnan(price) THEN price END) AS largest FROM venue_trades GROUP BY venue",
     "percentile_interval": f"""WITH {tapes._M} SELECT source, symbol, count(*) AS n, round(quantile_cont(mid, 0.025), 6) AS low, round(quantile_cont(mid, 0.975), 6) AS high FROM m GROUP BY source, symbol""",
