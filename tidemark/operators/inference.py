@@ -212,6 +212,10 @@ def shuffled_sign_null(
         return pd.DataFrame({"grp": key[0], "rep": np.arange(reps), "part": out, "n": n.sum()})
 
     values = d.where("v is not null").select("grp", "block", "v", "n")
+    # few bytes but much work: as many tasks as cores, which adaptive execution leaves apart
+    spark = df.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    values, draws = (x.repartition(tasks, "grp", "block") for x in (values, draws))
     parts = values.groupBy("grp", "block").cogroup(draws.groupBy("grp", "block")).applyInPandas(run, "grp string, rep bigint, part double, n bigint")
     mean = (F.sum("part") / F.sum("n")).alias("mean")
     if by is None:
