@@ -222,6 +222,18 @@ def test_resamples_are_those_of_their_blocks(spark):
     assert 7.5 < n.mean() < 8.5
 
 
+def test_draws_never_go_through_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 13)) for i in range(3000)], "i int, v double")
+    sent = inference.bootstrap_sums(df, "i", "v", 20, 2.0)
+    plan = sent._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan  # the draws are on the left
+    monkeypatch.setattr(inference, "SENT_POINTS", 2999)
+    merged = inference.bootstrap_sums(df, "i", "v", 20, 2.0)
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(rows(sent)) == sorted(rows(merged)) and sent.count() == 20
+
+
 def test_power_against_loops(spark):
     v = np.random.default_rng(7).normal(size=60)
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i int, v double")

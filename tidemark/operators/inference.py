@@ -17,6 +17,9 @@ from tidemark.operators.series import quantiles
 from tidemark.session import written
 from tidemark.sources.tables import usable
 
+#: Running sums of so many points at most are sent to the draws; of more, both are sorted.
+SENT_POINTS = 500_000
+
 
 def uniform(seed: int, rep: int, number: np.ndarray, which: int) -> np.ndarray:
     """Numbers in [0, 1): the published 64-bit mixing function of a counter made of repetition, number and draw, for each seed another."""
@@ -66,16 +69,21 @@ def resample_blocks(spark: SparkSession, reps: int, size: int, length: int, mean
 
 
 def _upto(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, i, s): the sum of ``v`` up to position ``i`` of a ``series`` (keys, i, v); written, so that a small one is sent to the draws."""
+    """(keys, i, s): the sum of ``v`` up to position ``i`` of a ``series`` (keys, i, v), written."""
     return written(running_sums(time_chunks(series, "i", 100_000), keys, ["i"], "v", "s").select(*keys, "i", "s"), "upto")
 
 
-def _block_sums(blocks: DataFrame, upto: DataFrame, size: int, keys: Sequence[str]) -> DataFrame:
-    """(keys, rep, total): a block's sum is a difference of sums up to its ends, and those of all points for each time it runs round."""
+def _block_sums(blocks: DataFrame, upto: DataFrame, points: int, size: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, rep, total): a block's sum is a difference of sums up to its ends, and those of all points for each time it runs round.
+
+    Spark takes the draws for as few rows as there are repetitions and would send them through the driver, so which
+    side is sent goes by the ``points`` of ``upto``, never by Spark's guess.
+    """
     last = F.col("start") + F.col("n")
     end = lambda i, w: F.struct(i.cast("bigint").alias("i"), w.cast("bigint").alias("w"))
     ends = F.array(end(F.lit(size - 1), F.floor(last / size)), end(F.pmod(last, F.lit(size)) - 1, F.lit(1)), end(F.col("start") - 1, F.lit(-1)))
     e = blocks.select(*keys, "rep", F.explode(ends).alias("e")).select(*keys, "rep", "e.i", "e.w").where("i >= 0 and w != 0")
+    upto = upto.hint("broadcast" if points <= SENT_POINTS else "merge")
     return e.join(upto, [*keys, "i"]).groupBy(*keys, "rep").agg(F.sum(F.col("w") * F.col("s")).alias("total"))
 
 
@@ -95,7 +103,7 @@ def bootstrap_sums(df: DataFrame, order: str, value: str, reps: int = 2000, mean
     """
     s, size = _numbered_series(df, order, value)
     blocks = resample_blocks(df.sparkSession, reps, size, size, mean_block, seed)
-    return _block_sums(blocks, _upto(s, []), max(size, 1), [])
+    return _block_sums(blocks, _upto(s, []), size, max(size, 1), [])
 
 
 def interval(draws: DataFrame, value: str, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
@@ -165,7 +173,7 @@ def power(
     points = written(points.join(base, "i").select("outer", F.col("t").alias("i"), "v"), "outer")
     again = resample_blocks(df.sparkSession, outer * inner, n if size else 0, n, mean_block, seed + 1)
     again = again.withColumn("outer", F.floor(F.col("rep") / inner))
-    sums = _block_sums(again, _upto(points, ["outer"]), n, ["outer"])
+    sums = _block_sums(again, _upto(points, ["outer"]), outer * n, n, ["outer"])
     low = sums.groupBy("outer").agg(F.percentile(F.col("total") / n, F.lit((1 - level) / 2)).alias("low"))  # of ``inner`` values
     each = low.select("low", F.explode(F.array(*[F.lit(float(e)) for e in effects])).alias("effect"))
     passes = (F.col("low") + F.col("effect") > hurdle).cast("double")
